@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from profilescope.functions import text
 
@@ -38,71 +37,62 @@ class KeywordQuery:
         return [c for c in self.clauses if c.occur == occur]
 
 
-def keyword_mode(keywords: Column, whole_words: Column) -> Column:
+def keyword_mode(keywords: str, whole_words: str) -> str:
     """Whole-word mode wins; otherwise one quote makes every term exact."""
     return (
-        F.when(whole_words, F.lit(WORD))
-        .when(keywords.contains('"'), F.lit(EXACT))
-        .otherwise(F.lit(SUBSTRING))
+        f"CASE WHEN {whole_words} THEN '{WORD}' "
+        f"WHEN contains({keywords}, '\"') THEN '{EXACT}' ELSE '{SUBSTRING}' END"
     )
 
 
-def has_keywords(keywords: Column) -> Column:
-    return F.coalesce(keywords != "", F.lit(False))
+def has_keywords(keywords: str) -> str:
+    return f"coalesce({keywords} <> '', false)"
 
 
-def _without_gaps_at_ends(tokens: Column) -> Column:
-    joined = F.array_join(tokens, text.SEPARATOR)
-    return F.regexp_replace(joined, rf"\A(?:{text.STOPPED}\n)+|(?:\n{text.STOPPED})+\z", "")
+def phrase_token(term: str) -> str:
+    """The words of a phrase as one token, inner stop words kept as gaps."""
+    joined = f"array_join({text.word_positions(term)}, {text.literal(text.SEPARATOR)})"
+    gaps = rf"\A(?:{text.STOPPED}\n)+|(?:\n{text.STOPPED})+\z"
+    return f"regexp_replace({joined}, {text.literal(gaps)}, '')"
 
 
-def query_tokens(term: Column, quoted: Column, mode: Column) -> Column:
-    substring = text.drop_tech_stop_words(
-        text.drop_stop_words(text.delimited_tokens(F.lower(term)))
-    )
-    positions = text.word_positions(term)
-    words = F.filter(positions, lambda t: t != text.STOPPED)
-    phrase = F.when(F.size(words) > 1, F.array(_without_gaps_at_ends(positions))).otherwise(words)
+def query_tokens(term: str, quoted: str, mode: str) -> str:
+    pieces = text.delimited_tokens(text.lowercase(term))
+    substring = text.drop_tech_stop_words(text.drop_stop_words(pieces))
+    words = text.word_tokens(term)
     return (
-        F.when(mode == SUBSTRING, substring)
-        .when((mode == WORD) & quoted, phrase)
-        .when(mode == WORD, words)
-        .otherwise(F.array(term))
+        f"CASE WHEN {mode} = '{SUBSTRING}' THEN {substring} "
+        f"WHEN {mode} = '{WORD}' AND {quoted} AND size({words}) > 1 THEN array({phrase_token(term)}) "
+        f"WHEN {mode} = '{WORD}' THEN {words} ELSE array({term}) END"
     )
 
 
-def keyword_clauses(keywords: Column, mode: Column) -> Column:
+def keyword_clauses(keywords: str, mode: str) -> str:
     """The clauses of a keyword string. Terms without tokens (stop words) are dropped."""
     terms = text.extract_all(keywords, TERMS)
-
-    def clause(term: Column, i: Column) -> Column:
-        before = F.get(terms, i - 1)
-        signed = before.isin("NOT", "+", "-")
-        joined = F.when(signed, F.get(terms, i - 2)).otherwise(before)
-        sign = F.when(F.length(term) > 1, F.substring(term, 1, 1))
-        negated = (before == F.lit("NOT")) | (before == F.lit("-")) | (sign == F.lit("-"))
-        required = (
-            (before == F.lit("+"))
-            | (sign == F.lit("+"))
-            | (joined == F.lit("AND"))
-            | (F.get(terms, i + 1) == F.lit("AND"))
-        )
-        body = F.when(sign.isin("+", "-"), F.substr(term, F.lit(2))).otherwise(term)
-        occur = (
-            F.when(term.isin(OPERATORS), F.lit(None).cast("string"))
-            .when(F.coalesce(negated, F.lit(False)), F.lit("must_not"))
-            .when(F.coalesce(required, F.lit(False)), F.lit("must"))
-            .otherwise(F.lit("should"))
-        )
-        tokens = query_tokens(F.replace(body, F.lit('"'), F.lit("")), body.startswith('"'), mode)
-        return F.struct(occur.alias("occur"), tokens.alias("tokens"))
-
-    clauses = F.filter(
-        F.transform(terms, clause),
-        lambda c: c["occur"].isNotNull()
-        & (F.size(F.filter(c["tokens"], lambda t: (t != "") | (mode == WORD))) > 0),
+    # Each term with its neighbours; the operator before a sign is one place further back.
+    placed = (
+        f"transform({terms}, (term, place) -> named_struct('term', term, "
+        f"'before', get({terms}, place - 1), 'earlier', get({terms}, place - 2), "
+        f"'next', get({terms}, place + 1), "
+        f"'sign', CASE WHEN length(term) > 1 AND left(term, 1) IN ('+', '-') THEN left(term, 1) ELSE '' END))"
+    )
+    body = "substr(t.term, length(t.sign) + 1)"
+    joined = "CASE WHEN t.before IN ('NOT', '+', '-') THEN t.earlier ELSE t.before END"
+    occur = (
+        "CASE WHEN t.sign = '-' OR t.before <=> 'NOT' OR t.before <=> '-' THEN 'must_not' "
+        f"WHEN t.sign = '+' OR t.before <=> '+' OR ({joined}) <=> 'AND' OR t.next <=> 'AND' "
+        "THEN 'must' ELSE 'should' END"
+    )
+    operands = f"filter({placed}, t -> t.term NOT IN ({text.literals(OPERATORS)}))"
+    plain = f"replace({body}, '\"', '')"
+    tokens = query_tokens(plain, f"startswith({body}, '\"')", mode)
+    clauses = f"transform({operands}, t -> named_struct('occur', {occur}, 'tokens', {tokens}))"
+    kept = f"size(c.tokens) > 0 AND ({mode} = '{WORD}' OR exists(c.tokens, part -> part <> ''))"
+    return (
+        f"CASE WHEN {has_keywords(keywords)} THEN filter({clauses}, c -> {kept}) "
+        f"ELSE cast(array() AS {CLAUSES_TYPE}) END"
     )
-    return F.when(has_keywords(keywords), clauses).otherwise(F.array().cast(CLAUSES_TYPE))
 
 
 def analyse_keywords(spark: SparkSession, keywords: str | None, whole_words: bool) -> KeywordQuery | None:
@@ -112,9 +102,12 @@ def analyse_keywords(spark: SparkSession, keywords: str | None, whole_words: boo
     """
     if not keywords:
         return None
-    one = spark.sql("SELECT * FROM VALUES (:keywords) AS request(keywords)", args={"keywords": keywords})
-    mode = keyword_mode(F.col("keywords"), F.lit(whole_words))
-    row = one.select(mode.alias("mode"), keyword_clauses(F.col("keywords"), mode).alias("clauses")).first()
+    row = spark.sql(
+        f"SELECT mode, {keyword_clauses('keywords', 'mode')} AS clauses FROM (SELECT keywords, "
+        f"{keyword_mode('keywords', 'whole_words')} AS mode "
+        "FROM VALUES (:keywords, :whole_words) AS request(keywords, whole_words))",
+        args={"keywords": keywords, "whole_words": whole_words},
+    ).first()
     return KeywordQuery(
         row["mode"], tuple(Clause(c["occur"], tuple(c["tokens"])) for c in row["clauses"])
     )

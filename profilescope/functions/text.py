@@ -1,7 +1,8 @@
-"""Analyzers as Column functions.
+r"""Analyzers as SQL expressions: every function takes the SQL text of an expression and returns one.
 
-Every function works on whole texts inside the JVM. Two folded forms make the keyword tests plain
-``contains`` calls, which stay inside generated code and need no token arrays:
+They compose into one expression that Spark parses once, work on whole texts, and stay in the JVM. Two
+folded forms make the keyword tests plain ``contains`` calls, which stay inside generated code and need
+no token arrays:
 
 * ``substring_index(text)``: the lower-cased text plus, for words holding punctuation, the word
   without it. A term without white space is a substring of some delimited token exactly when it is
@@ -12,8 +13,7 @@ Every function works on whole texts inside the JVM. Two folded forms make the ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS
 
@@ -38,141 +38,137 @@ TRAILING_JS = r"(.*?)\.?js\z"
 SEPARATOR = "\n"
 VALUE_GAP = "\t"  # parts the values of an array field, so that no phrase runs over two values
 STOPPED = " "  # holds the place of a removed stop word, so that phrases keep their gaps
+NO_STRINGS = "cast(array() AS array<string>)"
 
 
-def lowercase(text: Column) -> Column:
-    return F.lower(text)
+def literal(value: str) -> str:
+    """A string literal in which nothing is an escape but the escapes made here."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def extract_all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def literals(values: list[str]) -> str:
+    return ", ".join(literal(v) for v in values)
 
 
-def whitespace_tokens(text: Column) -> Column:
+def lowercase(text: str) -> str:
+    return f"lower({text})"
+
+
+def extract_all(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, {literal(pattern)}, 0)"
+
+
+def whitespace_tokens(text: str) -> str:
     return extract_all(text, NOT_WHITESPACE + "+")
 
 
-def standard_tokens(text: Column) -> Column:
+def standard_tokens(text: str) -> str:
     """Unicode words: keeps ``react.js`` whole, drops ``+`` and ``#``."""
     return extract_all(text, WORD)
 
 
-def without_possessive(text: Column) -> Column:
-    return F.regexp_replace(text, POSSESSIVE, "$1$2")
+def without_possessive(text: str) -> str:
+    return f"regexp_replace({text}, {literal(POSSESSIVE)}, '$1$2')"
 
 
-def delimiter_parts(token: Column) -> Column:
+def delimiter_parts(token: str) -> str:
     """Letter runs and digit runs of one token, without a trailing ``'s``."""
     return extract_all(without_possessive(token), PART)
 
 
-def delimited_tokens(token: Column) -> Column:
+def delimited_tokens(token: str) -> str:
     """One token as itself, its parts, and its parts joined."""
     parts = delimiter_parts(token)
-    return F.filter(
-        F.array_distinct(F.concat(F.array(token), parts, F.array(F.array_join(parts, "")))),
-        lambda t: t != "",
-    )
+    forms = f"concat(array({token}), {parts}, array(array_join({parts}, '')))"
+    return f"filter(array_distinct({forms}), form -> form <> '')"
 
 
-def is_stop_word(token: Column) -> Column:
-    return token.isin(ENGLISH_STOP_WORDS)
+def is_stop_word(token: str) -> str:
+    return f"{token} IN ({literals(ENGLISH_STOP_WORDS)})"
 
 
-def is_tech_stop_word(token: Column) -> Column:
-    return token.isin(TECH_STOP_WORDS)
+def is_tech_stop_word(token: str) -> str:
+    return f"{token} IN ({literals(TECH_STOP_WORDS)})"
 
 
-def drop_stop_words(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~is_stop_word(t))
+def drop_stop_words(tokens: str) -> str:
+    return f"filter({tokens}, token -> NOT {is_stop_word('token')})"
 
 
-def drop_tech_stop_words(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~is_tech_stop_word(t))
+def drop_tech_stop_words(tokens: str) -> str:
+    return f"filter({tokens}, token -> NOT {is_tech_stop_word('token')})"
 
 
-def strip_js(token: Column) -> Column:
-    return F.regexp_replace(token, TRAILING_JS, "$1")
+def strip_js(token: str) -> str:
+    return f"regexp_replace({token}, {literal(TRAILING_JS)}, '$1')"
 
 
-def grams(token: Column, shortest: int = MIN_GRAM, longest: int = MAX_GRAM) -> Column:
-    """All substrings of ``token`` of the given lengths, with repeats."""
-    length = F.length(token)
+def grams_of_length(token: str, length: str) -> str:
+    """All substrings of one length, with repeats."""
+    starts = f"sequence(1, length({token}) - {length} + 1)"
+    return (
+        f"CASE WHEN length({token}) >= {length} THEN "
+        f"transform({starts}, start -> substr({token}, start, {length})) ELSE {NO_STRINGS} END"
+    )
 
-    def of_length(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substr(token, i, n))
 
-    lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), length))
-    return F.when(length >= shortest, F.flatten(F.transform(lengths, of_length))).otherwise(
-        F.array().cast("array<string>")
-    )
+def grams(token: str, shortest: int = MIN_GRAM, longest: int = MAX_GRAM) -> str:
+    """All substrings of ``token`` of the given lengths, with repeats."""
+    lengths = f"sequence({shortest}, {longest})"
+    return f"flatten(transform({lengths}, size -> {grams_of_length(token, 'size')}))"
 
 
-def substring_tokens(text: Column) -> Column:
+def substring_tokens(text: str) -> str:
     """Every delimited token of every word of a text, in order, stop words included."""
-    return F.flatten(F.transform(whitespace_tokens(F.lower(text)), delimited_tokens))
+    words = whitespace_tokens(lowercase(text))
+    return f"flatten(transform({words}, word -> {delimited_tokens('word')}))"
 
 
-def substring_positions(text: Column) -> Column:
+def substring_positions(text: str) -> str:
     """Number of token positions: the parts of each word, at least one per word."""
-    return F.aggregate(
-        whitespace_tokens(F.lower(text)),
-        F.lit(0),
-        lambda acc, word: acc + F.greatest(F.lit(1), F.size(delimiter_parts(word))),
-    )
+    words = whitespace_tokens(lowercase(text))
+    parts = f"greatest(1, size({delimiter_parts('word')}))"
+    return f"aggregate({words}, 0, (total, word) -> total + {parts})"
 
 
-def word_positions(text: Column) -> Column:
+def word_positions(text: str) -> str:
     """Word tokens in order, with a place holder for each stop word."""
-    return F.transform(
-        standard_tokens(F.lower(text)),
-        lambda t: F.when(is_stop_word(t), F.lit(STOPPED)).otherwise(strip_js(t)),
-    )
+    kept = f"CASE WHEN {is_stop_word('word')} THEN {literal(STOPPED)} ELSE {strip_js('word')} END"
+    return f"transform({standard_tokens(lowercase(text))}, word -> {kept})"
 
 
-def word_tokens(text: Column) -> Column:
-    return F.filter(word_positions(text), lambda t: t != STOPPED)
+def word_tokens(text: str) -> str:
+    return f"filter({word_positions(text)}, kept -> kept <> {literal(STOPPED)})"
 
 
-def substring_index(text: Column) -> Column:
-    lowered = F.lower(text)
-    squashed = F.regexp_replace(
-        without_possessive(F.array_join(extract_all(lowered, PUNCTUATED_WORD), SEPARATOR)),
-        PUNCTUATION,
-        "",
-    )
-    return F.concat(lowered, F.lit(SEPARATOR), squashed)
+def substring_index(text: str) -> str:
+    lowered = lowercase(text)
+    punctuated = f"array_join({extract_all(lowered, PUNCTUATED_WORD)}, {literal(SEPARATOR)})"
+    squashed = f"regexp_replace({without_possessive(punctuated)}, {literal(PUNCTUATION)}, '')"
+    return f"concat({lowered}, {literal(SEPARATOR)}, {squashed})"
 
 
-def word_index(text: Column) -> Column:
-    positions = word_positions(text)
-    return F.when(
-        F.size(positions) > 0,
-        F.concat(F.lit(SEPARATOR), F.array_join(positions, SEPARATOR), F.lit(SEPARATOR)),
-    ).otherwise(F.lit(""))
+def word_index(text: str) -> str:
+    """Empty for a text without words; an empty token can then still be told from no token."""
+    joined = f"array_join({word_positions(text)}, {literal(SEPARATOR)})"
+    between = f"concat({literal(SEPARATOR)}, {joined}, {literal(SEPARATOR)})"
+    return f"CASE WHEN rlike({text}, {literal(WORD)}) THEN {between} ELSE '' END"
 
 
-def field_text(name: str, prefix: str = "") -> Column:
+def field_text(name: str) -> str:
     """One text per field; the values of an array field are parted by white space."""
-    column = F.col(prefix + name)
-    text = F.array_join(column, SEPARATOR) if name in ARRAY_TEXT_FIELDS else column
-    return F.coalesce(text, F.lit(""))
+    text = f"array_join({name}, {literal(SEPARATOR)})" if name in ARRAY_TEXT_FIELDS else name
+    return f"coalesce({text}, '')"
 
 
-def field_values(name: str) -> Column:
-    column = F.col(name)
-    return column if name in ARRAY_TEXT_FIELDS else F.array(column)
-
-
-def field_index(name: str, mode: str) -> Column:
+def field_index(name: str, mode: str) -> str:
     """The folded form of one field that keyword tests of a mode look into."""
     if mode == "substring":
         return substring_index(field_text(name))
     if name in ARRAY_TEXT_FIELDS:
-        indexed = F.array_join(F.transform(F.col(name), word_index), VALUE_GAP)
-    else:
-        indexed = word_index(F.col(name))
-    return F.coalesce(indexed, F.lit(""))
+        per_value = f"transform({name}, item -> {word_index('item')})"
+        return f"coalesce(array_join({per_value}, {literal(VALUE_GAP)}), '')"
+    return f"coalesce({word_index(name)}, '')"
 
 
 def index_column(name: str, mode: str) -> str:
@@ -181,20 +177,18 @@ def index_column(name: str, mode: str) -> str:
 
 def with_text_indexes(profiles: DataFrame, modes: tuple[str, ...] = ("substring", "word")) -> DataFrame:
     """Store the folded forms beside the fields, so that searches only read them."""
-    return profiles.withColumns(
-        {index_column(f, m): field_index(f, m) for m in modes for f in TEXT_FIELDS}
-    )
+    forms = [f"{field_index(f, m)} AS {index_column(f, m)}" for m in modes for f in TEXT_FIELDS]
+    return profiles.selectExpr("*", *forms)
 
 
-def match_tokens(tokens: Column, query_tokens: list[str]) -> Column:
+def match_tokens(tokens: str, query_tokens: list[str]) -> str:
     """Any analysed query token occurs."""
-    return F.coalesce(
-        F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in query_tokens])), F.lit(False)
-    )
+    return f"coalesce(arrays_overlap({tokens}, array({literals(query_tokens)})), false)"
 
 
-def match_phrase(tokens: Column, query_tokens: list[str]) -> Column:
+def match_phrase(tokens: str, query_tokens: list[str]) -> str:
     """All analysed query tokens occur one after the other."""
-    between = F.concat(F.lit(SEPARATOR), F.array_join(tokens, SEPARATOR), F.lit(SEPARATOR))
-    wanted = SEPARATOR + SEPARATOR.join(query_tokens) + SEPARATOR
-    return F.coalesce(between.contains(F.lit(wanted)), F.lit(False))
+    mark = literal(SEPARATOR)
+    between = f"concat({mark}, array_join({tokens}, {mark}), {mark})"
+    wanted = literal(SEPARATOR + SEPARATOR.join(query_tokens) + SEPARATOR)
+    return f"coalesce(contains({between}, {wanted}), false)"

@@ -1,103 +1,100 @@
-"""Request values as Column functions, so that whole tables of requests decode in one pass."""
+r"""Request values as SQL expressions, so that whole tables of requests decode in one pass.
+
+Every function takes the SQL text of an expression and returns one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from profilescope.functions.text import NO_STRINGS, literal
 
 # The experience ranges in ascending order.
 EXPERIENCE_LADDER = ["0..1", "1..2", "2..4", "4..6", "6..8", "8+"]
 DEFAULT_OFFSET = 0
 DEFAULT_PER_PAGE = 10
 
-NO_STRINGS = "array<string>"
-NO_LONGS = "array<bigint>"
+NO_LONGS = "cast(array() AS array<bigint>)"
+LIST = literal(r"\A\s*\[")
+BLANKS_AROUND = literal(r"\A\s+|\s+\z")
+
 
+def trimmed(text: str) -> str:
+    return f"regexp_replace({text}, {BLANKS_AROUND}, '')"
 
-def _whole_number(text: Column, sign: str) -> Column:
-    return F.when(text.rlike(rf"\A{sign}[0-9]+\z"), text.try_cast("decimal(38,0)"))
 
+def whole_number(text: str, low: int, high: int, sign: str) -> str:
+    """A number within limits, else null."""
+    form = literal(rf"\A{sign}[0-9]+\z")
+    number = f"try_cast({text} AS decimal(38,0))"
+    return f"CASE WHEN {text} RLIKE {form} AND {number} BETWEEN {low} AND {high} THEN cast({number} AS bigint) END"
 
-def parse_u8(text: Column) -> Column:
-    number = _whole_number(text, r"\+?")
-    return F.when(number <= 255, number.cast("int"))
 
+def parse_u8(text: str) -> str:
+    return f"cast({whole_number(text, 0, 255, '[+]?')} AS int)"
 
-def parse_i32(text: Column) -> Column:
-    number = _whole_number(text, "[+-]?")
-    return F.when(number.between(-(2**31), 2**31 - 1), number.cast("bigint"))
 
+def parse_i32(text: str) -> str:
+    return whole_number(text, -(2**31), 2**31 - 1, "[+-]?")
 
-def parse_u63(text: Column) -> Column:
+
+def parse_u63(text: str) -> str:
     """A non-negative number that fits Spark's long."""
-    number = _whole_number(text, r"\+?")
-    return F.when(number <= 2**63 - 1, number.cast("bigint"))
+    return whole_number(text, 0, 2**63 - 1, "[+]?")
 
 
-def parse_role_filter(text: Column) -> Column:
+def parse_role_filter(text: str) -> str:
     """``role[:minimum[:maximum]]`` as a struct; null for an empty text."""
-    parts = F.split(F.regexp_replace(text, r"\A\s+|\s+\z", ""), ":")
-    minimum = parse_u8(F.get(parts, F.lit(1)))
-    maximum = parse_u8(F.get(parts, F.lit(2)))
-    return F.when(
-        F.length(F.regexp_replace(text, r"\s+", "")) > 0,
-        F.struct(
-            F.get(parts, F.lit(0)).alias("role"),
-            minimum.alias("minimum"),
-            F.when(maximum >= minimum, maximum).alias("maximum"),
-        ),
+    parts = f"split({trimmed(text)}, ':')"
+    minimum, maximum = parse_u8(f"get({parts}, 1)"), parse_u8(f"get({parts}, 2)")
+    fields = (
+        f"'role', get({parts}, 0), 'minimum', {minimum}, "
+        f"'maximum', CASE WHEN {maximum} >= {minimum} THEN {maximum} END"
     )
+    return f"CASE WHEN {trimmed(text)} <> '' THEN named_struct({fields}) END"
 
 
-def experience_ranges(minimum: Column) -> Column:
+def experience_ranges(minimum: str) -> str:
     """The range labels that a minimum number of years admits; null for a null minimum."""
-    ladder = F.array(*[F.lit(label) for label in EXPERIENCE_LADDER])
-    rung = F.when(minimum < 2, F.lit(0)).otherwise(F.ceil(F.least(minimum, F.lit(9)) / 2))
-    rung = rung.cast("int")
-    return F.slice(ladder, rung + 1, F.lit(len(EXPERIENCE_LADDER)) - rung)
+    ladder = ", ".join(literal(label) for label in EXPERIENCE_LADDER)
+    rung = f"CASE WHEN {minimum} < 2 THEN 0 ELSE (least({minimum}, 9) + 1) DIV 2 END"
+    return f"slice(array({ladder}), cast({rung} AS int) + 1, {len(EXPERIENCE_LADDER)} - cast({rung} AS int))"
 
 
-def string_list(value: Column) -> Column:
+def string_list(value: str) -> str:
     """A JSON list of strings; anything else is an empty list."""
-    as_list = F.when(value.rlike(r"\A\s*\["), F.from_json(value, "array<string>"))
-    return F.coalesce(as_list, F.array().cast(NO_STRINGS))
+    listed = f"CASE WHEN {value} RLIKE {LIST} THEN from_json({value}, 'array<string>') END"
+    return f"coalesce({listed}, {NO_STRINGS})"
 
 
-def int_list(value: Column) -> Column:
+def int_list(value: str) -> str:
     """A JSON list of numbers (all must convert) or comma-separated numbers (bad ones dropped)."""
-    listed = F.transform(F.from_json(value, "array<string>"), parse_i32)
-    whole = F.when(~F.exists(listed, lambda x: x.isNull()), listed)
-    separated = F.filter(
-        F.transform(
-            F.split(value, ","), lambda x: parse_i32(F.regexp_replace(x, r"\A\s+|\s+\z", ""))
-        ),
-        lambda x: x.isNotNull(),
-    )
-    chosen = F.when(value.rlike(r"\A\s*\["), whole).otherwise(separated)
-    return F.coalesce(chosen, F.array().cast(NO_LONGS))
+    listed = f"transform(from_json({value}, 'array<string>'), item -> {parse_i32('item')})"
+    whole = f"CASE WHEN NOT exists({listed}, number -> number IS NULL) THEN {listed} END"
+    separated = f"transform(split({value}, ','), item -> {parse_i32(trimmed('item'))})"
+    chosen = f"CASE WHEN {value} RLIKE {LIST} THEN {whole} ELSE array_compact({separated}) END"
+    return f"coalesce({chosen}, {NO_LONGS})"
 
 
-def string_scalar(value: Column) -> Column:
+def string_scalar(value: str) -> str:
     """A scalar as a list of at most one element."""
-    return F.array_compact(F.array(F.when(~value.rlike(r"\A\s*\["), value)))
+    return f"array_compact(array(CASE WHEN NOT {value} RLIKE {LIST} THEN {value} END))"
 
 
-def int_scalar(value: Column) -> Column:
-    return F.array_compact(F.array(parse_i32(value)))
+def int_scalar(value: str) -> str:
+    return f"array_compact(array({parse_i32(value)}))"
 
 
-def instant(value: Column) -> Column:
+def instant(value: str) -> str:
     """A date with an optional time; null where it cannot be read."""
-    return F.try_to_timestamp(value)
+    return f"try_to_timestamp({value})"
 
 
-def page_offset(value: Column) -> Column:
-    return F.coalesce(parse_u63(value), F.lit(DEFAULT_OFFSET).cast("bigint"))
+def page_offset(value: str) -> str:
+    return f"coalesce({parse_u63(value)}, {DEFAULT_OFFSET}L)"
 
 
-def page_size(value: Column) -> Column:
-    return F.coalesce(parse_u63(value), F.lit(DEFAULT_PER_PAGE).cast("bigint"))
+def page_size(value: str) -> str:
+    return f"coalesce({parse_u63(value)}, {DEFAULT_PER_PAGE}L)"
 
 
-def feature(features: Column, name: str) -> Column:
-    return F.coalesce(F.array_contains(features, name), F.lit(False))
+def feature(features: str, name: str) -> str:
+    return f"coalesce(array_contains({features}, {literal(name)}), false)"

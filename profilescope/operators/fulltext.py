@@ -1,55 +1,64 @@
-"""Keyword matching of one request: substring, whole word and exact mode."""
+"""Keyword matching of one request as a SQL condition: substring, whole word and exact mode."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from profilescope.functions import text
-from profilescope.functions.keywords import EXACT, WORD, Clause, KeywordQuery
+from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, Clause, KeywordQuery
 from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS
 
 
 def matchable(mode: str, token: str) -> bool:
     """Substring mode indexes lengths 2 to 20 only; other tokens can never match."""
-    return mode in (EXACT, WORD) or text.MIN_GRAM <= len(token) <= text.MAX_GRAM
+    return mode != SUBSTRING or text.MIN_GRAM <= len(token) <= text.MAX_GRAM
+
 
+def needle(mode: str, token: str) -> str:
+    """What a folded field contains exactly when the token occurs."""
+    return text.SEPARATOR + token + text.SEPARATOR if mode == WORD else token
 
-def indexed_field(name: str, mode: str, columns: list[str]) -> Column:
+
+def indexed_field(name: str, mode: str, columns: list[str]) -> str:
     """The stored folded form of a field if the table has it, else computed from the field."""
     stored = text.index_column(name, mode)
-    return F.col(stored) if stored in columns else text.field_index(name, mode)
+    return stored if stored in columns else text.field_index(name, mode)
 
 
-def token_in_field(name: str, mode: str, token: str, columns: list[str]) -> Column:
+def token_in_field(name: str, mode: str, token: str, columns: list[str]) -> str:
     if not matchable(mode, token):
-        return F.lit(False)
+        return "false"
     if mode == EXACT:
-        column = F.col(name)
-        hit = F.array_contains(column, token) if name in ARRAY_TEXT_FIELDS else column == F.lit(token)
-        return F.coalesce(hit, F.lit(False))
-    needle = text.SEPARATOR + token + text.SEPARATOR if mode == WORD else token
-    return indexed_field(name, mode, columns).contains(F.lit(needle))
+        if name in ARRAY_TEXT_FIELDS:
+            return f"coalesce(array_contains({name}, {text.literal(token)}), false)"
+        return f"coalesce({name} = {text.literal(token)}, false)"
+    return f"contains({indexed_field(name, mode, columns)}, {text.literal(needle(mode, token))})"
+
 
+def clause_matches(clause: Clause, mode: str, columns: list[str]) -> str:
+    """Any token of the clause in any of the six fields.
 
-def clause_matches(clause: Clause, mode: str, columns: list[str]) -> Column:
-    """Any token of the clause in any of the six fields."""
-    tests = [token_in_field(f, mode, t, columns) for t in clause.tokens for f in TEXT_FIELDS]
-    return reduce(lambda a, b: a | b, tests)
+    Fields without a stored form are folded once per row and then tested for all tokens.
+    """
+    tokens = [t for t in clause.tokens if matchable(mode, t)]
+    if not tokens:
+        return "false"
+    if mode == EXACT or text.index_column("summary", mode) in columns:
+        tests = [token_in_field(f, mode, t, columns) for f in TEXT_FIELDS for t in tokens]
+        return "(" + " OR ".join(tests) + ")"
+    folded = ", ".join(text.field_index(f, mode) for f in TEXT_FIELDS)
+    hits = " OR ".join(f"contains(folded, {text.literal(needle(mode, t))})" for t in tokens)
+    return f"exists(array({folded}), folded -> {hits})"
 
 
-def keywords_predicate(query: KeywordQuery, columns: list[str]) -> Column:
+def keywords_predicate(query: KeywordQuery, columns: list[str]) -> str:
     """All ``must``, no ``must_not``, and without a ``must`` at least one ``should``."""
     if not query.clauses:
-        return F.lit(False)
+        return "false"
 
-    def tests(occur: str) -> list[Column]:
+    def tests(occur: str) -> list[str]:
         return [clause_matches(c, query.mode, columns) for c in query.with_occur(occur)]
 
     must, should, must_not = tests("must"), tests("should"), tests("must_not")
-    conditions = must + [~m for m in must_not]
+    conditions = must + [f"NOT {m}" for m in must_not]
     if should and not must:
-        conditions.append(reduce(lambda a, b: a | b, should))
-    return reduce(lambda a, b: a & b, conditions)
+        conditions.append("(" + " OR ".join(should) + ")")
+    return " AND ".join(conditions)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, KeywordQuery
 from profilescope.operators.fulltext import matchable
@@ -21,9 +18,9 @@ NOT_WORD = r"[^\p{L}\p{M}\p{N}_]"
 TOKEN_WITH_GAP = rf"{NOT_WORD}*{text.WORD}(?:{NOT_WORD}*\z)?"
 
 
-def html_encode(value: Column) -> Column:
+def html_encode(value: str) -> str:
     for plain, entity in HTML_ENTITIES.items():
-        value = F.replace(value, F.lit(plain), F.lit(entity))
+        value = f"replace({value}, {text.literal(plain)}, {text.literal(entity)})"
     return value
 
 
@@ -35,47 +32,44 @@ def field_label(name: str, mode: str) -> str:
     return name + {WORD: ".keyword", EXACT: ".raw", SUBSTRING: ""}[mode]
 
 
-def _hit_test(mode: str, tokens: list[str]):
-    def substring_hit(fragment: Column) -> Column:
-        folded = text.substring_index(fragment)
-        hits = [folded.contains(F.lit(t)) for t in tokens]
-        return F.greatest(*hits) if len(hits) > 1 else hits[0]
-
-    words = list(dict.fromkeys(w for t in tokens for w in t.split(text.SEPARATOR)))
-
-    def word_hit(fragment: Column) -> Column:
-        return text.strip_js(F.lower(F.regexp_extract(fragment, text.WORD, 0))).isin(words)
-
-    return {SUBSTRING: substring_hit, WORD: word_hit, EXACT: lambda value: value.isin(tokens)}[mode]
+def _is_hit(piece: str, mode: str, tokens: list[str]) -> str:
+    if mode == EXACT:
+        return f"{piece} IN ({text.literals(tokens)})"
+    if mode == WORD:
+        words = list(dict.fromkeys(w for t in tokens for w in t.split(text.SEPARATOR)))
+        word = f"regexp_extract({piece}, {text.literal(text.WORD)}, 0)"
+        return f"{text.strip_js(text.lowercase(word))} IN ({text.literals(words)})"
+    # Cheap test first; only words with punctuation need their squashed form.
+    squashed = text.substring_index(piece)
+    return " OR ".join(
+        f"contains({text.lowercase(piece)}, {text.literal(t)}) OR contains({squashed}, {text.literal(t)})"
+        for t in tokens
+    )
 
 
-def fragments_of(value: Column, mode: str) -> Column:
+def fragments_of(value: str, mode: str) -> str:
     if mode == EXACT:
-        return F.array(value)
+        return f"array({value})"
     return text.extract_all(value, SPACED_WORD if mode == SUBSTRING else TOKEN_WITH_GAP)
 
 
-def highlights(query: KeywordQuery) -> Column:
+def highlights(query: KeywordQuery) -> str:
     """A map from field to fragments; fields without a hit are absent, no hit at all is null."""
     tokens = [t for c in query.positive for t in c.tokens if matchable(query.mode, t)]
     if not tokens:
-        return F.lit(None).cast(HIGHLIGHT_TYPE)
-    hit = _hit_test(query.mode, tokens)
+        return f"cast(null AS {HIGHLIGHT_TYPE})"
+    hit = _is_hit("piece", query.mode, list(dict.fromkeys(tokens)))
 
-    def entry(name: str) -> Column:
-        column = F.col(name)
+    def entry(name: str) -> str:
+        pieces = fragments_of(name, query.mode)
         if name in ARRAY_TEXT_FIELDS:
-            pieces = F.flatten(F.transform(column, lambda x: fragments_of(x, query.mode)))
-        else:
-            pieces = fragments_of(column, query.mode)
-        shown = F.transform(F.slice(F.filter(pieces, hit), 1, FRAGMENTS), html_encode)
-        return F.struct(
-            F.lit(field_label(name, query.mode)).alias("key"),
-            F.coalesce(shown, F.array().cast("array<string>")).alias("value"),
-        )
-
-    entries = F.filter(
-        F.array(*[entry(name) for name in highlighted_fields(query.mode)]),
-        lambda e: F.size(e["value"]) > 0,
-    )
-    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
+            pieces = f"flatten(transform({name}, item -> {fragments_of('item', query.mode)}))"
+        shown = f"transform(slice(filter({pieces}, piece -> {hit}), 1, {FRAGMENTS}), p -> {html_encode('p')})"
+        label = text.literal(field_label(name, query.mode))
+        return f"named_struct('key', {label}, 'value', coalesce({shown}, {text.NO_STRINGS}))"
+
+    entries = ", ".join(entry(name) for name in highlighted_fields(query.mode))
+    found = f"filter(array({entries}), e -> size(e.value) > 0)"
+    # Bound as a lambda variable, so that the entries are built once.
+    mapped = "CASE WHEN size(found) > 0 THEN map_from_entries(found) END"
+    return f"transform(array({found}), found -> {mapped})[0]"

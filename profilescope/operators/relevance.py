@@ -12,14 +12,13 @@ nothing that grows with the table is broadcast. Frequencies are counted for matc
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, KeywordQuery
-from profilescope.operators.fulltext import indexed_field, matchable, token_in_field
+from profilescope.operators.fulltext import indexed_field, matchable, needle, token_in_field
 from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS, WORD_BOOST
 
 STATS = "_corpus"
@@ -30,23 +29,25 @@ def field_boost(name: str, mode: str) -> float:
     return {WORD: WORD_BOOST, EXACT: 1.0}.get(mode, TEXT_FIELDS[name])
 
 
-def _scored_pairs(query: KeywordQuery) -> list[tuple[str, str]]:
-    tokens = dict.fromkeys(t for c in query.positive for t in c.tokens if matchable(query.mode, t))
-    return [(token, field) for token in tokens for field in TEXT_FIELDS]
+def scored_tokens(query: KeywordQuery) -> list[str]:
+    return list(dict.fromkeys(t for c in query.positive for t in c.tokens if matchable(query.mode, t)))
 
 
 def corpus_statistics(profiles: DataFrame, query: KeywordQuery) -> DataFrame:
     """One row: the number of rows and, per query token and field, the rows that contain it."""
-    counts = [
-        F.count_if(token_in_field(field, query.mode, token, profiles.columns))
-        for token, field in _scored_pairs(query)
+    mode, columns = query.mode, profiles.columns
+    if mode != EXACT:
+        folded = {text.index_column(f, mode): indexed_field(f, mode, columns) for f in TEXT_FIELDS}
+        profiles = profiles.selectExpr(*[f"{sql} AS {name}" for name, sql in folded.items()])
+        columns = profiles.columns
+    per_token = [
+        "array("
+        + ", ".join(f"count_if({token_in_field(f, mode, token, columns)})" for f in TEXT_FIELDS)
+        + ")"
+        for token in scored_tokens(query)
     ]
-    return profiles.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            (F.array(*counts) if counts else F.array().cast("array<bigint>")).alias("df"),
-        ).alias(STATS)
-    )
+    df = f"array({', '.join(per_token)})"
+    return profiles.selectExpr(f"named_struct('n', count(1), 'df', {df}) AS {STATS}")
 
 
 def term_statistics(profiles: DataFrame, mode: str = WORD) -> DataFrame:
@@ -56,88 +57,91 @@ def term_statistics(profiles: DataFrame, mode: str = WORD) -> DataFrame:
     shuffle, so one frequent token costs one row per task.
     """
     tokens = text.word_tokens if mode == WORD else text.substring_tokens
-    per_field = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("field"),
-                F.array_distinct(tokens(text.field_text(name))).alias("tokens"),
-            )
-            for name in TEXT_FIELDS
-        ]
+    per_field = ", ".join(
+        f"named_struct('field', '{f}', 'tokens', array_distinct({tokens(text.field_text(f))}))"
+        for f in TEXT_FIELDS
     )
     return (
-        profiles.select(F.explode(per_field).alias("f"))
-        .select("f.field", F.explode("f.tokens").alias("token"))
+        profiles.selectExpr(f"explode(array({per_field})) AS f")
+        .selectExpr("f.field AS field", "explode(f.tokens) AS token")
         .groupBy("field", "token")
         .agg(F.count(F.lit(1)).alias("df"))
     )
 
 
-def _overlapping(pattern: str) -> Column:
-    return F.lit(f"(?={pattern})")
-
-
-def token_frequency(name: str, mode: str, token: str, columns: list[str]) -> Column:
-    if mode == EXACT:
-        if name in ARRAY_TEXT_FIELDS:
-            return F.size(F.filter(F.coalesce(F.col(name), F.array()), lambda x: x == F.lit(token)))
-        return F.coalesce((F.col(name) == F.lit(token)).cast("int"), F.lit(0))
+def _countable(name: str, mode: str, query: KeywordQuery, columns: list[str]) -> str:
+    """The text of a field in which occurrences are counted; delimited tokens only where there is one."""
+    folded = indexed_field(name, mode, columns)
     if mode == WORD:
-        needle = re.escape(text.SEPARATOR + token + text.SEPARATOR)
-        return F.regexp_count(indexed_field(name, mode, columns), _overlapping(needle))
-    tokens = F.array_join(text.substring_tokens(text.field_text(name)), text.SEPARATOR)
-    # Tokens of words are made only where the cheap test has found the term at all.
-    return F.when(
-        token_in_field(name, mode, token, columns),
-        F.regexp_count(tokens, _overlapping(re.escape(token))),
-    ).otherwise(F.lit(0))
+        return folded
+    tokens = f"array_join({text.substring_tokens(text.field_text(name))}, {text.literal(text.SEPARATOR)})"
+    hits = " OR ".join(token_in_field(name, mode, t, columns) for t in scored_tokens(query))
+    return f"CASE WHEN {hits} THEN {tokens} ELSE '' END"
+
+
+def _frequencies(query: KeywordQuery, columns: list[str]) -> str:
+    """Per query token and field the number of occurrences, overlapping ones included."""
+    tokens = scored_tokens(query)
+    if query.mode == EXACT:
+        counts = [
+            ", ".join(
+                f"size(filter(coalesce({f}, array()), item -> item = {text.literal(t)}))"
+                if f in ARRAY_TEXT_FIELDS
+                else f"cast(coalesce({f} = {text.literal(t)}, false) AS int)"
+                for f in TEXT_FIELDS
+            )
+            for t in tokens
+        ]
+        return "array(" + ", ".join(f"array({c})" for c in counts) + ")"
+    patterns = [f"(?={re.escape(needle(query.mode, t))})" for t in tokens]
+    counted = ", ".join(
+        f"transform(_countable, content -> regexp_count(content, {text.literal(p)}))" for p in patterns
+    )
+    return f"array({counted})"
 
 
-def field_norm(name: str, mode: str) -> Column:
+def field_norm(name: str, mode: str) -> str:
     boost = field_boost(name, mode)
     if mode == EXACT:
-        return F.lit(boost)
+        return f"{boost}D"
     source = text.field_text(name)
-    positions = text.substring_positions(source) if mode == SUBSTRING else F.size(text.word_tokens(source))
-    return F.lit(boost) / F.sqrt(F.greatest(positions, F.lit(1)))
-
-
-def _idf(n: Column, df: Column) -> Column:
-    return F.lit(1.0) + F.log(n / (df + F.lit(1)))
+    positions = text.substring_positions(source) if mode == SUBSTRING else f"size({text.word_tokens(source)})"
+    return f"{boost}D / sqrt(greatest({positions}, 1))"
 
 
 def with_score(matches: DataFrame, profiles: DataFrame, query: KeywordQuery, name: str = "score") -> DataFrame:
     """Add the relevance of each row of ``matches``; statistics come from all of ``profiles``."""
-    pairs = _scored_pairs(query)
-    if not pairs:
+    tokens, columns = scored_tokens(query), matches.columns
+    if not tokens:
         return matches.withColumn(name, F.lit(0.0))
-    columns = matches.columns
-    slot = {pair: i for i, pair in enumerate(pairs)}
-    frequencies = matches.withColumns(
-        {
-            STATS: corpus_statistics(profiles, query).scalar(),
-            "_freq": F.array(*[token_frequency(f, query.mode, t, columns) for t, f in pairs]),
-            "_norm": F.array(*[field_norm(f, query.mode) for f in TEXT_FIELDS]),
-        }
+    slot = {token: i for i, token in enumerate(tokens)}
+    countable = ", ".join(
+        "''" if query.mode == EXACT else _countable(f, query.mode, query, columns) for f in TEXT_FIELDS
     )
-    freq, norm, stats = F.col("_freq"), F.col("_norm"), F.col(STATS)
+    norms = ", ".join(field_norm(f, query.mode) for f in TEXT_FIELDS)
 
-    def field_score(tokens: tuple[str, ...], field: str) -> Column:
-        slots = [slot[(t, field)] for t in tokens if (t, field) in slot]
+    def clause_score(clause_tokens: tuple[str, ...]) -> str:
+        slots = [slot[t] for t in clause_tokens if t in slot]
         if not slots:
-            return F.lit(0.0)
-        matched = reduce(lambda a, b: a + b, [(freq[i] > 0).cast("int") for i in slots])
-        weight = reduce(
-            lambda a, b: a + b,
-            [F.sqrt(freq[i]) * F.pow(_idf(stats["n"], stats["df"][i]), F.lit(2.0)) for i in slots],
+            return "0D"
+        matched = " + ".join(f"cast(_freq[{i}][f] > 0 AS int)" for i in slots)
+        weight = " + ".join(f"sqrt(_freq[{i}][f]) * _weight[{i}][f]" for i in slots)
+        return (
+            f"array_max(transform(_norm, (norm, f) -> "
+            f"({matched}) / {float(len(clause_tokens))}D * ({weight}) * norm))"
         )
-        return matched / F.lit(len(tokens)) * weight * norm[list(TEXT_FIELDS).index(field)]
-
-    clauses = [
-        F.greatest(*[field_score(c.tokens, f) for f in TEXT_FIELDS]) for c in query.positive
-    ]
-    found = reduce(lambda a, b: a + b, [(c > 0).cast("int") for c in clauses])
-    total = reduce(lambda a, b: a + b, clauses)
-    scored = frequencies.withColumn(name, found / F.lit(len(clauses)) * total)
-    return scored.drop(STATS, "_freq", "_norm")
 
+    clauses = [clause_score(c.tokens) for c in query.positive]
+    total = "aggregate(_clauses, 0D, (total, c) -> total + c)"
+    found = f"size(filter(_clauses, c -> c > 0)) / {float(len(clauses))}D"
+    weights = (
+        f"transform({STATS}.df, per_field -> transform(per_field, df -> "
+        f"pow(1D + ln({STATS}.n / (df + 1)), 2)))"
+    )
+    return (
+        matches.selectExpr("*", f"array({countable}) AS _countable", f"array({norms}) AS _norm")
+        .withColumn(STATS, corpus_statistics(profiles, query).scalar())
+        .selectExpr("*", f"{_frequencies(query, columns)} AS _freq", f"{weights} AS _weight")
+        .selectExpr("*", f"array({', '.join(clauses)}) AS _clauses")
+        .selectExpr(*columns, f"{found} * {total} AS {name}")
+    )

@@ -93,7 +93,7 @@ def matches(profiles: DataFrame, request: SearchRequest) -> tuple[DataFrame, Key
     if query is None:
         return profiles.where(condition), None
     if not request.keywords_should:
-        condition = condition & keywords_predicate(query, profiles.columns)
+        condition = condition & F.expr(keywords_predicate(query, profiles.columns))
     scored = with_score(profiles.where(condition), profiles, query)
     if request.min_score is not None:
         scored = scored.where(F.col("score") >= request.min_score)
@@ -103,7 +103,7 @@ def matches(profiles: DataFrame, request: SearchRequest) -> tuple[DataFrame, Key
 def _project(found: DataFrame, query: KeywordQuery | None) -> DataFrame:
     """Only the public fields, with highlights (null without keywords)."""
     fields = [f if f != "roles_experiences" else roles_experiences().alias(f) for f in HIT_FIELDS]
-    highlight = F.lit(None).cast(HIGHLIGHT_TYPE) if query is None else highlights(query)
+    highlight = F.lit(None).cast(HIGHLIGHT_TYPE) if query is None else F.expr(highlights(query))
     score = [F.col("score")] if query is not None else []
     return found.select(*fields, highlight.alias("highlight"), *score)
 
@@ -149,7 +149,10 @@ def search_results(profiles: DataFrame, request: SearchRequest) -> DataFrame:
     page = search_profiles(profiles, request)
     hit = F.struct(F.struct(*HIT_FIELDS).alias("talent"), "highlight").alias("hit")
     placed = page.select(F.monotonically_increasing_id().alias("place"), hit)
-    talents = F.transform(F.array_sort(F.collect_list(F.struct("place", "hit"))), lambda x: x["hit"])
+    talents = F.expr(
+        "transform(array_sort(collect_list(struct(place, hit)), "
+        "(a, b) -> cast(sign(a.place - b.place) AS int)), x -> x.hit)"
+    )
     raw_query = F.lit(explain_search(profiles, request) if request.debug else None).cast("string")
     return placed.agg(talents.alias("talents")).select(
         total_hits(profiles, request).scalar().alias("total"), "talents", raw_query.alias("raw_es_query")

@@ -7,72 +7,66 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from profilescope.functions import keywords as kw
 from profilescope.functions import values as v
 
 NO_FULLTEXT_SEARCH = "no_fulltext_search"
 KEYWORDS_SHOULD = "keywords_should"
+STRING_LISTS = (
+    "professional_experience",
+    "work_authorization",
+    "work_locations",
+    "current_location",
+    "languages",
+)
+ID_LISTS = {
+    "presented": "presented_talents",
+    "bookmarked": "bookmarked_talents",
+    "contacted": "contacted_talents",
+    "ignored": "ignored_talents",
+}
 
 
 def decode_requests(raw: DataFrame, params: str = "params") -> DataFrame:
     """Typed requests from a ``map<string,string>`` column of raw parameters.
 
     List parameters are JSON lists, scalars plain text. All other columns (``request_id``) stay. The
-    work is Column expressions only: one narrow pass without Python.
+    work is SQL expressions only: one narrow pass without Python.
     """
 
-    def p(name: str) -> Column:
-        return F.element_at(F.col(params), name)
+    def p(name: str) -> str:
+        return f"{params}['{name}']"
 
     features = v.string_list(p("features"))
-    roles = F.filter(
-        F.transform(v.string_list(p("desired_work_roles")), v.parse_role_filter),
-        lambda r: r.isNotNull(),
+    parsed = f"transform({v.string_list(p('desired_work_roles'))}, role -> {v.parse_role_filter('role')})"
+    ranges = f"CASE WHEN r.minimum IS NOT NULL THEN {v.experience_ranges('r.minimum')} END"
+    roles = (
+        f"transform(array_compact({parsed}), r -> named_struct('role', r.role, "
+        f"'minimum', r.minimum, 'maximum', r.maximum, 'ranges', {ranges}))"
     )
+    typed = {
+        "index": p("index"),
+        "as_of": v.instant(p("as_of")),
+        "epoch": v.instant(p("epoch")),
+        "keywords": p("keywords"),
+        "has_keywords": kw.has_keywords(p("keywords")),
+        "mode": kw.keyword_mode(p("keywords"), v.feature(features, NO_FULLTEXT_SEARCH)),
+        "whole_words": v.feature(features, NO_FULLTEXT_SEARCH),
+        "keywords_should": v.feature(features, KEYWORDS_SHOULD),
+        "roles": roles,
+        **{name: v.string_list(p(name)) for name in STRING_LISTS},
+        "maximum_salary": v.parse_u63(p("maximum_salary")),
+        "company_id": f"get({v.int_scalar(p('company_id'))}, 0)",
+        **{name: v.int_list(p(source)) for name, source in ID_LISTS.items()},
+        "offset": v.page_offset(p("offset")),
+        "per_page": v.page_size(p("per_page")),
+        "debug": f"coalesce({p('debug_es_query')}, {p('debug')}, '') = 'true'",
+    }
     keep = [c for c in raw.columns if c != params]
-    typed = raw.select(
-        *keep,
-        p("index").alias("index"),
-        v.instant(p("as_of")).alias("as_of"),
-        v.instant(p("epoch")).alias("epoch"),
-        p("keywords").alias("keywords"),
-        v.feature(features, NO_FULLTEXT_SEARCH).alias("whole_words"),
-        v.feature(features, KEYWORDS_SHOULD).alias("keywords_should"),
-        F.transform(
-            roles,
-            lambda r: F.struct(
-                r["role"].alias("role"),
-                r["minimum"].alias("minimum"),
-                r["maximum"].alias("maximum"),
-                F.when(r["minimum"].isNotNull(), v.experience_ranges(r["minimum"])).alias("ranges"),
-            ),
-        ).alias("roles"),
-        v.string_list(p("professional_experience")).alias("professional_experience"),
-        v.string_list(p("work_authorization")).alias("work_authorization"),
-        v.string_list(p("work_locations")).alias("work_locations"),
-        v.string_list(p("current_location")).alias("current_location"),
-        v.string_list(p("languages")).alias("languages"),
-        v.parse_u63(p("maximum_salary")).alias("maximum_salary"),
-        F.get(v.int_scalar(p("company_id")), F.lit(0)).alias("company_id"),
-        v.int_list(p("presented_talents")).alias("presented"),
-        v.int_list(p("bookmarked_talents")).alias("bookmarked"),
-        v.int_list(p("contacted_talents")).alias("contacted"),
-        v.int_list(p("ignored_talents")).alias("ignored"),
-        v.page_offset(p("offset")).alias("offset"),
-        v.page_size(p("per_page")).alias("per_page"),
-        (F.coalesce(p("debug"), p("debug_es_query"), F.lit("")) == "true").alias("debug"),
-    )
-    mode = kw.keyword_mode(F.col("keywords"), F.col("whole_words"))
-    return typed.withColumns(
-        {
-            "has_keywords": kw.has_keywords(F.col("keywords")),
-            "mode": mode,
-            "clauses": kw.keyword_clauses(F.col("keywords"), mode),
-        }
-    )
+    decoded = raw.selectExpr(*keep, *[f"{sql} AS `{name}`" for name, sql in typed.items()])
+    return decoded.selectExpr("*", f"{kw.keyword_clauses('keywords', 'mode')} AS clauses")
 
 
 @dataclass(frozen=True)
@@ -104,12 +98,13 @@ class SearchRequest:
 
     @classmethod
     def from_params(cls, spark: SparkSession, params: Mapping[str, Any], **overrides: Any) -> SearchRequest:
-        """Decode raw parameters through the same Columns that decode request tables."""
+        """Decode raw parameters through the same expressions that decode request tables."""
         encoded = json.dumps({k: _as_text(x) for k, x in params.items() if x is not None})
-        one = spark.sql("SELECT * FROM VALUES (:params) AS request(params)", args={"params": encoded})
-        row = decode_requests(
-            one.select(F.from_json("params", "map<string,string>").alias("params"))
-        ).first()
+        one = spark.sql(
+            "SELECT from_json(params, 'map<string,string>') AS params FROM VALUES (:params) AS r(params)",
+            args={"params": encoded},
+        )
+        row = decode_requests(one).first()
         values = {
             name: tuple(row[name]) if isinstance(row[name], list) else row[name]
             for name in cls.__dataclass_fields__

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilescope.schema import PROFILE_SCHEMA, ROLE, SALARY, SCORE_SCHEMA, STRINGS
+from profilescope.schema import PROFILE_SCHEMA, ROLE, SALARY, SCORE_SCHEMA, STRINGS, TableSpec
 
 DEFAULTED = ("desired_work_roles", "desired_work_roles_experience", "desired_roles")
 INSTANTS = ("batch_starts_at", "batch_ends_at", "added_to_batch_at")
@@ -165,3 +165,7 @@ def decode_scores(lines: DataFrame, column: str = "value") -> DataFrame:
         return _checked(raw, valid, field.name).cast(field.dataType).alias(field.name)
 
     return parsed.select(*others, *[decoded(f) for f in SCORE_SCHEMA.fields])
+
+
+PROFILES = TableSpec("profiles", PROFILE_SCHEMA, "id", ingest_profiles)
+SCORES = TableSpec("scores", SCORE_SCHEMA, "request_id", decode_scores)
