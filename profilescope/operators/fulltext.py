@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, Clause, KeywordQuery
 from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS
@@ -17,6 +19,26 @@ def needle(mode: str, token: str) -> str:
     return text.SEPARATOR + token + text.SEPARATOR if mode == WORD else token
 
 
+def has_gap(mode: str, token: str) -> bool:
+    return mode == WORD and text.SEPARATOR + text.STOPPED + text.SEPARATOR in token
+
+
+def pattern(mode: str, token: str) -> str:
+    """The needle as a regular expression; the place of a stop word in a phrase takes any word."""
+    gap = re.escape(text.STOPPED)
+    inner = re.escape(needle(mode, token))
+    if not has_gap(mode, token):
+        return inner
+    mark = re.escape(text.SEPARATOR)
+    return re.sub(f"(?<={re.escape(mark)}){re.escape(gap)}(?={re.escape(mark)})", lambda _: "[^\\n\\t]+", inner)
+
+
+def content_test(content: str, mode: str, token: str) -> str:
+    if has_gap(mode, token):
+        return f"rlike({content}, {text.literal(pattern(mode, token))})"
+    return f"contains({content}, {text.literal(needle(mode, token))})"
+
+
 def indexed_field(name: str, mode: str, columns: list[str]) -> str:
     """The stored folded form of a field if the table has it, else computed from the field."""
     stored = text.index_column(name, mode)
@@ -30,7 +52,7 @@ def token_in_field(name: str, mode: str, token: str, columns: list[str]) -> str:
         if name in ARRAY_TEXT_FIELDS:
             return f"coalesce(array_contains({name}, {text.literal(token)}), false)"
         return f"coalesce({name} = {text.literal(token)}, false)"
-    return f"contains({indexed_field(name, mode, columns)}, {text.literal(needle(mode, token))})"
+    return content_test(indexed_field(name, mode, columns), mode, token)
 
 
 def clause_matches(clause: Clause, mode: str, columns: list[str]) -> str:
@@ -45,7 +67,7 @@ def clause_matches(clause: Clause, mode: str, columns: list[str]) -> str:
         tests = [token_in_field(f, mode, t, columns) for f in TEXT_FIELDS for t in tokens]
         return "(" + " OR ".join(tests) + ")"
     folded = ", ".join(text.field_index(f, mode) for f in TEXT_FIELDS)
-    hits = " OR ".join(f"contains(folded, {text.literal(needle(mode, t))})" for t in tokens)
+    hits = " OR ".join(content_test("folded", mode, t) for t in tokens)
     return f"exists(array({folded}), folded -> {hits})"
 
 

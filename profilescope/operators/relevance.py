@@ -11,14 +11,12 @@ nothing that grows with the table is broadcast. Frequencies are counted for matc
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, KeywordQuery
-from profilescope.operators.fulltext import indexed_field, matchable, needle, token_in_field
+from profilescope.operators.fulltext import indexed_field, matchable, pattern, token_in_field
 from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS, WORD_BOOST
 
 STATS = "_corpus"
@@ -93,7 +91,7 @@ def _frequencies(query: KeywordQuery, columns: list[str]) -> str:
             for t in tokens
         ]
         return "array(" + ", ".join(f"array({c})" for c in counts) + ")"
-    patterns = [f"(?={re.escape(needle(query.mode, t))})" for t in tokens]
+    patterns = [f"(?={pattern(query.mode, t)})" for t in tokens]
     counted = ", ".join(
         f"transform(_countable, content -> regexp_count(content, {text.literal(p)}))" for p in patterns
     )
