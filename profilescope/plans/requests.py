@@ -29,7 +29,17 @@ ID_LISTS = {
 }
 
 
-def decode_requests(raw: DataFrame, params: str = "params") -> DataFrame:
+def _bound(rows: DataFrame, keep: list[str], columns: dict[str, str], once: bool) -> DataFrame:
+    """``keep`` and the new columns. With ``once`` they are generated as one row each, which filters do
+    not move below: an expression used by many later conditions is then evaluated, and planned, once.
+    """
+    if not once:
+        return rows.selectExpr(*keep, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return rows.selectExpr(*keep, f"inline(array(named_struct({fields})))")
+
+
+def decode_requests(raw: DataFrame, params: str = "params", once: bool = True) -> DataFrame:
     """Typed requests from a ``map<string,string>`` column of raw parameters.
 
     List parameters are JSON lists, scalars plain text. All other columns (``request_id``) stay. The
@@ -65,8 +75,8 @@ def decode_requests(raw: DataFrame, params: str = "params") -> DataFrame:
         "debug": f"coalesce({p('debug_es_query')}, {p('debug')}, '') = 'true'",
     }
     keep = [c for c in raw.columns if c != params]
-    decoded = raw.selectExpr(*keep, *[f"{sql} AS `{name}`" for name, sql in typed.items()])
-    return decoded.selectExpr("*", f"{kw.keyword_clauses('keywords', 'mode')} AS clauses")
+    decoded = _bound(raw, keep, typed, once)
+    return _bound(decoded, ["*"], {"clauses": kw.keyword_clauses("keywords", "mode")}, once)
 
 
 @dataclass(frozen=True)
@@ -104,7 +114,7 @@ class SearchRequest:
             "SELECT from_json(params, 'map<string,string>') AS params FROM VALUES (:params) AS r(params)",
             args={"params": encoded},
         )
-        row = decode_requests(one).first()
+        row = decode_requests(one, once=False).first()
         values = {
             name: tuple(row[name]) if isinstance(row[name], list) else row[name]
             for name in cls.__dataclass_fields__
