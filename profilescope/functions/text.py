@@ -31,8 +31,10 @@ NOT_WHITESPACE = r"[^ \t\n\x0B\f\r]"
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:[.'][\p{L}\p{M}\p{N}_]+)*"
 PART = r"[\p{L}\p{M}]+|\p{N}+"
 POSSESSIVE = r"([\p{L}\p{M}])'s([^\p{L}\p{M}\p{N}]|\z)"
-PUNCTUATED_WORD = rf"{NOT_WHITESPACE}*[^\p{{L}}\p{{M}}\p{{N}} \t\n\x0B\f\r]{NOT_WHITESPACE}*"
-PUNCTUATION = r"[^\p{L}\p{M}\p{N} \t\n\x0B\f\r]+"
+MARK = r"[^\p{L}\p{M}\p{N} \t\n\x0B\f\r]"
+PUNCTUATED_WORD = rf"[\p{{L}}\p{{M}}\p{{N}}]*+{MARK}{NOT_WHITESPACE}*"
+PUNCTUATION = MARK + "+"
+BARE_MARKS = rf"(?<!{NOT_WHITESPACE}){MARK}+(?!{NOT_WHITESPACE})"
 TRAILING_JS = r"(.*?)\.?js\z"
 
 SEPARATOR = "\n"
@@ -100,7 +102,8 @@ def drop_tech_stop_words(tokens: str) -> str:
 
 
 def strip_js(token: str) -> str:
-    return f"regexp_replace({token}, {literal(TRAILING_JS)}, '$1')"
+    stripped = f"regexp_replace({token}, {literal(TRAILING_JS)}, '$1')"
+    return f"CASE WHEN endswith({token}, 'js') THEN {stripped} ELSE {token} END"
 
 
 def grams_of_length(token: str, length: str) -> str:
@@ -126,9 +129,8 @@ def substring_tokens(text: str) -> str:
 
 def substring_positions(text: str) -> str:
     """Number of token positions: the parts of each word, at least one per word."""
-    words = whitespace_tokens(lowercase(text))
-    parts = f"greatest(1, size({delimiter_parts('word')}))"
-    return f"aggregate({words}, 0, (total, word) -> total + {parts})"
+    parts = f"regexp_count({without_possessive(lowercase(text))}, {literal(PART)})"
+    return f"({parts} + regexp_count({text}, {literal(BARE_MARKS)}))"
 
 
 def word_positions(text: str) -> str:
@@ -141,11 +143,22 @@ def word_tokens(text: str) -> str:
     return f"filter({word_positions(text)}, kept -> kept <> {literal(STOPPED)})"
 
 
+def squashed(text: str) -> str:
+    """Words without their punctuation and their possessive ``'s``."""
+    return f"regexp_replace({without_possessive(text)}, {literal(PUNCTUATION)}, '')"
+
+
 def substring_index(text: str) -> str:
     lowered = lowercase(text)
     punctuated = f"array_join({extract_all(lowered, PUNCTUATED_WORD)}, {literal(SEPARATOR)})"
-    squashed = f"regexp_replace({without_possessive(punctuated)}, {literal(PUNCTUATION)}, '')"
-    return f"concat({lowered}, {literal(SEPARATOR)}, {squashed})"
+    return f"concat({lowered}, {literal(SEPARATOR)}, {squashed(punctuated)})"
+
+
+def word_holds(word: str, terms: list[str]) -> str:
+    """Whether one lower-case word holds any term, as it is or without its punctuation."""
+    plain = " OR ".join(f"contains({word}, {literal(t)})" for t in terms)
+    bare = " OR ".join(f"contains({squashed(word)}, {literal(t)})" for t in terms)
+    return f"({plain} OR (rlike({word}, {literal(MARK)}) AND ({bare})))"
 
 
 def word_index(text: str) -> str:
@@ -155,20 +168,30 @@ def word_index(text: str) -> str:
     return f"CASE WHEN rlike({text}, {literal(WORD)}) THEN {between} ELSE '' END"
 
 
-def field_text(name: str) -> str:
-    """One text per field; the values of an array field are parted by white space."""
-    text = f"array_join({name}, {literal(SEPARATOR)})" if name in ARRAY_TEXT_FIELDS else name
-    return f"coalesce({text}, '')"
+def field_items(name: str) -> str:
+    if name in ARRAY_TEXT_FIELDS:
+        return f"coalesce({name}, {NO_STRINGS})"
+    return f"array(coalesce({name}, ''))"
+
+
+def all_fields() -> str:
+    """The values of every text field, in the order of ``TEXT_FIELDS``: an array of arrays.
+
+    Expressions over the six fields are lambdas over this array, so they are planned once, not six times.
+    """
+    return f"array({', '.join(field_items(f) for f in TEXT_FIELDS)})"
 
 
-def field_index(name: str, mode: str) -> str:
-    """The folded form of one field that keyword tests of a mode look into."""
+def content(items: str) -> str:
+    """One text from the values of a field, parted by white space."""
+    return f"array_join({items}, {literal(SEPARATOR)})"
+
+
+def folded(items: str, mode: str) -> str:
+    """The folded form of one field's values that keyword tests of a mode look into."""
     if mode == "substring":
-        return substring_index(field_text(name))
-    if name in ARRAY_TEXT_FIELDS:
-        per_value = f"transform({name}, item -> {word_index('item')})"
-        return f"coalesce(array_join({per_value}, {literal(VALUE_GAP)}), '')"
-    return f"coalesce({word_index(name)}, '')"
+        return substring_index(content(items))
+    return f"array_join(transform({items}, item -> {word_index('item')}), {literal(VALUE_GAP)})"
 
 
 def index_column(name: str, mode: str) -> str:
@@ -177,7 +200,7 @@ def index_column(name: str, mode: str) -> str:
 
 def with_text_indexes(profiles: DataFrame, modes: tuple[str, ...] = ("substring", "word")) -> DataFrame:
     """Store the folded forms beside the fields, so that searches only read them."""
-    forms = [f"{field_index(f, m)} AS {index_column(f, m)}" for m in modes for f in TEXT_FIELDS]
+    forms = [f"{folded(field_items(f), m)} AS {index_column(f, m)}" for m in modes for f in TEXT_FIELDS]
     return profiles.selectExpr("*", *forms)
 
 

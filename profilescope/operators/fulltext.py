@@ -39,36 +39,40 @@ def content_test(content: str, mode: str, token: str) -> str:
     return f"contains({content}, {text.literal(needle(mode, token))})"
 
 
-def indexed_field(name: str, mode: str, columns: list[str]) -> str:
-    """The stored folded form of a field if the table has it, else computed from the field."""
-    stored = text.index_column(name, mode)
-    return stored if stored in columns else text.field_index(name, mode)
+def is_stored(mode: str, columns: list[str]) -> bool:
+    return text.index_column("summary", mode) in columns
 
 
-def token_in_field(name: str, mode: str, token: str, columns: list[str]) -> str:
-    if not matchable(mode, token):
-        return "false"
-    if mode == EXACT:
-        if name in ARRAY_TEXT_FIELDS:
-            return f"coalesce(array_contains({name}, {text.literal(token)}), false)"
-        return f"coalesce({name} = {text.literal(token)}, false)"
-    return content_test(indexed_field(name, mode, columns), mode, token)
+def folded_fields(mode: str, columns: list[str]) -> str:
+    """The folded form of every text field as an array, stored or computed."""
+    if is_stored(mode, columns):
+        return f"array({', '.join(text.index_column(f, mode) for f in TEXT_FIELDS)})"
+    return f"transform({text.all_fields()}, items -> {text.folded('items', mode)})"
+
+
+def value_test(name: str, token: str) -> str:
+    """Whether a whole value of a field equals the token."""
+    if name in ARRAY_TEXT_FIELDS:
+        return f"coalesce(array_contains({name}, {text.literal(token)}), false)"
+    return f"coalesce({name} = {text.literal(token)}, false)"
 
 
 def clause_matches(clause: Clause, mode: str, columns: list[str]) -> str:
     """Any token of the clause in any of the six fields.
 
-    Fields without a stored form are folded once per row and then tested for all tokens.
+    Stored forms are tested one by one inside generated code; else each field is folded once per row.
     """
     tokens = [t for t in clause.tokens if matchable(mode, t)]
     if not tokens:
         return "false"
-    if mode == EXACT or text.index_column("summary", mode) in columns:
-        tests = [token_in_field(f, mode, t, columns) for f in TEXT_FIELDS for t in tokens]
-        return "(" + " OR ".join(tests) + ")"
-    folded = ", ".join(text.field_index(f, mode) for f in TEXT_FIELDS)
-    hits = " OR ".join(content_test("folded", mode, t) for t in tokens)
-    return f"exists(array({folded}), folded -> {hits})"
+    if mode == EXACT:
+        tests = [value_test(f, t) for f in TEXT_FIELDS for t in tokens]
+    elif is_stored(mode, columns):
+        tests = [content_test(text.index_column(f, mode), mode, t) for f in TEXT_FIELDS for t in tokens]
+    else:
+        hits = " OR ".join(content_test("form", mode, t) for t in tokens)
+        return f"exists({folded_fields(mode, columns)}, form -> {hits})"
+    return "(" + " OR ".join(tests) + ")"
 
 
 def keywords_predicate(query: KeywordQuery, columns: list[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, KeywordQuery
 from profilescope.operators.fulltext import matchable
-from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS
+from profilescope.schema import TEXT_FIELDS
 
 # Fragments per field, fields with a whole-word highlight, encoded characters.
 FRAGMENTS = 5
@@ -39,12 +39,7 @@ def _is_hit(piece: str, mode: str, tokens: list[str]) -> str:
         words = list(dict.fromkeys(w for t in tokens for w in t.split(text.SEPARATOR)))
         word = f"regexp_extract({piece}, {text.literal(text.WORD)}, 0)"
         return f"{text.strip_js(text.lowercase(word))} IN ({text.literals(words)})"
-    # Cheap test first; only words with punctuation need their squashed form.
-    squashed = text.substring_index(piece)
-    return " OR ".join(
-        f"contains({text.lowercase(piece)}, {text.literal(t)}) OR contains({squashed}, {text.literal(t)})"
-        for t in tokens
-    )
+    return text.word_holds(text.lowercase(piece), tokens)
 
 
 def fragments_of(value: str, mode: str) -> str:
@@ -60,16 +55,12 @@ def highlights(query: KeywordQuery) -> str:
         return f"cast(null AS {HIGHLIGHT_TYPE})"
     hit = _is_hit("piece", query.mode, list(dict.fromkeys(tokens)))
 
-    def entry(name: str) -> str:
-        pieces = fragments_of(name, query.mode)
-        if name in ARRAY_TEXT_FIELDS:
-            pieces = f"flatten(transform({name}, item -> {fragments_of('item', query.mode)}))"
-        shown = f"transform(slice(filter({pieces}, piece -> {hit}), 1, {FRAGMENTS}), p -> {html_encode('p')})"
-        label = text.literal(field_label(name, query.mode))
-        return f"named_struct('key', {label}, 'value', coalesce({shown}, {text.NO_STRINGS}))"
-
-    entries = ", ".join(entry(name) for name in highlighted_fields(query.mode))
-    found = f"filter(array({entries}), e -> size(e.value) > 0)"
+    labels = {field_label(f, query.mode): text.field_items(f) for f in highlighted_fields(query.mode)}
+    fields = ", ".join(f"named_struct('key', {text.literal(k)}, 'items', {v})" for k, v in labels.items())
+    pieces = f"flatten(transform(field.items, item -> {fragments_of('item', query.mode)}))"
+    shown = f"transform(slice(filter({pieces}, piece -> {hit}), 1, {FRAGMENTS}), p -> {html_encode('p')})"
+    entries = f"transform(array({fields}), field -> named_struct('key', field.key, 'value', {shown}))"
+    found = f"filter({entries}, e -> size(e.value) > 0)"
     # Bound as a lambda variable, so that the entries are built once.
     mapped = "CASE WHEN size(found) > 0 THEN map_from_entries(found) END"
     return f"transform(array({found}), found -> {mapped})[0]"

@@ -13,7 +13,6 @@ that follow (fields, clauses, verdict) all run on that partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,10 +21,11 @@ from pyspark.sql import functions as F
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD
 from profilescope.operators.joins import salted_join
-from profilescope.operators.relevance import field_boost, field_norm
-from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS
+from profilescope.operators.relevance import SCORE_DIGITS, boosts, norm
+from profilescope.schema import TEXT_FIELDS
 
-MODES = (SUBSTRING, WORD, EXACT)
+PHRASE = "phrase"
+MODES = (SUBSTRING, WORD, PHRASE, EXACT)
 
 
 def clause_tokens(requests: DataFrame) -> DataFrame:
@@ -43,17 +43,20 @@ def clause_tokens(requests: DataFrame) -> DataFrame:
     )
 
 
-def _fields(profiles: DataFrame, mode: str, tokens: Callable[[str], str]) -> DataFrame:
-    """One row per profile and field: ``id, field, norm, pieces``."""
-    rows = ", ".join(
-        f"named_struct('field', '{f}', 'norm', {field_norm(f, mode)}, 'pieces', {tokens(text.field_text(f))})"
-        for f in TEXT_FIELDS
-    )
-    return profiles.selectExpr("id", f"explode(array({rows})) AS f").selectExpr(
-        "id", "f.field AS field", "f.norm AS norm", "f.pieces AS pieces"
+def _items(profiles: DataFrame, mode: str) -> DataFrame:
+    """One row per profile and text field: ``id, field, boost, items``."""
+    names = text.literals(list(TEXT_FIELDS))
+    return profiles.selectExpr("id", f"posexplode({text.all_fields()}) AS (f, items)").selectExpr(
+        "id", f"array({names})[f] AS field", f"{boosts(mode)}[f] AS boost", "items"
     )
 
 
+def _contents(profiles: DataFrame, mode: str) -> DataFrame:
+    """One row per profile and text field: ``id, field, norm, content``."""
+    contents = _items(profiles, mode).selectExpr("id", "field", "boost", f"{text.content('items')} AS content")
+    return contents.where("content <> ''").selectExpr("id", "field", f"{norm('content', 'boost', mode)} AS norm", "content")
+
+
 def _posted(found: DataFrame, mode: str, freq: str) -> DataFrame:
     return found.groupBy("q", "id", "field").agg(
         F.expr(freq).alias("freq"), F.min("norm").alias("norm")
@@ -61,24 +64,26 @@ def _posted(found: DataFrame, mode: str, freq: str) -> DataFrame:
 
 
 def substring_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
-    tokens = _fields(profiles, SUBSTRING, text.substring_tokens).selectExpr(
-        "id", "field", "norm", "explode(pieces) AS token"
+    """Words are split into tokens and grams once per distinct word, not once per occurrence."""
+    words = _contents(profiles, SUBSTRING).selectExpr(
+        "id", "field", "norm", f"explode({text.whitespace_tokens(text.lowercase('content'))}) AS word"
     )
     lengths = wanted.agg(F.collect_set(F.length("q"))).scalar()  # at most 19 numbers
-    vocabulary = tokens.select("token").distinct().withColumn("lengths", lengths)
-    every_gram = f"flatten(transform(lengths, size -> {text.grams_of_length('token', 'size')}))"
-    grams = vocabulary.selectExpr("token", f"explode({every_gram}) AS q")
+    vocabulary = words.select("word").distinct().withColumn("lengths", lengths)
+    grams = vocabulary.selectExpr("word", "lengths", f"explode({text.delimited_tokens('word')}) AS token").selectExpr(
+        "word", f"explode(flatten(transform(lengths, size -> {text.grams_of_length('token', 'size')}))) AS q"
+    )
     contained = (
-        salted_join(grams, wanted, ["q"], ["token"])
-        .groupBy("q", "token")
+        salted_join(grams, wanted, ["q"], ["word"])
+        .groupBy("q", "word")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    return _posted(salted_join(tokens, contained, ["token"], ["id"]), SUBSTRING, "sum(times)")
+    return _posted(salted_join(words, contained, ["word"], ["id"]), SUBSTRING, "sum(times)")
 
 
 def word_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
-    tokens = _fields(profiles, WORD, text.word_tokens).selectExpr(
-        "id", "field", "norm", "explode(pieces) AS q"
+    tokens = _contents(profiles, WORD).selectExpr(
+        "id", "field", "norm", f"explode({text.word_tokens('content')}) AS q"
     )
     single = wanted.where(~F.col("q").contains(text.SEPARATOR))
     return _posted(salted_join(tokens, single, ["q"], ["id"]), WORD, "count(1)")
@@ -91,16 +96,11 @@ def phrase_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
         "q", f"posexplode(split(q, {mark})) AS (place, token)",
         f"size(filter(split(q, {mark}), w -> w <> {text.literal(text.STOPPED)})) AS words",
     ).where(F.col("token") != text.STOPPED)
-    values = ", ".join(
-        f"named_struct('field', '{f}', 'norm', {field_norm(f, WORD)}, 'items', "
-        + (f if f in ARRAY_TEXT_FIELDS else f"array({f})") + ")"
-        for f in TEXT_FIELDS
-    )
-    items = profiles.selectExpr("id", f"explode(array({values})) AS f").selectExpr(
-        "id", "f.field AS field", "f.norm AS norm", "posexplode(f.items) AS (item, content)"
+    items = _items(profiles, WORD).selectExpr(
+        "id", "field", f"{norm(text.content('items'), 'boost', WORD)} AS norm", "posexplode(items) AS (item, value)"
     )
     tokens = items.selectExpr(
-        "id", "field", "norm", "item", f"posexplode({text.word_positions('content')}) AS (spot, token)"
+        "id", "field", "norm", "item", f"posexplode({text.word_positions('value')}) AS (spot, token)"
     )
     starts = (
         salted_join(tokens, words, ["token"], ["id"])
@@ -112,14 +112,7 @@ def phrase_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def exact_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
-    rows = ", ".join(
-        f"named_struct('field', '{f}', 'norm', {field_boost(f, EXACT)}D, 'pieces', "
-        + (f if f in ARRAY_TEXT_FIELDS else f"array({f})") + ")"
-        for f in TEXT_FIELDS
-    )
-    values = profiles.selectExpr("id", f"explode(array({rows})) AS f").selectExpr(
-        "id", "f.field AS field", "f.norm AS norm", "explode(f.pieces) AS q"
-    )
+    values = _items(profiles, EXACT).selectExpr("id", "field", "boost AS norm", "explode(items) AS q")
     return _posted(salted_join(values, wanted, ["q"], ["id"]), EXACT, "count(1)")
 
 
@@ -132,16 +125,19 @@ def postings(profiles: DataFrame, tokens: DataFrame, modes: tuple[str, ...] = MO
     if SUBSTRING in modes:
         found.append(substring_postings(profiles, wanted(SUBSTRING)))
     if WORD in modes:
-        found += [word_postings(profiles, wanted(WORD)), phrase_postings(profiles, wanted(WORD))]
+        found.append(word_postings(profiles, wanted(WORD)))
+    if PHRASE in modes:
+        found.append(phrase_postings(profiles, wanted(WORD)))
     if EXACT in modes:
         found.append(exact_postings(profiles, wanted(EXACT)))
     return reduce(DataFrame.unionByName, found)
 
 
 def used_modes(requests: DataFrame) -> tuple[str, ...]:
-    """The keyword modes that occur: at most three values, so that unused ones cost nothing."""
-    rows = requests.where("size(clauses) > 0").select("mode").distinct().collect()
-    return tuple(r["mode"] for r in rows)
+    """The ways of matching that occur: at most four values, so that unused ones cost nothing."""
+    phrase = f"mode = '{WORD}' AND contains(q, {text.literal(text.SEPARATOR)})"
+    way = F.expr(f"CASE WHEN {phrase} THEN '{PHRASE}' ELSE mode END")
+    return tuple(r[0] for r in clause_tokens(requests).select(way).distinct().collect())
 
 
 def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, ...] | None = None) -> DataFrame:
@@ -188,7 +184,7 @@ def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, .
     )
     return verdict.selectExpr(
         "request_id", "id",
-        "CASE WHEN hits > 0 THEN hits / positive * sum ELSE 0D END AS score",
+        f"CASE WHEN hits > 0 THEN round(hits / positive * sum, {SCORE_DIGITS}) ELSE 0D END AS score",
         "must_hits = musts AND barred_hits = 0 AND hits > 0 AS matched",
         "barred_hits > 0 AS barred",
     )

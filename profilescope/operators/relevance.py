@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, KeywordQuery
-from profilescope.operators.fulltext import indexed_field, matchable, pattern, token_in_field
-from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS, WORD_BOOST
+from profilescope.operators.fulltext import content_test, folded_fields, matchable, pattern, value_test
+from profilescope.schema import TEXT_FIELDS, WORD_BOOST
 
 STATS = "_corpus"
+SCORE_DIGITS = 9  # sums of doubles depend on their order; rounded scores rank the same on every run
 
 
 def field_boost(name: str, mode: str) -> float:
@@ -33,19 +34,20 @@ def scored_tokens(query: KeywordQuery) -> list[str]:
 
 def corpus_statistics(profiles: DataFrame, query: KeywordQuery) -> DataFrame:
     """One row: the number of rows and, per query token and field, the rows that contain it."""
-    mode, columns = query.mode, profiles.columns
+    mode = query.mode
     if mode != EXACT:
-        folded = {text.index_column(f, mode): indexed_field(f, mode, columns) for f in TEXT_FIELDS}
-        profiles = profiles.selectExpr(*[f"{sql} AS {name}" for name, sql in folded.items()])
-        columns = profiles.columns
+        profiles = profiles.selectExpr(f"{folded_fields(mode, profiles.columns)} AS _folded")
+
+    def test(place: int, field: str, token: str) -> str:
+        return value_test(field, token) if mode == EXACT else content_test(f"_folded[{place}]", mode, token)
+
     per_token = [
-        "array("
-        + ", ".join(f"count_if({token_in_field(f, mode, token, columns)})" for f in TEXT_FIELDS)
-        + ")"
+        "array(" + ", ".join(f"count_if({test(i, f, token)})" for i, f in enumerate(TEXT_FIELDS)) + ")"
         for token in scored_tokens(query)
     ]
-    df = f"array({', '.join(per_token)})"
-    return profiles.selectExpr(f"named_struct('n', count(1), 'df', {df}) AS {STATS}")
+    return profiles.selectExpr(
+        f"named_struct('n', count(1), 'df', array({', '.join(per_token)})) AS {STATS}"
+    )
 
 
 def term_statistics(profiles: DataFrame, mode: str = WORD) -> DataFrame:
@@ -55,56 +57,52 @@ def term_statistics(profiles: DataFrame, mode: str = WORD) -> DataFrame:
     shuffle, so one frequent token costs one row per task.
     """
     tokens = text.word_tokens if mode == WORD else text.substring_tokens
-    per_field = ", ".join(
-        f"named_struct('field', '{f}', 'tokens', array_distinct({tokens(text.field_text(f))}))"
-        for f in TEXT_FIELDS
-    )
+    names = text.literals(list(TEXT_FIELDS))
     return (
-        profiles.selectExpr(f"explode(array({per_field})) AS f")
-        .selectExpr("f.field AS field", "explode(f.tokens) AS token")
+        profiles.selectExpr(f"posexplode({text.all_fields()}) AS (place, items)")
+        .selectExpr(f"array({names})[place] AS field", f"array_distinct({tokens(text.content('items'))}) AS tokens")
+        .selectExpr("field", "explode(tokens) AS token")
         .groupBy("field", "token")
         .agg(F.count(F.lit(1)).alias("df"))
     )
 
 
-def _countable(name: str, mode: str, query: KeywordQuery, columns: list[str]) -> str:
-    """The text of a field in which occurrences are counted; delimited tokens only where there is one."""
-    folded = indexed_field(name, mode, columns)
-    if mode == WORD:
-        return folded
-    tokens = f"array_join({text.substring_tokens(text.field_text(name))}, {text.literal(text.SEPARATOR)})"
-    hits = " OR ".join(token_in_field(name, mode, t, columns) for t in scored_tokens(query))
-    return f"CASE WHEN {hits} THEN {tokens} ELSE '' END"
+def _countable(query: KeywordQuery, columns: list[str]) -> str:
+    """Per field the text in which occurrences are counted: only words that hold a query token are split."""
+    if query.mode == WORD:
+        return folded_fields(WORD, columns)
+    words = text.whitespace_tokens(text.lowercase(text.content("items")))
+    holding = f"filter({words}, w -> {text.word_holds('w', scored_tokens(query))})"
+    tokens = f"flatten(transform({holding}, w -> {text.delimited_tokens('w')}))"
+    return f"transform({text.all_fields()}, items -> array_join({tokens}, {text.literal(text.SEPARATOR)}))"
 
 
-def _frequencies(query: KeywordQuery, columns: list[str]) -> str:
+def _frequencies(query: KeywordQuery) -> str:
     """Per query token and field the number of occurrences, overlapping ones included."""
     tokens = scored_tokens(query)
     if query.mode == EXACT:
         counts = [
-            ", ".join(
-                f"size(filter(coalesce({f}, array()), item -> item = {text.literal(t)}))"
-                if f in ARRAY_TEXT_FIELDS
-                else f"cast(coalesce({f} = {text.literal(t)}, false) AS int)"
-                for f in TEXT_FIELDS
-            )
+            f"transform({text.all_fields()}, items -> size(filter(items, item -> item = {text.literal(t)})))"
             for t in tokens
         ]
-        return "array(" + ", ".join(f"array({c})" for c in counts) + ")"
-    patterns = [f"(?={pattern(query.mode, t)})" for t in tokens]
-    counted = ", ".join(
-        f"transform(_countable, content -> regexp_count(content, {text.literal(p)}))" for p in patterns
-    )
-    return f"array({counted})"
+    else:
+        counts = [
+            f"transform(_countable, form -> regexp_count(form, {text.literal(f'(?={pattern(query.mode, t)})')}))"
+            for t in tokens
+        ]
+    return f"array({', '.join(counts)})"
 
 
-def field_norm(name: str, mode: str) -> str:
-    boost = field_boost(name, mode)
+def norm(content: str, boost: str, mode: str) -> str:
+    """Boost over the square root of the number of token positions; exact values have no length."""
     if mode == EXACT:
-        return f"{boost}D"
-    source = text.field_text(name)
-    positions = text.substring_positions(source) if mode == SUBSTRING else f"size({text.word_tokens(source)})"
-    return f"{boost}D / sqrt(greatest({positions}, 1))"
+        return f"({boost})"
+    positions = text.substring_positions(content) if mode == SUBSTRING else f"size({text.word_tokens(content)})"
+    return f"({boost}) / sqrt(greatest({positions}, 1))"
+
+
+def boosts(mode: str) -> str:
+    return "array(" + ", ".join(f"{field_boost(f, mode)}D" for f in TEXT_FIELDS) + ")"
 
 
 def with_score(matches: DataFrame, profiles: DataFrame, query: KeywordQuery, name: str = "score") -> DataFrame:
@@ -113,10 +111,8 @@ def with_score(matches: DataFrame, profiles: DataFrame, query: KeywordQuery, nam
     if not tokens:
         return matches.withColumn(name, F.lit(0.0))
     slot = {token: i for i, token in enumerate(tokens)}
-    countable = ", ".join(
-        "''" if query.mode == EXACT else _countable(f, query.mode, query, columns) for f in TEXT_FIELDS
-    )
-    norms = ", ".join(field_norm(f, query.mode) for f in TEXT_FIELDS)
+    countable = "array('')" if query.mode == EXACT else _countable(query, columns)
+    norms = f"transform({text.all_fields()}, (items, f) -> {norm(text.content('items'), f'{boosts(query.mode)}[f]', query.mode)})"
 
     def clause_score(clause_tokens: tuple[str, ...]) -> str:
         slots = [slot[t] for t in clause_tokens if t in slot]
@@ -137,9 +133,9 @@ def with_score(matches: DataFrame, profiles: DataFrame, query: KeywordQuery, nam
         f"pow(1D + ln({STATS}.n / (df + 1)), 2)))"
     )
     return (
-        matches.selectExpr("*", f"array({countable}) AS _countable", f"array({norms}) AS _norm")
+        matches.selectExpr("*", f"{countable} AS _countable", f"{norms} AS _norm")
         .withColumn(STATS, corpus_statistics(profiles, query).scalar())
-        .selectExpr("*", f"{_frequencies(query, columns)} AS _freq", f"{weights} AS _weight")
+        .selectExpr("*", f"{_frequencies(query)} AS _freq", f"{weights} AS _weight")
         .selectExpr("*", f"array({', '.join(clauses)}) AS _clauses")
-        .selectExpr(*columns, f"{found} * {total} AS {name}")
+        .selectExpr(*columns, f"round({found} * {total}, {SCORE_DIGITS}) AS {name}")
     )

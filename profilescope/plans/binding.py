@@ -180,3 +180,46 @@ def score_changes(events: DataFrame) -> DataFrame:
         f"event_id AS {SEQUENCE}",
         f"CASE WHEN event_type = 'error' THEN '{DELETE}' ELSE '{UPSERT}' END AS {OP}",
     )
+
+
+REQUEST_PARAMS = {
+    "as_of": "concat(1995 + k % 5, '-06-01T00:00:00')",
+    "epoch": "CASE WHEN k % 8 = 5 THEN concat('1995-01-', lpad(cast(1 + k % 28 AS string), 2, '0')) END",
+    "work_locations": "CASE WHEN k % 8 = 0 THEN to_json(array(concat('NATION_', n), concat('NATION_', (n + 7) % 25), '2-HIGH')) END",
+    "maximum_salary": "CASE WHEN k % 8 = 0 THEN cast(20000 + 100 * k AS string) END",
+    "languages": "CASE WHEN k % 8 = 1 THEN '[\"en\", \"fr\"]' END",
+    "company_id": "CASE WHEN k % 8 = 1 THEN cast(n AS string) END",
+    "desired_work_roles": "CASE WHEN k % 8 = 2 THEN '[\"PROMO:5\", \" SMALL \"]' END",
+    "current_location": "CASE WHEN k % 8 = 3 THEN to_json(array(concat('NATION_', n))) END",
+    "contacted_talents": "CASE WHEN k % 8 = 4 THEN concat(k, ', ', k + 1, ',x') END",
+    "presented_talents": "CASE WHEN k % 8 IN (4, 5) THEN to_json(array(2 * k + 1, 3 * k)) END",
+    "work_authorization": "CASE WHEN k % 8 = 5 THEN '[\"yes\", \"no\"]' END",
+    "bookmarked_talents": "CASE WHEN k % 8 = 6 THEN array_join(transform(sequence(1, 9), i -> i * k), ',') END",
+    "professional_experience": "CASE WHEN k % 8 = 7 THEN '[\"8+\", \"4..6\"]' END",
+    "ignored_talents": "CASE WHEN k % 8 = 7 THEN to_json(array(k, k + 2)) END",
+    "keywords": (
+        "CASE k % 7 WHEN 2 THEN name WHEN 3 THEN concat('\"', name, '\"') WHEN 4 THEN substr(noun, 2, 3) "
+        "WHEN 5 THEN concat(adjective, ' AND NOT ', noun) WHEN 6 THEN 'NOT automobile' END"
+    ),
+    "features": (
+        "CASE WHEN k % 7 = 2 AND k % 3 = 0 THEN '[\"no_fulltext_search\", \"keywords_should\"]' "
+        "WHEN k % 7 IN (2, 5, 6) THEN '[\"no_fulltext_search\"]' "
+        "WHEN k % 7 = 4 AND k % 3 = 0 THEN '[\"keywords_should\"]' END"
+    ),
+    "offset": "cast(k % 3 AS string)",
+    "per_page": "CASE WHEN k % 2 = 0 THEN '5' END",
+}
+
+
+def raw_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One saved search per supplier, as raw parameters; its keywords come from a part's name."""
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("name"))
+    sources = (
+        table(spark, folder, "supplier")
+        .join(parts, F.col("s_suppkey") == F.col("p_partkey"))
+        .selectExpr(
+            "s_suppkey AS k", "s_nationkey AS n", "name", "split(name, ' ')[0] AS adjective", "split(name, ' ')[1] AS noun"
+        )
+    )
+    entries = ", ".join(f"'{name}', {value}" for name, value in REQUEST_PARAMS.items())
+    return sources.selectExpr("k AS request_id", f"map_filter(map({entries}), (name, value) -> value IS NOT NULL) AS params")

@@ -12,8 +12,9 @@ from profilescope.functions import keywords as kw
 from profilescope.functions import predicates as p
 from profilescope.functions import text
 from profilescope.functions import values as v
-from profilescope.operators import changelog, scores
+from profilescope.operators import batch, changelog, scores
 from profilescope.operators.highlight import highlights
+from profilescope.operators.postings import match_keywords
 from profilescope.operators.relevance import term_statistics
 from profilescope.operators.search import (
     all_hits,
@@ -24,7 +25,7 @@ from profilescope.operators.search import (
     total_hits,
 )
 from profilescope.plans import binding, oracle
-from profilescope.plans.requests import SearchRequest
+from profilescope.plans.requests import SearchRequest, decode_requests
 from profilescope.schema import TableSpec
 from profilescope.session import scratch_path
 from profilescope.sources.documents import PROFILES, SCORES, decode_scores, ingest_profiles, sync_roles
@@ -685,3 +686,78 @@ def _(spark, folder):
 ).replace("SELECT id, field, string_agg", "SELECT id, field || '.raw' AS field, string_agg"))
 def _(spark, folder):
     return highlighted(spark, folder, '"red widget" MACHINERY', False)
+
+
+# --- saved searches -----------------------------------------------------------------------------------------
+
+def saved_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return decode_requests(binding.raw_requests(spark, folder))
+
+
+@query("request_decode", f"""WITH {oracle.REQUESTS}
+SELECT request_id, strftime(as_of, '%Y-%m-%d') AS as_of, strftime(epoch, '%Y-%m-%d') AS epoch, optional,
+  CASE WHEN k % 8 = 0 THEN 'NATION_' || n || '|NATION_' || (n + 7) % 25 || '|2-HIGH' ELSE '' END AS places,
+  CASE WHEN k % 8 = 0 THEN 20000 + 100 * k END AS maximum_salary, CASE WHEN k % 8 = 1 THEN CAST(n AS BIGINT) END AS company_id,
+  CASE WHEN k % 8 = 2 THEN 'PROMO>4..6,6..8,8+|SMALL' ELSE '' END AS roles, array_to_string(presented, '|') AS presented,
+  CASE WHEN k % 8 = 4 THEN k || '|' || k + 1 ELSE '' END AS contacted, skip, CAST(size AS BIGINT) AS size,
+  CASE k % 7 WHEN 2 THEN 'word should:' || adjective || ' should:' || noun WHEN 3 THEN 'exact should:' || name
+    WHEN 4 THEN 'substring should:' || substring(noun, 2, 3) WHEN 5 THEN 'word must:' || adjective || ' must_not:' || noun
+    WHEN 6 THEN 'word must_not:automobile' ELSE 'substring ' END AS clauses
+FROM requests""")
+def _(spark, folder):
+    return saved_requests(spark, folder).selectExpr(
+        "request_id", "date_format(as_of, 'yyyy-MM-dd') AS as_of", "date_format(epoch, 'yyyy-MM-dd') AS epoch",
+        "keywords_should AS optional", "array_join(work_locations, '|') AS places", "maximum_salary", "company_id",
+        "array_join(transform(roles, r -> concat(r.role, coalesce(concat('>', array_join(r.ranges, ',')), ''))), '|') AS roles",
+        "array_join(presented, '|') AS presented", "array_join(contacted, '|') AS contacted",
+        "offset AS skip", "per_page AS size",
+        "concat(mode, ' ', array_join(transform(clauses, c -> concat(c.occur, ':', array_join(c.tokens, ','))), ' ')) AS clauses",
+    )
+
+
+@query("saved_searches_by_facets", f"""WITH {oracle.PROFILES}, {oracle.REQUESTS}, {oracle.PAIRS}
+SELECT request_id, id FROM pairs""")
+def _(spark, folder):
+    return batch.match_facets(saved_requests(spark, folder), binding.profiles(spark, folder)).select("request_id", "id")
+
+
+@query("saved_searches_by_keywords", f"""{oracle.request_keywords()}
+SELECT request_id, id, round(score, 6) AS score FROM keyword_hits""")
+def _(spark, folder):
+    pairs = match_keywords(saved_requests(spark, folder), binding.profiles(spark, folder))
+    return pairs.selectExpr("request_id", "id", "round(score, 6) AS score")
+
+
+@query("saved_searches", f"{oracle.saved_searches()} SELECT request_id, id, round(score, 6) AS score FROM found")
+def _(spark, folder):
+    pairs = batch.match_saved_searches(saved_requests(spark, folder), binding.profiles(spark, folder))
+    return pairs.selectExpr("request_id", "id", "round(score, 6) AS score")
+
+
+@query("saved_search_pages", f"""{oracle.saved_searches()} SELECT request_id, CAST(place AS INTEGER) AS place, id FROM placed
+WHERE place > skip AND place <= skip + size""")
+def _(spark, folder):
+    requests = saved_requests(spark, folder)
+    pairs = batch.match_saved_searches(requests, binding.profiles(spark, folder))
+    return batch.pages(pairs, requests).select("request_id", "place", "id")
+
+
+@query("saved_search_totals", f"{oracle.saved_searches()} SELECT request_id, count(*) AS total FROM found GROUP BY request_id")
+def _(spark, folder):
+    pairs = batch.match_saved_searches(saved_requests(spark, folder), binding.profiles(spark, folder))
+    return batch.totals(pairs)
+
+
+EXCLUDED = "(request_id, id) {} IN (SELECT (event_id % 100, user_id) FROM events WHERE event_type = 'view')"
+
+
+@query("batch_exclusions", f"""WITH {oracle.PROFILES}, {oracle.REQUESTS}, {oracle.PAIRS}
+SELECT 'only' AS kind, request_id, id FROM pairs WHERE {EXCLUDED.format('')}
+UNION ALL SELECT 'without', request_id, id FROM pairs WHERE {EXCLUDED.format('NOT')}""")
+def _(spark, folder):
+    pairs = batch.match_facets(saved_requests(spark, folder), binding.profiles(spark, folder)).select("request_id", "id")
+    viewed = binding.table(spark, folder, "events").where("event_type = 'view'").selectExpr(
+        "event_id % 100 AS request_id", "user_id AS id"
+    )
+    only, without = batch.only_pairs(pairs, viewed), batch.without_pairs(pairs, viewed)
+    return only.selectExpr("'only' AS kind", "*").union(without.selectExpr("'without' AS kind", "*"))

@@ -169,7 +169,7 @@ totals AS (
 judged AS (
   SELECT request_id, id, count(*) FILTER (occur = 'must') AS must_hits, any_value(musts) AS musts,
          count(*) FILTER (occur = 'must_not') AS barred,
-         count(*) FILTER (occur <> 'must_not') / any_value(positive) * sum(s) FILTER (occur <> 'must_not') AS score
+         round(count(*) FILTER (occur <> 'must_not') / any_value(positive) * sum(s) FILTER (occur <> 'must_not'), 9) AS score
   FROM by_clause JOIN totals USING (request_id) GROUP BY request_id, id),
 keyword_hits AS (
   SELECT request_id, id, score FROM judged WHERE must_hits = musts AND barred = 0 AND score IS NOT NULL)"""
@@ -195,3 +195,63 @@ def optional_keyword_search(mode: str, clauses: list[tuple[str, list[str]]]) ->
     return f"""WITH {PROFILES}, {TEXTS}, {clause_rows(mode, clauses)}, {postings()}
 SELECT id, headline, round(coalesce(judged.score, 0), 6) AS score FROM profiles LEFT JOIN judged USING (id)
 WHERE {VISIBLE}"""
+
+
+REQUESTS = """
+requests AS (
+  SELECT s_suppkey AS request_id, s_suppkey AS k, s_nationkey AS n, p_name AS name, string_split(p_name, ' ')[1] AS adjective,
+         string_split(p_name, ' ')[2] AS noun, make_timestamp(1995 + s_suppkey % 5, 6, 1, 0, 0, 0) AS as_of,
+         CASE WHEN s_suppkey % 8 = 5 THEN make_timestamp(1995, 1, 1 + s_suppkey % 28, 0, 0, 0) END AS epoch,
+         CASE WHEN s_suppkey % 8 IN (4, 5) THEN [2 * s_suppkey + 1, 3 * s_suppkey] ELSE [] END AS presented,
+         s_suppkey % 3 AS skip, CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 10 END AS size,
+         s_suppkey % 7 IN (2, 4) AND s_suppkey % 3 = 0 AS optional
+  FROM supplier JOIN part ON s_suppkey = p_partkey)"""
+
+PAIRS = """
+pairs AS (
+  SELECT request_id, id, headline, batch_starts_at, weight, added_to_batch_at, k, optional, skip, size
+  FROM requests JOIN profiles ON (
+    (accepted AND CASE WHEN epoch IS NOT NULL THEN batch_starts_at = epoch
+     ELSE batch_starts_at <= as_of AND batch_ends_at >= as_of END) OR list_contains(presented, id))
+  WHERE CASE k % 8
+    WHEN 0 THEN list_has_any(work_locations, ['NATION_' || n, 'NATION_' || (n + 7) % 25])
+                AND minimums[list_position(cities, '2-HIGH')] <= 20000 + 100 * k
+    WHEN 1 THEN list_has_all(languages, ['en', 'fr']) AND NOT list_contains(contacted_company_ids, n)
+                AND NOT list_contains(blocked_companies, n)
+    WHEN 2 THEN list_contains(role_names, 'SMALL') OR (list_position(role_names, 'PROMO') > 0
+                AND role_years[list_position(role_names, 'PROMO')] IN ('4..6', '6..8', '8+'))
+    WHEN 3 THEN current_location = 'NATION_' || n
+    WHEN 4 THEN id NOT IN (k, k + 1)
+    WHEN 5 THEN work_authorization IN ('yes', 'no')
+    WHEN 6 THEN list_contains(list_transform(range(1, 10), lambda i: i * k), id)
+    ELSE professional_experience IN ('8+', '4..6') AND id NOT IN (k, k + 2) END)"""
+
+REQUEST_CLAUSES = """
+clauses AS (
+  SELECT request_id, 'word' AS mode, 0 AS clause, 'should' AS occur, 1 AS k, adjective AS q FROM requests WHERE k % 7 = 2
+  UNION ALL SELECT request_id, 'word', 1, 'should', 1, noun FROM requests WHERE k % 7 = 2
+  UNION ALL SELECT request_id, 'exact', 0, 'should', 1, name FROM requests WHERE k % 7 = 3
+  UNION ALL SELECT request_id, 'substring', 0, 'should', 1, substring(noun, 2, 3) FROM requests WHERE k % 7 = 4
+  UNION ALL SELECT request_id, 'word', 0, 'must', 1, adjective FROM requests WHERE k % 7 = 5
+  UNION ALL SELECT request_id, 'word', 1, 'must_not', 1, noun FROM requests WHERE k % 7 = 5
+  UNION ALL SELECT request_id, 'word', 0, 'must_not', 1, 'automobile' FROM requests WHERE k % 7 = 6)"""
+
+
+def request_keywords() -> str:
+    return f"WITH {PROFILES}, {TEXTS}, {REQUESTS}, {REQUEST_CLAUSES}, {postings()}"
+
+
+def saved_searches() -> str:
+    """All pairs with their scores, as ``found``."""
+    return f"""{request_keywords()}, {PAIRS},
+found AS (
+  SELECT pairs.*, CAST(NULL AS DOUBLE) AS score FROM pairs WHERE k % 7 IN (0, 1)
+  UNION ALL SELECT pairs.*, coalesce(judged.score, 0) FROM pairs LEFT JOIN judged USING (request_id, id) WHERE optional
+  UNION ALL SELECT pairs.*, keyword_hits.score FROM pairs JOIN keyword_hits USING (request_id, id)
+  WHERE k % 7 IN (2, 3, 4, 5) AND NOT optional
+  UNION ALL SELECT pairs.*, 0 FROM pairs WHERE k % 7 = 6
+  AND (request_id, id) NOT IN (SELECT (request_id, id) FROM judged WHERE barred > 0)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST,
+    CASE WHEN score IS NULL THEN batch_starts_at END DESC NULLS LAST, CASE WHEN score IS NULL THEN weight END DESC,
+    CASE WHEN score IS NULL THEN added_to_batch_at END DESC NULLS LAST, id) AS place FROM found)"""
