@@ -7,7 +7,8 @@ Tokens of the profiles meet tokens of the requests in equi-joins, never in a cro
   terms through its character grams of just the lengths that the requests use;
 * phrases join on their words and are then counted per start position.
 
-Hot tokens are salted. The pairs are spread by ``(request_id, id)`` once, and the three aggregations
+The side of the requests is broadcast only after its rows were counted, else hot tokens are salted. What
+was found is written once, since both the document frequencies and the scores read it. The pairs are spread by ``(request_id, id)`` once, and the three aggregations
 that follow (fields, clauses, verdict) all run on that partitioning.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from profilescope.functions import text
 from profilescope.functions.keywords import EXACT, SUBSTRING, WORD
-from profilescope.operators.joins import salted_join
+from profilescope.operators.joins import hot_join, is_small, written_once
 from profilescope.operators.relevance import SCORE_DIGITS, boosts, norm
 from profilescope.schema import TEXT_FIELDS
 
@@ -63,7 +64,7 @@ def _posted(found: DataFrame, mode: str, freq: str) -> DataFrame:
     ).select(F.lit(mode).alias("mode"), "q", "id", "field", "freq", "norm")
 
 
-def substring_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
+def substring_postings(profiles: DataFrame, wanted: DataFrame, fits: bool) -> DataFrame:
     """Words are split into tokens and grams once per distinct word, not once per occurrence."""
     words = _contents(profiles, SUBSTRING).selectExpr(
         "id", "field", "norm", f"explode({text.whitespace_tokens(text.lowercase('content'))}) AS word"
@@ -73,23 +74,25 @@ def substring_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
     grams = vocabulary.selectExpr("word", "lengths", f"explode({text.delimited_tokens('word')}) AS token").selectExpr(
         "word", f"explode(flatten(transform(lengths, size -> {text.grams_of_length('token', 'size')}))) AS q"
     )
-    contained = (
-        salted_join(grams, wanted, ["q"], ["word"])
+    contained = written_once(
+        hot_join(grams, wanted, ["q"], ["word"], fits)
         .groupBy("q", "word")
-        .agg(F.count(F.lit(1)).alias("times"))
+        .agg(F.count(F.lit(1)).alias("times")),
+        "words",
     )
-    return _posted(salted_join(words, contained, ["word"], ["id"]), SUBSTRING, "sum(times)")
+    found = hot_join(words, contained, ["word"], ["id"], is_small(contained))
+    return _posted(found, SUBSTRING, "sum(times)")
 
 
-def word_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
+def word_postings(profiles: DataFrame, wanted: DataFrame, fits: bool) -> DataFrame:
     tokens = _contents(profiles, WORD).selectExpr(
         "id", "field", "norm", f"explode({text.word_tokens('content')}) AS q"
     )
     single = wanted.where(~F.col("q").contains(text.SEPARATOR))
-    return _posted(salted_join(tokens, single, ["q"], ["id"]), WORD, "count(1)")
+    return _posted(hot_join(tokens, single, ["q"], ["id"], fits), WORD, "count(1)")
 
 
-def phrase_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
+def phrase_postings(profiles: DataFrame, wanted: DataFrame, fits: bool) -> DataFrame:
     """Phrases: a start position counts when all words of the phrase are at their places after it."""
     mark = text.literal(text.SEPARATOR)
     words = wanted.where(F.col("q").contains(text.SEPARATOR)).selectExpr(
@@ -103,7 +106,7 @@ def phrase_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
         "id", "field", "norm", "item", f"posexplode({text.word_positions('value')}) AS (spot, token)"
     )
     starts = (
-        salted_join(tokens, words, ["token"], ["id"])
+        hot_join(tokens, words, ["token"], ["id"], fits)
         .groupBy("q", "id", "field", "item", (F.col("spot") - F.col("place")).alias("start"))
         .agg(F.count(F.lit(1)).alias("found"), F.min("words").alias("words"), F.min("norm").alias("norm"))
         .where("found = words")
@@ -111,25 +114,26 @@ def phrase_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
     return _posted(starts, WORD, "count(1)")
 
 
-def exact_postings(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
+def exact_postings(profiles: DataFrame, wanted: DataFrame, fits: bool) -> DataFrame:
     values = _items(profiles, EXACT).selectExpr("id", "field", "boost AS norm", "explode(items) AS q")
-    return _posted(salted_join(values, wanted, ["q"], ["id"]), EXACT, "count(1)")
+    return _posted(hot_join(values, wanted, ["q"], ["id"], fits), EXACT, "count(1)")
 
 
-def postings(profiles: DataFrame, tokens: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+def postings(profiles: DataFrame, tokens: DataFrame, modes: tuple[str, ...], fits: bool) -> DataFrame:
     """``mode, q, id, field, freq, norm`` for every query token found in a field."""
+
     def wanted(mode: str) -> DataFrame:
         return tokens.where(F.col("mode") == mode).select("q").distinct()
 
     found = []
     if SUBSTRING in modes:
-        found.append(substring_postings(profiles, wanted(SUBSTRING)))
+        found.append(substring_postings(profiles, wanted(SUBSTRING), fits))
     if WORD in modes:
-        found.append(word_postings(profiles, wanted(WORD)))
+        found.append(word_postings(profiles, wanted(WORD), fits))
     if PHRASE in modes:
-        found.append(phrase_postings(profiles, wanted(WORD)))
+        found.append(phrase_postings(profiles, wanted(WORD), fits))
     if EXACT in modes:
-        found.append(exact_postings(profiles, wanted(EXACT)))
+        found.append(exact_postings(profiles, wanted(EXACT), fits))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -153,7 +157,8 @@ def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, .
             [], f"request_id {requests.schema['request_id'].dataType.simpleString()}, id long, score double, "
             "matched boolean, barred boolean"
         )
-    found = postings(profiles, tokens, modes)
+    fits = is_small(tokens)
+    found = written_once(postings(profiles, tokens, modes, fits), "postings")
     frequency = (
         found.groupBy("mode", "q", "field")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -163,7 +168,7 @@ def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, .
     weighed = tokens.join(frequency, ["mode", "q"])
     total = profiles.agg(F.count(F.lit(1))).scalar()
     pairs = (
-        salted_join(found, weighed, ["mode", "q"], ["id"])
+        hot_join(found, weighed, ["mode", "q"], ["id"], fits)
         .withColumn("n", total)
         .selectExpr(
             "request_id", "id", "clause", "occur", "field", "positive", "musts", "k", "norm",

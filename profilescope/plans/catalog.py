@@ -102,13 +102,18 @@ search_query(
     {
         "languages": ["en"],
         "work_authorization": ["yes", "no"],
-        "work_locations": ["NATION_2", "NATION_4", "NATION_6"],
-        "maximum_salary": "0",
+        "work_locations": ["NATION_2", "2-HIGH"],
+        "maximum_salary": "90000",
         "desired_work_roles": ["SMALL:3", "MEDIUM"],
-        "company_id": "12",
+        "company_id": "7",
         "ignored_talents": "9,18,27",
+        "professional_experience": ["8+"],
     },
-    "FALSE",
+    f"""list_contains(languages, 'en') AND work_authorization IN ('yes', 'no') AND professional_experience = '8+'
+    AND list_contains(work_locations, 'NATION_2') AND minimums[list_position(cities, '2-HIGH')] <= 90000
+    AND (list_contains(role_names, 'MEDIUM') OR (list_position(role_names, 'SMALL') > 0
+         AND role_years[list_position(role_names, 'SMALL')] IN ('2..4', '4..6', '6..8', '8+')))
+    AND {COMPANY} AND id NOT IN (9, 18, 27)""",
 )
 search_query(
     "boolean_composition",
@@ -605,7 +610,7 @@ keyword_query("keywords_boolean", "widget AND thnt the NOT machinery", [W], "wor
               [("must", ["widget"]), ("must", ["thnt"]), ("must_not", ["machinery"])])
 keyword_query("keywords_over_fields", "household nation_7", [], "substring",
               [("should", ["household"]), ("should", ["nation_7", "nation", "7", "nation7"])])
-keyword_query("keywords_with_facets", "tionner", [], "substring", [("should", ["tionner"])],
+keyword_query("keywords_with_facets", "ngentio", [], "substring", [("should", ["ngentio"])],
               {"work_locations": ["NATION_3"], "work_authorization": ["yes"]},
               "list_contains(work_locations, 'NATION_3') AND work_authorization = 'yes'")
 keyword_query("keywords_optional", "mentai hea", [W, S], "word", [], sql=oracle.optional_keyword_search(
