@@ -34,6 +34,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": str(CPUS * 2),
             "spark.driver.memory": "16g",
+            # Text work after a small shuffle is heavy for its bytes: keep all cores busy.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
             "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
