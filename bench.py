@@ -1,8 +1,8 @@
 """Headline queries on stored tables: prints one JSON line.
 
 The profile snapshot (with its folded text forms) and the decoded requests are written first, as a
-service would hold them; their build time is reported apart. Each query runs once to warm up, then
-``BENCH_RUNS`` times; the median counts.
+service would hold them; their build time is reported apart. Each query runs once to warm up, then up to
+``BENCH_RUNS`` times (once, if that takes long); the median counts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from profilescope.session import build_session
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+ENOUGH_SECONDS = 20.0
 
 
 def main() -> None:
@@ -74,7 +75,7 @@ def main() -> None:
     seconds = {}
     for name, frame in pages.items():
         times = []
-        for _ in range(RUNS + 1):
+        while len(times) <= RUNS and (len(times) < 2 or sum(times) < ENOUGH_SECONDS):
             started = time.perf_counter()
             frame().write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - started)

@@ -610,7 +610,7 @@ keyword_query("keywords_boolean", "widget AND thnt the NOT machinery", [W], "wor
               [("must", ["widget"]), ("must", ["thnt"]), ("must_not", ["machinery"])])
 keyword_query("keywords_over_fields", "household nation_7", [], "substring",
               [("should", ["household"]), ("should", ["nation_7", "nation", "7", "nation7"])])
-keyword_query("keywords_with_facets", "ngentio", [], "substring", [("should", ["ngentio"])],
+keyword_query("keywords_with_facets", "ention", [], "substring", [("should", ["ention"])],
               {"work_locations": ["NATION_3"], "work_authorization": ["yes"]},
               "list_contains(work_locations, 'NATION_3') AND work_authorization = 'yes'")
 keyword_query("keywords_optional", "mentai hea", [W, S], "word", [], sql=oracle.optional_keyword_search(
