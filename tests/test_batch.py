@@ -3,6 +3,7 @@ import json
 from conftest import AS_OF, year
 from test_search import FACETS, KEYWORDS
 
+from profilescope.operators import batch
 from profilescope.operators.batch import match_saved_searches, only_pairs, pages, totals, without_pairs
 from profilescope.operators.postings import match_keywords
 from profilescope.operators.search import all_hits, search_profiles
@@ -67,3 +68,13 @@ def test_no_keywords_at_all(spark, profiles):
     requests = decode_requests(raw_requests(spark, [{}, {"languages": ["English"]}]))
     assert match_keywords(requests, profiles).count() == 0
     assert match_saved_searches(requests, profiles).count() == 7
+
+
+def test_deep_pages_are_cut_in_two_steps(spark, profiles, monkeypatch):
+    many = [{"per_page": 2, "offset": 1}, {"per_page": 3}, {"languages": ["English"], "offset": 2}]
+    requests = decode_requests(raw_requests(spark, many))
+    pairs = batch.match_facets(requests, profiles).selectExpr("*", "cast(NULL AS double) AS score").cache()
+    want = sorted(map(tuple, pages(pairs, requests).collect()))
+    assert [r[2] for r in want] == [5, 2, 4, 5, 2, 2]
+    monkeypatch.setattr(batch, "GROUP_LIMIT", 0)
+    assert sorted(map(tuple, pages(pairs, requests).collect())) == want

@@ -62,7 +62,7 @@ def test_parameters(spark):
     assert lists == [["Fullstack", "DevOps"], [""], [], [], []]
     ids = evaluate(spark, ["1, 4", "2,x,,3", "a,b", '["1","2"]', '["1","x"]', None, "5000000000"], v.int_list("x"))
     assert ids == [[1, 4], [2, 3], [], [1, 2], [], [], []]
-    assert evaluate(spark, ["4", "", "madukapls", '["1"]', None], v.int_scalar("x")) == [[4], [], [], [], []]
+    assert evaluate(spark, ["4", "", "not a number", '["1"]', None], v.int_scalar("x")) == [[4], [], [], [], []]
     assert evaluate(spark, ["7", "-1", "x", None], v.page_offset("x")) == [7, 0, 0, 0]
     assert evaluate(spark, ["7", "x", None], v.page_size("x")) == [7, 10, 10]
     moments = evaluate(spark, ["2016-03-04T12:24:00+01:00", "2016-03-04", "soon"], v.instant("x"))

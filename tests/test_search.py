@@ -207,8 +207,8 @@ def test_missing_table_is_empty(spark, profiles):
     profiles.createOrReplaceTempView("people")
     empty = profiles.limit(0)
     assert select_table(spark, "people", None, empty).count() == 5
-    missing = select_table(spark, "people", "lololol", empty)
-    assert ids(search(spark, missing, {"index": "lololol"})) == []
+    missing = select_table(spark, "people", "no_such_index", empty)
+    assert ids(search(spark, missing, {"index": "no_such_index"})) == []
 
 
 def test_explain(spark, profiles):
