@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilescope.llm import packing, sharding
+from profilescope.llm import packing, quality, sharding
 from profilescope.llm.common import table
 
 
@@ -15,6 +15,7 @@ def _over(run: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession,
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_quality": _over(quality.op1, "documents", "labels"),
     "op3_feistel_shards": _over(sharding.op3, "documents"),
     "op10_sum_of_squares": _over(packing.op10, "documents"),
 }
