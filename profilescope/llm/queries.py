@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilescope.llm import packing, quality, sharding
+from profilescope.llm import packing, quality, sharding, topk
 from profilescope.llm.common import table
 
 
@@ -17,7 +17,10 @@ def _over(run: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": _over(quality.op1, "documents", "labels"),
     "op3_feistel_shards": _over(sharding.op3, "documents"),
+    "op6_no_random_access": _over(topk.op6, "embeddings"),
     "op10_sum_of_squares": _over(packing.op10, "documents"),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_no_random_access": topk.ORACLE_OP6,
+}
