@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilescope.llm import packing, quality, sharding, topk
+from profilescope.llm import decontamination, packing, quality, sharding, topk
 from profilescope.llm.common import table
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": _over(quality.op1, "documents", "labels"),
     "op3_feistel_shards": _over(sharding.op3, "documents"),
     "op6_no_random_access": _over(topk.op6, "embeddings"),
+    "op8_block_max_wand": _over(decontamination.op8, "documents", "benchmark"),
     "op10_sum_of_squares": _over(packing.op10, "documents"),
 }
 
