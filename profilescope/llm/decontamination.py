@@ -6,8 +6,9 @@ length. Of an item of at most L words (L a power of two) any occurrence lies wit
 starts at a multiple of L; so items are indexed by length class, and a text is cut into overlapping passages of each class.
 
 A passage first meets the sum of its terms' highest scores, as the first bound of WAND, for all passages of a text at
-once. Those that reach the threshold go through block-max WAND over the posting lists, which returns every item
-at or above the threshold. Retrieved items are verified: most word trigrams of their question and at least
+once, then the sums of the highest scores that its distinct terms have in any one run of neighbouring items. Passages
+whose bounds reach the threshold go through block-max WAND over the posting lists, which returns every item at or
+above the threshold. Retrieved items are verified: most word trigrams of their question and at least
 half of those of their answer must occur in the passage.
 
 Item statistics are Spark aggregates. Items are dealt to indexes of a bounded size, each of which all documents
@@ -35,9 +36,11 @@ MIN_SCORE = 0.6
 #: Shares of the question's and the answer's word trigrams that must occur in the passage.
 MIN_QUESTION, MIN_ANSWER = 0.8, 0.5
 #: UTF-8 bytes of items in one index.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 2 << 20
 #: Postings of a block of block-max WAND.
 BLOCK = 16
+#: Runs of neighbouring items for which every term's highest score is tabled, at most.
+RUNS = 64
 CACHED_WORDS = 300_000
 _EDGE = b".,;:!?\"'()[]{}<>#$%&*|~-_=+/\\"
 OUTPUT = "item_id long, first_word long, score double, question_overlap double, answer_overlap double"
@@ -99,8 +102,14 @@ class ClassIndex:
         self.ceiling = np.zeros(vocabulary + 1, dtype=np.float64)  # the last place is for unknown words
         self.lists: dict[int, Postings] = {}
         self.raw: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.runs = np.zeros((vocabulary + 1, 1), dtype=np.float32)
 
-    def close(self) -> None:
+    def close(self, items: int) -> None:
+        run = max(BLOCK, -(-items // RUNS))
+        self.runs = np.zeros((len(self.ceiling), -(-items // run)), dtype=np.float32)
+        for term, pairs in self.raw.items():
+            for item, score in pairs:
+                self.runs[term, item // run] = max(self.runs[term, item // run], score)
         for term, pairs in self.raw.items():
             pairs.sort()
             self.lists[term] = found = Postings([i for i, _ in pairs], [s for _, s in pairs])
@@ -115,7 +124,11 @@ class ClassIndex:
         for i in np.flatnonzero(total[ends] - total[starts] >= least - 1e-9):
             yield int(starts[i]), int(ends[i])
 
-    def retrieve(self, terms: set[int], least: float) -> list[tuple[int, float]]:
+    def may_hold(self, terms: np.ndarray, least: float) -> bool:
+        """Whether the distinct terms' highest scores within any run of items add up to ``least``."""
+        return bool(self.runs[terms].sum(0).max(initial=0) >= least - 1e-5)
+
+    def retrieve(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """Every item with a score of at least ``least`` for the distinct terms: block-max WAND."""
         least -= 1e-9
         lists = [p for t in terms if (p := self.lists.get(t))]
@@ -201,7 +214,7 @@ class ItemIndex:
                 by_class.raw[self.numbers[term]].append((len(self.items), weight))
             self.items.append(Item(item_id, *question_and_answer(text)))
         for by_class in self.classes.values():
-            by_class.close()
+            by_class.close(len(self.items))
 
     def matches(self, text: str | None, terms: Terms, least: float) -> list[tuple[int | None, int, float, float, float]]:
         """The verified items of a text with their best passage."""
@@ -211,8 +224,10 @@ class ItemIndex:
         spelled: list[bytes] | None = None
         for by_class in self.classes.values():
             for start, end in by_class.passages(numbers, least):
-                known = set(numbers[start:end].tolist())
-                for i, score in by_class.retrieve(known, least):
+                known = np.unique(numbers[start:end])
+                if not by_class.may_hold(known, least):
+                    continue
+                for i, score in by_class.retrieve(known.tolist(), least):
                     if spelled is None:
                         spelled = [words[j].strip(_EDGE) for j in np.flatnonzero(kept)]
                     item, passage = self.items[i], spelled[start:end]
