@@ -8,9 +8,12 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Words of 64 bits in the bit table of :func:`probably_listed`: a broadcast of 1 MB, whatever it stands for.
+FILTER_WORDS = 1 << 16
 #: Rows of one partition are numbered below this.
 ROWS_PER_PARTITION = 1 << 33
 
@@ -51,3 +54,26 @@ def row_numbers(count: int, start: int = 0) -> range:
     """Ids unique over all partitions for ``count`` rows of this task, after the first ``start``."""
     first = TaskContext.get().partitionId() * ROWS_PER_PARTITION + start
     return range(first, first + count)
+
+
+def probably_listed(rows: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
+    """Rows whose ``column`` is among the listed ids, and a few others, without moving the rows.
+
+    A bit table of fixed size stands for the ids, so wide rows that a later join would drop need no shuffle. With
+    very many ids it lets more rows through and the join that follows drops them.
+    """
+
+    def place(name: str) -> tuple[Column, Column]:
+        spread = F.xxhash64(name)
+        return F.pmod(spread, F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftrightunsigned(spread, 32), F.lit(64)).cast("int")
+
+    word, bit = place(listed_column)
+    one = F.expr("shiftleft(1L, _bit)")
+    bits = listed.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    word, bit = place(column)
+    return (
+        rows.withColumns({"_word": word, "_bit": bit})
+        .join(F.broadcast(bits), "_word")
+        .where("shiftrightunsigned(_bits, _bit) & 1 = 1")
+        .drop("_word", "_bit", "_bits")
+    )

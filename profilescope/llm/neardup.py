@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilescope.llm.common import row_numbers, written_once
+from profilescope.llm.common import probably_listed, row_numbers, written_once
 from profilescope.llm.components import components
 from profilescope.llm.sketching import Shingler, Sketcher
 
@@ -73,10 +73,11 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, class, size): a row for each band of a class, in buckets of more than one class."""
+    """(key, class, members, centre): a row for each band of a class, in buckets of more than one class."""
     rows = classes.select(F.explode("_bands").alias("key"), "class")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("centre"))
-    return rows.join(shared.where("members > 1"), "key")
+    bucket = Window.partitionBy("key")
+    shared = rows.withColumns({"members": F.count(F.lit(1)).over(bucket), "centre": F.min("class").over(bucket)})
+    return shared.where("members > 1")
 
 
 def _similar_sizes(a: Column, b: Column, similarity: int) -> Column:
@@ -107,9 +108,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
     """The pairs whose full shingle sets have the similarity."""
+    pairs = written_once(pairs, "pairs")
 
     def side(name: str) -> DataFrame:
-        return texts.select(F.col("class").alias(name), F.col("text").alias(f"{name}_text"))
+        own = texts.select(F.col("class").alias(name), F.col("text").alias(f"{name}_text"))
+        return probably_listed(own, name, pairs, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -135,7 +138,7 @@ def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, similarity
     ``BLOCK`` by ``BLOCK``. A pair is reported in the first band that it shares.
     """
     known = roots.select(F.col("node").alias("class"), "root")
-    rows = buckets.join(known, "class", "left").select(
+    rows = buckets.drop("members").join(known, "class", "left").select(
         "key", "class", "centre", F.coalesce("root", "class").alias("root")
     )
     state = rows.groupBy("key").agg(
@@ -148,7 +151,8 @@ def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, similarity
     open_ = written_once(rows.drop("centre").join(split, "key"), "open-buckets")
     outside = open_.where("root <> main").groupBy("key").agg(F.count(F.lit(1)).alias("strays"))
     facts = classes.select("class", "_size", "_bands", "_print")
-    open_ = open_.join(outside, "key").join(facts, "class")
+    wide = open_.join(outside, "key").join(probably_listed(facts, "class", open_, "class"), "class")
+    open_ = written_once(wide, "open-classes")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     mine = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
