@@ -105,7 +105,7 @@ class ClassIndex:
         self.runs = np.zeros((vocabulary + 1, 1), dtype=np.float32)
 
     def close(self, items: int) -> None:
-        run = max(BLOCK, -(-items // RUNS))
+        run = max(1, -(-items // RUNS))
         self.runs = np.zeros((len(self.ceiling), -(-items // run)), dtype=np.float32)
         for term, pairs in self.raw.items():
             for item, score in pairs:
