@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilescope.llm import decontamination, language_model, neardup, packing, quality, secrets, sharding, topk
+from profilescope.llm import decontamination, dialogues, language_model, neardup, packing, quality, secrets, sharding, topk, url_rules
 from profilescope.llm.common import table
 
 
@@ -16,12 +16,14 @@ def _over(run: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": _over(quality.op1, "documents", "labels"),
+    "op2_association_rules": _over(url_rules.op2, "pages", "labels"),
     "op3_feistel_shards": _over(sharding.op3, "documents"),
     "op4_gated_recurrent": _over(language_model.op4, "documents"),
     "op5_randomness_battery": _over(secrets.op5, "documents"),
     "op6_no_random_access": _over(topk.op6, "embeddings"),
     "op7_fast_similarity_sketch": _over(neardup.op7, "documents"),
     "op8_block_max_wand": _over(decontamination.op8, "documents", "benchmark"),
+    "op9_perspective_rotation": _over(dialogues.op9, "conversations"),
     "op10_sum_of_squares": _over(packing.op10, "documents"),
 }
 
@@ -29,4 +31,5 @@ ORACLE: dict[str, str] = {
     "op4_gated_recurrent": _over(language_model.op4, "documents"),
     "op5_randomness_battery": _over(secrets.op5, "documents"),
     "op6_no_random_access": topk.ORACLE_OP6,
+    "op9_perspective_rotation": dialogues.ORACLE_OP9,
 }
