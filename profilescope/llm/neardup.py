@@ -39,16 +39,18 @@ WIDTH = 5
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """Documents with a row id, the size and digest of their shingle set, its band keys and its fingerprint."""
+    """``_document``, a struct of the columns, with a row id, the size and digest of their shingle set, its band keys and its fingerprint."""
     extra = [("_row", "long"), ("_size", "long"), ("_digest", "binary"), ("_bands", "array<bigint>"), ("_print", "binary")]
-    schema = T.StructType(docs.schema.fields + T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in extra)).fields)
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"))
+    schema = T.StructType(rows.schema.fields)
+    for name, kind in extra:
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketcher, made = Shingler(width), Sketcher(COORDINATES), 0
         for batch in batches:
             sizes, digests, bands, prints = [], [], [], []
-            for text in batch.column(at):
+            for text in batch.column(0).field("text"):
                 found = shingler.shingles(text.as_py())
                 sizes.append(len(found))
                 if not len(found):
@@ -69,7 +71,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def cluster(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -
     facts = rows.select(F.col("_row").alias("class"), "_size", "_bands", "_print")
     classes = written_once(facts.join(classes_of.select("class"), "class", "left_semi"), "class-sketches")
     buckets = written_once(_buckets(classes), "buckets")
-    texts = rows.select(F.col("_row").alias("class"), "text")
+    texts = rows.select(F.col("_row").alias("class"), F.col("_document.text").alias("text"))
 
     stars = buckets.where("class <> centre").select(F.col("class").alias("u"), F.col("centre").alias("v")).distinct()
     links = written_once(_confirmed(_agreeing(stars, classes, similarity), texts, width, similarity), "star-links")
@@ -236,7 +238,7 @@ def cluster(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -
         "_digest", F.coalesce("root", "class").alias("_root")
     )
     members = written_once(
-        rows.select("_row", F.col("doc_id").cast("long").alias("_id"), "_digest")
+        rows.select("_row", F.col("_document.doc_id").cast("long").alias("_id"), "_digest")
         .where("_digest IS NOT NULL")
         .join(grouped, "_digest")
         .select("_row", "_id", "_root"),
@@ -248,9 +250,9 @@ def cluster(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -
         "_row", F.col("_lead.id").alias("_component"), (F.col("_lead.row") == F.col("_row")).alias("_first")
     )
     return rows.join(labels, "_row", "left").select(
-        *(F.col(f"`{c}`") for c in named.columns),
+        "_document.*",
         F.col("_size").alias("n_shingles"),
-        F.when(F.col("_size") > 0, F.col("_component")).otherwise(F.col("doc_id").cast("long")).alias("component_id"),
+        F.when(F.col("_size") > 0, F.col("_component")).otherwise(F.col("_document.doc_id").cast("long")).alias("component_id"),
         F.coalesce("_first", F.lit(True)).alias("first"),
     )
 

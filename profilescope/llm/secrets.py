@@ -22,6 +22,7 @@ class are aggregated.
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,10 +142,12 @@ def _candidates() -> str:
     return f"transform({prepared}, t -> {_tests()})"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Documents with ``_base``, the spans of known forms in order, and ``_tested``, the tested candidates."""
+def scan(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``_document``, a struct of the kept columns, with ``_base``, the spans of known forms in order, and
+    ``_tested``, the tested candidates."""
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_document")
     return (
-        docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+        docs.select(kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
         .withColumns(
             {
                 "_base": F.expr(
@@ -194,15 +197,17 @@ def _expected_above(p: float) -> float:
     return (1 - p / 3) ** 3
 
 
-def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
-    """Documents with ``secrets``: all spans (start, kind, end) in order of start and kind; ends are exclusive.
+def find_secrets(
+    docs: DataFrame, false_share: float = FALSE_SHARE, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Documents, or their columns in ``keep``, with ``secrets``: all spans (start, kind, end) in order of start and kind; ends are exclusive.
 
     Places are code points. Spans of known forms stay as they are; a random string that overlaps one of them is not
     reported again. Nulls: a null or empty text has no spans. Repeated rows have the same spans. An empty table
     gives no rows. A column ``secrets`` is replaced; other columns stay.
     """
-    rows = docs.drop("secrets")
-    scanned = written_once(scan(rows), "scanned")
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "secrets"]
+    scanned = written_once(scan(docs, keep), "scanned")
     level = F.array(*[F.lit(x) for x in thresholds(scanned, false_share)])
     added = F.expr(
         f"filter(_tested, c -> c.p >= element_at(_level, 1 + {_length_class('c.n')})"
@@ -216,7 +221,7 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
         scanned.withColumn("_level", level)
         .withColumn("_added", added)
         .withColumn("secrets", spans)
-        .select(*(F.col(f"`{c}`") for c in rows.columns), "secrets")
+        .select("_document.*", "secrets")
     )
 
 
@@ -227,7 +232,7 @@ def _listed(spans: str) -> str:
 
 def op5(docs: DataFrame) -> DataFrame:
     """The contract's counts and digests of the spans."""
-    found = find_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
+    found = find_secrets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), keep=["doc_id"])
 
     def count(kind: int) -> Column:
         return F.expr(f"cast(size(filter(secrets, s -> s.kind = {kind})) AS bigint)")
@@ -246,7 +251,8 @@ def op5(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, false_share: float = FALSE_SHARE, mark: str = MARK) -> DataFrame:
     """Documents in whose texts every secret is replaced by ``mark``; overlapping spans become one.
 
-    ``n_chars``, if there, is that of the new text where the text changed. Columns stay.
+    ``n_chars``, if there, is that of the new text where the text changed. Columns stay, but for one of the
+    name ``secrets``.
     """
     found = find_secrets(docs, false_share)
     cut = (
@@ -261,4 +267,4 @@ def redact(docs: DataFrame, false_share: float = FALSE_SHARE, mark: str = MARK)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return clean.drop("secrets")

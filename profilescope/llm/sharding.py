@@ -44,20 +44,6 @@ def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
     return keys
 
 
-def permute_sql(x: str, rows: int, seed: int, rounds: int = ROUNDS) -> str:
-    """SQL for one application of the network to ``x``; the same text runs in Spark and in DuckDB."""
-    a, b = grid(rows)
-    div = "CAST(floor({}) AS BIGINT)"
-    left, right = f"({x} % {a})", div.format(f"({x} - {x} % {a}) / {a}")
-    for i, (m, c) in enumerate(round_keys(seed, rounds)):
-        source, target, side = (right, left, a) if i % 2 == 0 else (left, right, b)
-        mixed = f"(({source} * {m} + {c}) % {PRIME})"
-        word = f"((({mixed} % 46337) * ({mixed} % 46309) + {c}) % {PRIME})"  # fixed values: primes below 2^15.5
-        moved = f"(({target} + {word}) % {side})"
-        left, right = (moved, right) if i % 2 == 0 else (left, moved)
-    return f"({right} * {a} + {left})"
-
-
 def permute(x: Column, rows: int, seed: int, rounds: int = ROUNDS) -> Column:
     """One application of the network, each round computed once."""
     a, b = grid(rows)
