@@ -7,9 +7,12 @@
    pairs whose sketches agree in fewer than 69 % of the coordinates (4.5 standard deviations below 0.8) are
    dropped, and the rest are confirmed on the full sets of their texts.
 3. Components of confirmed links. In most buckets all classes are then in one component, and nothing is left to
-   learn. In the others, classes outside the component of the bucket's smallest class are compared with all classes
-   of other components in blocks of bounded size; pairs that pass the sketch test are confirmed on the full sets.
-4. Components of all links. No bucket is capped and no pair of a bucket is left out, but for those whose
+   learn. In large buckets that are still open, shingles that one class alone has are counted; all classes are
+   compared with the one that has the fewest, and components are made anew.
+4. In buckets that are open even now, classes outside the component of the bucket's smallest class are compared with all
+   classes of other components, in blocks of bounded size. Pairs that could reach the similarity without their own
+   shingles and pass the sketch test are confirmed on the full sets.
+5. Components of all links. No bucket is capped and no pair of a bucket is left out, but for those whose
    link could not change a component.
 """
 
@@ -34,17 +37,17 @@ COORDINATES, ROWS = 252, 6
 MIN_AGREEMENT = 0.69
 #: Classes of a bucket on either side of one comparison block.
 BLOCK = 256
+#: Members from which a bucket counts as large, and shingles that a task counts before it hands them on.
+LARGE, COUNTED = 64, 500_000
 SIMILARITY = 80  # per cent
 WIDTH = 5
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """``_document``, a struct of the columns, with a row id, the size and digest of their shingle set, its band keys and its fingerprint."""
-    extra = [("_row", "long"), ("_size", "long"), ("_digest", "binary"), ("_bands", "array<bigint>"), ("_print", "binary")]
+    extra = "_row bigint, _size bigint, _digest binary, _bands array<bigint>, _print binary"
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"))
-    schema = T.StructType(rows.schema.fields)
-    for name, kind in extra:
-        schema = schema.add(name, kind)
+    schema = T.StructType(rows.schema.fields + T.StructType.fromDDL(extra).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketcher, made = Shingler(width), Sketcher(COORDINATES), 0
@@ -133,12 +136,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int)
     return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
-def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes that share a bucket but no component, and whose sketches allow a link.
-
-    In a bucket, classes outside the component of its smallest class meet all its classes in blocks of about
-    ``BLOCK`` by ``BLOCK``. A pair is reported in the first band that it shares.
-    """
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, class, root, main, members) of the buckets whose classes lie in more than one component; ``main`` is
+    the component of the bucket's smallest class."""
     known = roots.select(F.col("node").alias("class"), "root")
     rows = buckets.drop("members").join(known, "class", "left").select(
         "key", "class", "centre", F.coalesce("root", "class").alias("root")
@@ -150,15 +150,71 @@ def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, similarity
         F.max("root").alias("_most"),
     )
     split = state.where("_least <> _most").select("key", "main", "members")
-    open_ = written_once(rows.drop("centre").join(split, "key"), "open-buckets")
+    return written_once(rows.drop("centre").join(split, "key"), "open-buckets")
+
+
+def _own_shingles(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(class, own): how many of its shingles no other of the classes has, where there are such.
+
+    No two of these classes can share more than the rest, which bounds their similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(width), {}
+
+        def counted() -> pa.RecordBatch:
+            columns = [pa.array(seen, pa.int64()), *(pa.array([x[i] for x in seen.values()], pa.int64()) for i in (0, 1))]
+            return pa.RecordBatch.from_arrays(columns, ["shingle", "holders", "class"])
+
+        for batch in batches:
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for shingle in shingler.shingles(text.as_py()).view(np.int64).tolist():
+                    holders, _ = seen.get(shingle, (0, 0))
+                    seen[shingle] = (holders + 1, number)
+                if len(seen) >= COUNTED:
+                    yield counted()
+                    seen.clear()
+        yield counted()
+
+    wanted = probably_listed(texts, "class", classes, "class").join(classes, "class")
+    rows = wanted.select("class", "text").mapInArrow(run, "shingle long, holders long, class long")
+    held = rows.groupBy("shingle").agg(F.sum("holders").alias("holders"), F.max("class").alias("class"))
+    return held.where("holders = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _central_links(
+    open_: DataFrame, classes: DataFrame, own: DataFrame, texts: DataFrame, width: int, similarity: int
+) -> DataFrame:
+    """Links of the classes of large open buckets to the one with the smallest share of own shingles.
+
+    Among edited copies of a text that is the text itself, or the copy with the fewest edits.
+    """
+    large = open_.where(F.col("members") > LARGE)
+    sizes = probably_listed(classes.select("class", "_size"), "class", large, "class")
+    share = F.coalesce("own", F.lit(0)) / F.col("_size")
+    rows = written_once(large.join(sizes, "class").join(own, "class", "left").withColumn("_share", share), "large-open")
+    centre = F.min(F.struct("_share", "class", "root")).alias("centre")
+    pairs = rows.join(rows.groupBy("key").agg(centre), "key").where("root <> centre.root")
+    pairs = pairs.select(F.greatest("class", "centre.class").alias("u"), F.least("class", "centre.class").alias("v"))
+    found = _confirmed(_agreeing(pairs.distinct(), classes, similarity), texts, width, similarity)
+    return written_once(found, "central-links")
+
+
+def _across(open_: DataFrame, classes: DataFrame, own: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes that share a bucket but no component, and whose sizes, own shingles and sketches allow a
+    link.
+
+    In a bucket, classes outside the component of its smallest class meet all its classes in blocks of about
+    ``BLOCK`` by ``BLOCK``. A pair is reported in the first band that it shares.
+    """
     outside = open_.where("root <> main").groupBy("key").agg(F.count(F.lit(1)).alias("strays"))
     facts = classes.select("class", "_size", "_bands", "_print")
-    wide = open_.join(outside, "key").join(probably_listed(facts, "class", open_, "class"), "class")
-    open_ = written_once(wide, "open-classes")
+    facts = probably_listed(facts, "class", open_, "class").join(own, "class", "left").na.fill({"own": 0})
+    open_ = written_once(open_.join(outside, "key").join(facts, "class"), "open-classes")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     mine = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    facts_of = ["class", "root", "_size", "_bands", "_print"]
+    facts_of = ["class", "root", "_size", "own", "_bands", "_print"]
     strays = open_.where("root <> main").select(
         "key", F.lit(True).alias("stray"), mine("strays", 1).alias("b1"), every("members").alias("b2"), *facts_of
     )
@@ -172,12 +228,13 @@ def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, similarity
             return None
         prints = [np.frombuffer(b"".join(x["_print"]), dtype=np.uint8).reshape(-1, COORDINATES) for x in (left, right)]
         bands = [np.stack(x["_bands"]) for x in (left, right)]
-        ids, roots_, sizes = ([x[c].to_numpy() for x in (left, right)] for c in ("class", "root", "_size"))
+        ids, roots_, sizes, owns = ([x[c].to_numpy() for x in (left, right)] for c in ("class", "root", "_size", "own"))
         key = np.int64(group["key"].iloc[0])
         found = []
         for i in range(len(left)):
-            low, high = np.minimum(sizes[0][i], sizes[1]), np.maximum(sizes[0][i], sizes[1])
-            may = (roots_[0][i] != roots_[1]) & (100 * low >= similarity * high)
+            common = np.minimum(sizes[0][i] - owns[0][i], sizes[1] - owns[1])
+            union = sizes[0][i] + sizes[1] - common
+            may = (roots_[0][i] != roots_[1]) & (100 * common >= similarity * union)
             may[may] = (prints[0][i] == prints[1][may]).mean(1) >= MIN_AGREEMENT
             hits = np.flatnonzero(may)
             if len(hits):
@@ -229,7 +286,14 @@ def cluster(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -
     stars = buckets.where("class <> centre").select(F.col("class").alias("u"), F.col("centre").alias("v")).distinct()
     links = written_once(_confirmed(_agreeing(stars, classes, similarity), texts, width, similarity), "star-links")
     roots = components(links)
-    more = _confirmed(_across(buckets, classes, roots, similarity), texts, width, similarity)
+    open_ = _open(buckets, roots)
+    large = written_once(open_.where(F.col("members") > LARGE).select("class").distinct(), "large-buckets")
+    own = written_once(_own_shingles(large, texts, width), "own-shingles")
+    if not large.isEmpty():
+        links = links.unionAll(_central_links(open_, classes, own, texts, width, similarity))
+        roots = components(links)
+        open_ = _open(buckets, roots)
+    more = _confirmed(_across(open_, classes, own, similarity), texts, width, similarity)
     more = written_once(more, "cross-links")
     if not more.isEmpty():
         roots = components(links.unionAll(more))
