@@ -108,11 +108,11 @@ def fit(
     grade_count: int = GRADES,
     steps: int = 120,
     rate: float = 0.3,
-    penalty: float = 2e-4,
+    least_documents: float = 1.6,
 ) -> OrdinalModel:
     """Maximum likelihood with an L1 penalty on the weights: full-batch proximal AdaGrad, warm thresholds.
 
-    Without rows, or with one grade only, all weights stay 0 and
+    A feature gets a weight only if it would move the likelihood as ``least_documents`` documents can. Without rows, or with one grade only, all weights stay 0 and
     the thresholds follow the smoothed shares of the grades.
     """
     counts = np.bincount(grades, minlength=grade_count).astype(float)
@@ -126,6 +126,7 @@ def fit(
     used, columns = np.unique(columns, return_inverse=True)
     starts = np.concatenate([[0], lengths.cumsum()[:-1]])
     of_row = np.repeat(np.arange(len(places)), lengths)
+    penalty = least_documents / len(grades)
     importance = np.full(len(grades), 1 / len(grades))
     w, squares = np.zeros(len(used)), np.full(len(used), 1e-10)
     gaps = np.concatenate([thresholds[:1], np.log(np.diff(thresholds))])  # ordered by construction
