@@ -32,17 +32,20 @@ def latest(
     return latest_changes(changes, key, sequence).where(~F.coalesce(gone, F.lit(False)))
 
 
-def merge_snapshot(snapshot: DataFrame, tail: DataFrame, key: str) -> DataFrame:
+def merge_snapshot(
+    snapshot: DataFrame, tail: DataFrame, key: str, sequence: Column | str = SEQUENCE, keep_deleted: bool = False
+) -> DataFrame:
     """A snapshot (one row per key) brought up to date with the changes after it.
 
-    Only the tail is aggregated; the snapshot is joined once on its key and keeps its rows unless the
-    tail holds a later change, so late changes with an older sequence lose.
+    Rows of the snapshot whose key the tail does not name are passed on by an anti-join, for which the snapshot need not
+    move where the tail's keys can be broadcast. Only the rest meets the tail, so late changes with an
+    older sequence lose. With ``keep_deleted`` tombstones stay in the result, so that they go on hiding late changes.
     """
-    changed = latest_changes(tail, key).select(F.col(key), F.struct(*tail.columns).alias("_tail"))
-    joined = snapshot.select(F.col(key), F.struct(*tail.columns).alias("_base")).join(changed, key, "full_outer")
-    base_wins = F.col("_tail").isNull() | (F.col(f"_base.{SEQUENCE}") > F.col(f"_tail.{SEQUENCE}"))
-    chosen = F.when(F.coalesce(base_wins, F.lit(False)), F.col("_base")).otherwise(F.col("_tail"))
-    return joined.select(chosen.alias("_d")).select("_d.*").where(F.col(OP) != DELETE)
+    changed = tail.select(key).distinct()
+    touched = snapshot.join(changed, key, "left_semi").select(*tail.columns)
+    untouched = snapshot.join(changed, key, "left_anti").select(*tail.columns)
+    merged = untouched.unionAll(latest_changes(touched.unionAll(tail), key, sequence))
+    return merged if keep_deleted else merged.where(~F.coalesce(F.col(OP) == DELETE, F.lit(False)))
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:

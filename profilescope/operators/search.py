@@ -108,6 +108,9 @@ def _project(found: DataFrame, query: KeywordQuery | None) -> DataFrame:
     return found.select(*fields, highlight.alias("highlight"), *score)
 
 
+LAST_PLACE = 2**31 - 1
+
+
 def ordered(profiles: DataFrame, request: SearchRequest) -> tuple[DataFrame, KeywordQuery | None]:
     found, query = matches(profiles, request)
     order = business_order() if query is None else relevance_order()
@@ -115,9 +118,10 @@ def ordered(profiles: DataFrame, request: SearchRequest) -> tuple[DataFrame, Key
 
 
 def search_profiles(profiles: DataFrame, request: SearchRequest) -> DataFrame:
-    """One page of hits."""
+    """One page of hits; places from 2^31 - 1 on, which Spark cannot name, hold none."""
     found, query = ordered(profiles, request)
-    return _project(found.offset(request.offset).limit(request.per_page), query)
+    start = min(request.offset, LAST_PLACE)
+    return _project(found.offset(start).limit(min(request.per_page, LAST_PLACE - start)), query)
 
 
 def all_hits(profiles: DataFrame, request: SearchRequest) -> DataFrame:

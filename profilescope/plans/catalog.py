@@ -384,15 +384,39 @@ def _(spark, folder):
     changes = scored.withColumns({changelog.SEQUENCE: F.lit(0).cast("long"), changelog.OP: F.lit("upsert")})
     stored = StoredTable(spark, SCORES, scratch_path(spark, "reset"))
 
-    counts = []
-    for stage, step in (
-        ("before", lambda: stored.write_changes(changes, 0)),
-        ("after", lambda: stored.reset(1)),
-        ("refilled", lambda: stored.write_changes(changes, 2)),
-    ):
-        step()
-        counts.append((stage, stored.read().count()))
-    return spark.createDataFrame(counts, "stage string, n long")
+    def counted(stage: str) -> DataFrame:
+        return stored.read().agg(F.count(F.lit(1)).alias("n")).select(F.lit(stage).alias("stage"), "n")
+
+    stored.write_changes(changes, 0)
+    before = counted("before")
+    stored.reset(1)
+    after = counted("after")
+    stored.write_changes(changes, 2)
+    return before.unionAll(after).unionAll(counted("refilled"))
+
+
+@query("stored_table_late_changes", LIVE)
+def _(spark, folder):
+    """Batches come in the wrong order, with a compaction after each but the last; deletes hide late upserts."""
+    changes = binding.score_changes(binding.table(spark, folder, "events"))
+    stored = StoredTable(spark, SCORES, scratch_path(spark, "late"))
+    for number, rest in enumerate((2, 0, 1)):
+        stored.write_changes(changes.where(F.col(changelog.SEQUENCE) % 3 == rest), number)
+        if number < 2:
+            stored.compact()
+    return stored.read().selectExpr(*SCORE)
+
+
+@query("stored_table_deletes", LIVE.replace("WHERE rn = 1", """WHERE rn = 1 AND request_id NOT IN (
+  SELECT user_id || '-' || (event_id % 10) FROM events WHERE event_type = 'purchase')"""))
+def _(spark, folder):
+    """Keys are deleted without a sequence, which removes what is there, and the table is compacted."""
+    changes = binding.score_changes(binding.table(spark, folder, "events"))
+    stored = StoredTable(spark, SCORES, scratch_path(spark, "deletes"))
+    stored.write_changes(changes, 0)
+    stored.delete(changes.where("person_id = 'purchase'").select("request_id"), 1)
+    stored.compact()
+    return stored.read().selectExpr(*SCORE)
 
 
 @query("streaming_ingest", LIVE)

@@ -68,19 +68,40 @@ def _type_check(field: T.StructField) -> Column | None:
     return None
 
 
+def _kind(value: Column, path: str) -> Column:
+    """The JSON type at a path of a variant; what is absent is void."""
+    return F.coalesce(F.schema_of_variant(F.variant_get(value, path, "variant")), F.lit("VOID"))
+
+
 def decode_salary(element: Column) -> Column:
-    """A salary as an object or as the list ``[minimum, currency, city]``."""
-    listed = F.from_json(element, "array<string>")
-    from_list = F.struct(
-        F.get(listed, F.lit(0)).try_cast("bigint").alias("minimum"),
-        F.get(listed, F.lit(1)).alias("currency"),
-        F.get(listed, F.lit(2)).alias("city"),
+    """A salary as an object or as the list ``[minimum, currency, city]``; null where it is neither.
+
+    The minimum is an integer from 0 to 2^63 - 1 or absent, currency and city are strings, and a list has three
+    elements.
+    """
+
+    def read(value: Column, minimum: str, currency: str, city: str) -> Column:
+        least = F.try_variant_get(value, minimum, "bigint")
+        good = _kind(value, currency) == "STRING"
+        good &= _kind(value, city) == "STRING"
+        good &= (_kind(value, minimum) == "VOID") | ((_kind(value, minimum) == "BIGINT") & (least >= 0))
+        found = F.struct(
+            least.alias("minimum"),
+            F.try_variant_get(value, currency, "string").alias("currency"),
+            F.try_variant_get(value, city, "string").alias("city"),
+        )
+        return F.when(good, found)
+
+    value = F.parse_json(element)
+    size = F.size(F.try_variant_get(value, "$", "array<variant>"))
+    listed = F.when(size == 3, read(value, "$[0]", "$[1]", "$[2]"))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(
+        read(value, "$.minimum", "$.currency", "$.city")
     )
-    return F.when(element.startswith("["), from_list).otherwise(F.from_json(element, SALARY))
 
 
 def _salary_ok(s: Column) -> Column:
-    return s.isNotNull() & s["currency"].isNotNull() & s["city"].isNotNull()
+    return s.isNotNull()
 
 
 def decode_profiles(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -99,7 +120,8 @@ def decode_profiles(lines: DataFrame, column: str = "value") -> DataFrame:
             empty = F.array().cast(field.dataType)
             strict = _type_check(field)
             if field.name == "desired_roles":
-                strict = ~F.exists(raw, lambda r: r["role"].isNull() | r["experience"].isNull())
+                given = F.expr("variant_get(_json, '$.desired_roles', 'array<variant>')")
+                strict = ~F.exists(given, lambda r: (_kind(r, "$.role") != "STRING") | (_kind(r, "$.experience") != "STRING"))
             return F.when(~present, empty).otherwise(_checked(raw, strict & raw.isNotNull(), field.name))
         valid = raw.isNotNull()
         strict = _type_check(field)

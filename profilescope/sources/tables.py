@@ -2,27 +2,57 @@
 
 Layout under a table's folder on the shared file system::
 
-    changes/batch=<n>/   decoded changes of one batch; a replayed batch overwrites its own folder
-    snapshots/version=<n>/   the latest document per key up to batch n
-    commits/version=<n>/   one row that makes the snapshot of that version visible
-
-A write touches only its own batch. Compaction rewrites the table, runs on its own schedule, and readers
-see the last committed snapshot merged with the batches after it. There is one writer per table.
+    changes/<name>/     decoded changes of one batch, under a name that is never used again
+    snapshots/<name>/   the latest change per key, tombstones included
+    commits/            one row for each batch, snapshot and reset that is visible
+
+A write goes to a fresh folder and becomes visible with its commit row, so readers see all of it or nothing. A
+batch is known by its writer and its number: writers never collide, and a batch that was committed before is
+not written again. A snapshot names the batches it covers; readers see the last snapshot and every committed batch
+that it doesn't cover, whatever its number. Snapshots keep tombstones, so a late change stays hidden by a delete
+after compaction. Of changes of one key the one with the highest sequence counts, then the later batch, then
+the later place in it.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilescope.operators.changelog import DELETE, OP, SEQUENCE, UPSERT, latest, merge_snapshot
+from profilescope.operators.changelog import DELETE, OP, SEQUENCE, UPSERT, latest_changes, merge_snapshot
 from profilescope.schema import TableSpec
 
 NO_BATCH = -1
+DEFAULT_WRITER = "batch"
+#: Order of changes with one sequence: the batch's place in the commits, and the row's in the batch.
+ORDER, POSITION = "_order", "_position"
+COMMIT = "number long, kind string, writer string, batch long, folder string, covers array<string>"
+
+
+@dataclass(frozen=True)
+class State:
+    """What is visible: the last snapshot's folder, the batches after it, and all commits."""
+
+    snapshot: str | None
+    tail: tuple[str, ...]
+    commits: tuple[Row, ...]
+
+    @property
+    def next_number(self) -> int:
+        return max((c["number"] for c in self.commits), default=-1) + 1
+
+    @property
+    def last_batch(self) -> int:
+        return max((c["batch"] for c in self.commits if c["batch"] is not None), default=NO_BATCH)
+
+    def holds(self, writer: str, batch: int) -> bool:
+        return any(c["kind"] == "changes" and (c["writer"], c["batch"]) == (writer, batch) for c in self.commits)
 
 
 class StoredTable:
@@ -37,81 +67,120 @@ class StoredTable:
     @property
     def change_schema(self) -> T.StructType:
         return T.StructType(
-            [*self.spec.schema.fields, T.StructField(SEQUENCE, T.LongType()), T.StructField(OP, T.StringType())]
+            [
+                *self.spec.schema.fields,
+                T.StructField(SEQUENCE, T.LongType()),
+                T.StructField(OP, T.StringType()),
+                T.StructField(ORDER, T.LongType()),
+                T.StructField(POSITION, T.LongType()),
+            ]
         )
 
-    def _read(self, part: str, schema: T.StructType) -> DataFrame:
+    def state(self) -> State:
+        """One row per commit comes to the driver: names and numbers only."""
         try:
-            return self.spark.read.schema(schema).parquet(self._path(part))
+            found = self.spark.read.schema(COMMIT).parquet(self._path("commits"))
+            commits = sorted(found.collect(), key=lambda c: (c["number"], c["folder"] or ""))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
-
-    def changes(self) -> DataFrame:
-        schema = T.StructType([*self.change_schema.fields, T.StructField("batch", T.LongType())])
-        return self._read("changes", schema)
-
-    def write_changes(self, changes: DataFrame, batch: int) -> None:
-        """Publish one batch. Writing the same batch again replaces it, so replays are harmless."""
-        names = self.change_schema.fieldNames()
-        changes.select(*names).write.mode("overwrite").parquet(self._path(f"changes/batch={batch}"))
-
-    def index(self, lines: DataFrame, batch: int, sequence: str = SEQUENCE) -> None:
-        """Decode raw documents and publish them as upserts."""
+            commits = []
+        last = next((c for c in reversed(commits) if c["kind"] == "snapshot"), None)
+        covered = set(last["covers"]) if last else set()
+        tail = tuple(c["folder"] for c in commits if c["kind"] == "changes" and c["folder"] not in covered)
+        return State(last["folder"] if last else None, tail, tuple(commits))
+
+    def _commit(self, kind: str, folder: str, number: int, writer: str, batch: int | None, covers: list[str]) -> None:
+        row = self.spark.createDataFrame([(number, kind, writer, batch, folder, covers)], COMMIT)
+        row.coalesce(1).write.mode("append").parquet(self._path("commits"))
+
+    def write_changes(self, changes: DataFrame, batch: int, writer: str = DEFAULT_WRITER) -> bool:
+        """Publish one batch; whether it was new. A batch that its writer committed before is left as it is, so
+        replays are harmless."""
+        state = self.state()
+        if state.holds(writer, batch):
+            return False
+        folder = f"changes/{uuid.uuid4().hex}"
+        if POSITION not in changes.columns:
+            changes = changes.withColumn(POSITION, F.monotonically_increasing_id())
+        changes = changes.withColumn(ORDER, F.lit(state.next_number).cast("long"))
+        changes.select(*self.change_schema.fieldNames()).write.parquet(self._path(folder))
+        self._commit("changes", folder, state.next_number, writer, batch, [])
+        return True
+
+    def index(self, lines: DataFrame, batch: int, sequence: str = SEQUENCE, writer: str = DEFAULT_WRITER) -> None:
+        """Decode raw documents and publish them as upserts, in their order."""
         sequenced = lines if sequence in lines.columns else lines.withColumn(sequence, F.lit(batch).cast("long"))
-        decoded = self.spec.decode(sequenced.withColumnRenamed(sequence, SEQUENCE))
-        self.write_changes(decoded.withColumn(OP, F.lit(UPSERT)), batch)
-
-    def delete(self, keys: DataFrame, batch: int) -> None:
-        """Publish tombstones for the keys."""
-        missing = [
-            F.lit(None).cast(f.dataType).alias(f.name)
-            for f in self.spec.schema.fields
-            if f.name != self.spec.key
-        ]
-        tombstones = keys.select(
-            self.spec.key, *missing, F.lit(batch).cast("long").alias(SEQUENCE), F.lit(DELETE).alias(OP)
-        )
-        self.write_changes(tombstones, batch)
-
-    def reset(self, batch: int) -> None:
-        """Drop all documents: an empty snapshot hides every batch up to this one."""
-        self._commit(self.spark.createDataFrame([], self.change_schema), batch)
+        placed = sequenced.withColumnRenamed(sequence, SEQUENCE).withColumn(POSITION, F.monotonically_increasing_id())
+        self.write_changes(self.spec.decode(placed).withColumn(OP, F.lit(UPSERT)), batch, writer)
+
+    def delete(self, keys: DataFrame, batch: int, sequence: Column | None = None, writer: str = DEFAULT_WRITER) -> None:
+        """Publish tombstones for the keys.
+
+        With a ``sequence`` (of the keys' rows), or a column ``_seq`` of theirs, they hide older changes,
+        come when they may. Without one they delete what is there: each takes its document's sequence.
+        """
+        key = self.spec.key
+        if sequence is None and SEQUENCE in keys.columns:
+            sequence = F.col(SEQUENCE)
+        if sequence is not None:
+            named = keys.select(key, sequence.cast("long").alias(SEQUENCE))
+        else:
+            named = self._merged().select(key, SEQUENCE).join(keys.select(key).distinct(), key, "left_semi")
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.spec.schema.fields if f.name != key]
+        self.write_changes(named.select(key, *missing, SEQUENCE, F.lit(DELETE).alias(OP)), batch, writer)
+
+    def reset(self, batch: int | None = None) -> None:
+        """Drop all documents: an empty snapshot covers every batch committed so far."""
+        self._snapshot(self.spark.createDataFrame([], self.change_schema), self.state(), batch)
 
     def compact(self) -> int:
-        """Write a snapshot of everything published so far and make it visible."""
-        through = self._last_batch()
-        if through != NO_BATCH:
-            self._commit(self._merged(), through)
-        return through
-
-    def _last_batch(self) -> int:
-        last = self.changes().agg(F.max("batch")).first()[0]
-        return max(self._version(), NO_BATCH if last is None else last)
-
-    def _version(self) -> int:
-        schema = T.StructType([T.StructField("version", T.LongType())])
-        last = self._read("commits", schema).agg(F.max("version")).first()[0]
-        return NO_BATCH if last is None else last
-
-    def _commit(self, snapshot: DataFrame, version: int) -> None:
-        snapshot.write.mode("overwrite").parquet(self._path(f"snapshots/version={version}"))
-        marker = self.spark.range(1).select(F.lit(True).alias("committed"))
-        marker.write.mode("overwrite").parquet(self._path(f"commits/version={version}"))
-
-    def _merged(self) -> DataFrame:
-        version = self._version()
-        tail = self.changes().where(F.col("batch") > version).drop("batch")
-        if version == NO_BATCH:
-            return latest(tail, self.spec.key)
-        base = self._read(f"snapshots/version={version}", self.change_schema)
-        return merge_snapshot(base, tail, self.spec.key)
+        """Write a snapshot of everything committed so far and make it visible; returns the highest batch number."""
+        state = self.state()
+        if state.tail:
+            self._snapshot(self._merged(state, keep_deleted=True), state, None)
+        return state.last_batch
+
+    def _snapshot(self, rows: DataFrame, state: State, batch: int | None) -> None:
+        folder = f"snapshots/{uuid.uuid4().hex}"
+        rows.write.parquet(self._path(folder))
+        covers = [c["folder"] for c in state.commits if c["kind"] == "changes"]
+        self._commit("snapshot", folder, state.next_number, DEFAULT_WRITER, batch, covers)
+
+    def _merged(self, state: State | None = None, keep_deleted: bool = False) -> DataFrame:
+        state = state or self.state()
+        order = F.struct(SEQUENCE, ORDER, POSITION)
+        reader = self.spark.read.schema(self.change_schema)
+        base = reader.parquet(self._path(state.snapshot)) if state.snapshot else None
+        if not state.tail:
+            merged = self.spark.createDataFrame([], self.change_schema) if base is None else base
+        else:
+            tail = reader.parquet(*map(self._path, state.tail))
+            if base is None:
+                merged = latest_changes(tail, self.spec.key, order)
+            else:
+                merged = merge_snapshot(base, tail, self.spec.key, order, keep_deleted=True)
+        return merged if keep_deleted else merged.where(F.col(OP) == UPSERT)
 
     def read(self) -> DataFrame:
         """The current documents."""
         return self._merged().select(*self.spec.schema.fieldNames())
 
+    def vacuum(self) -> int:
+        """Remove the folders of older snapshots and of batches that the last snapshot covers; returns their number.
+
+        Reads made before it may still need them.
+        """
+        state = self.state()
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        removed = 0
+        for commit in state.commits:
+            if commit["folder"] != state.snapshot and commit["folder"] not in state.tail:
+                path = hadoop(self._path(commit["folder"]))
+                removed += bool(path.getFileSystem(conf).delete(path, True))
+        return removed
+
 
 def reset_table(spark: SparkSession, spec: TableSpec, path: str) -> None:
     """Overwrite a plain Parquet table with an empty one of the declared schema."""

@@ -1,7 +1,8 @@
-"""Streaming ingest: decoded changes go to a table's change log, one folder per micro-batch.
+"""Streaming ingest: decoded changes go to a table's change log, one batch per micro-batch.
 
-A replayed micro-batch overwrites its own folder, so each change is published exactly once. Order comes
-from the sequence inside the data: late and duplicate changes lose to newer ones whenever they arrive.
+A micro-batch is named by its query's id and its number, so streams collide neither with each other nor with
+batch writers, and a replayed one is published once. Order comes from the sequence inside the data: late and
+duplicate changes lose to newer ones, and to tombstones, whenever they arrive.
 """
 
 from __future__ import annotations
@@ -16,13 +17,21 @@ from profilescope.sources.tables import StoredTable
 def start_ingest(changes: DataFrame, table: StoredTable, checkpoint: str, **trigger) -> StreamingQuery:
     """Run a stream of typed changes (with ``_seq`` and ``_op``) into a stored table.
 
-    The default trigger takes in all that is available and stops.
+    The default trigger takes in all that is available and stops. The query's id lives in the checkpoint folder; a
+    stream with a new folder is a new writer.
     """
     missing = {SEQUENCE, OP, *table.spec.schema.fieldNames()} - set(changes.columns)
     if missing:
         raise ValueError(f"stream lacks columns: {sorted(missing)}")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("the micro-batch does not tell its query's id")
+        table.write_changes(batch, number, writer=f"stream-{query}")
+
     return (
-        changes.writeStream.foreachBatch(lambda batch, number: table.write_changes(batch, number))
+        changes.writeStream.foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -145,3 +145,106 @@ def test_streaming_ingest(spark, tmp_path):
     publish(2, "upsert", DOCUMENTS[0])
     stream("two")
     assert ids(table.read()) == [4, 5, 2]
+
+
+def keys(frame):
+    return sorted(r["request_id"] for r in frame.collect())
+
+
+def scores(spark, *rows):
+    """(request_id, score, sequence) as typed upserts."""
+    typed = spark.createDataFrame([(i, 1, 1, float(s), q) for i, s, q in rows], "request_id string, job_id long, talent_id long, score double, _seq long")
+    nulls = {c: F.lit(None).cast("string") for c in ("person_id", "company_id", "position_id")}
+    return typed.withColumns({**nulls, "score": F.col("score").cast(SCORES.schema["score"].dataType), "_op": F.lit("upsert")})
+
+
+def test_streams_and_batches_do_not_collide(spark, tmp_path):
+    """A stream counts its batches from 0 too: neither compaction nor a reset nor another stream hides or replaces it."""
+    table, source = StoredTable(spark, SCORES, str(tmp_path / "scores")), str(tmp_path / "in")
+    for i in range(3):
+        table.write_changes(scores(spark, (f"k{i}", 1, i)), i)
+    table.compact()
+
+    def stream(checkpoint):
+        raw = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        assert start_ingest(raw, table, str(tmp_path / checkpoint)).awaitTermination(120)
+
+    scores(spark, ("s0", 1, 100)).write.parquet(source)
+    stream("one")
+    assert keys(table.read()) == ["k0", "k1", "k2", "s0"]
+    stream("one")
+    scores(spark, ("s1", 1, 101)).write.mode("append").parquet(source)
+    stream("one")
+    stream("two")
+    assert keys(table.read()) == ["k0", "k1", "k2", "s0", "s1"]
+    table.reset()
+    assert keys(table.read()) == []
+    scores(spark, ("s2", 1, 5)).write.mode("append").parquet(source)
+    stream("one")
+    assert keys(table.read()) == ["s2"]
+
+
+def test_a_late_change_does_not_undo_a_compacted_delete(spark, tmp_path):
+    table = StoredTable(spark, SCORES, str(tmp_path / "scores"))
+    table.write_changes(scores(spark, ("a", 1, 100), ("b", 1, 100)), 0)
+    table.delete(spark.createDataFrame([("a",)], "request_id string"), 1, F.lit(200))
+    table.compact()
+    table.write_changes(scores(spark, ("a", 2, 150)), 2)
+    assert keys(table.read()) == ["b"]
+    table.compact()
+    assert keys(table.read()) == ["b"]
+    table.write_changes(scores(spark, ("a", 2, 201)), 3)
+    assert keys(table.read()) == ["a", "b"]
+    assert table.vacuum() == 4 and keys(table.read()) == ["a", "b"]
+
+
+def test_delete_removes_what_is_there(spark, tmp_path):
+    table = StoredTable(spark, SCORES, str(tmp_path / "scores"))
+    table.write_changes(scores(spark, ("a", 1, 10**9)), 0)
+    table.delete(spark.createDataFrame([("a",), ("none",)], "request_id string"), 1)
+    assert keys(table.read()) == []
+
+
+def test_the_last_of_equal_sequences_counts(spark, tmp_path):
+    table = StoredTable(spark, SCORES, str(tmp_path / "scores"))
+    rows = [json.dumps({"request_id": "a", "job_id": 1, "talent_id": 1, "score": i / 8}) for i in range(8)]
+    for parts, batch in ((1, 0), (4, 1)):
+        table.index(spark.createDataFrame([(r,) for r in rows], "value string").coalesce(parts), batch)
+        assert [r["score"] for r in table.read().collect()] == [7 / 8]
+    table.index(spark.createDataFrame([(rows[2],)], "value string").withColumn("_seq", F.lit(1).cast("long")), 2)
+    assert [r["score"] for r in table.read().collect()] == [2 / 8]
+
+
+def test_a_replayed_batch_is_published_once(spark, tmp_path):
+    table = StoredTable(spark, SCORES, str(tmp_path / "scores"))
+    assert table.write_changes(scores(spark, ("a", 1, 0)), 0)
+    assert not table.write_changes(scores(spark, ("b", 1, 0)), 0)
+    assert table.write_changes(scores(spark, ("c", 1, 0)), 0, writer="other")
+    assert keys(table.read()) == ["a", "c"]
+
+
+def test_reads_leave_the_snapshot_where_it_is(spark, tmp_path):
+    table = StoredTable(spark, SCORES, str(tmp_path / "scores"))
+    table.write_changes(scores(spark, *((f"k{i}", 1, i) for i in range(500))), 0)
+    table.compact()
+    table.write_changes(scores(spark, ("k7", 2, 900)), 1)
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert table.read().count() == 500
+
+
+@pytest.mark.parametrize(
+    "salary",
+    [
+        ["abc", "EUR", "Bonn"], {"minimum": "abc", "currency": "EUR", "city": "Bonn"}, [1.5, "EUR", "Bonn"], [-5, "EUR", "Bonn"],
+        [1, 2, 3], [1, "EUR", "Bonn", "more"], {"minimum": 2**63, "currency": "EUR", "city": "Bonn"}, {"minimum": 1, "city": "Bonn"}, 7,
+    ],
+)
+def test_bad_salaries_reject_the_batch(spark, salary):
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        ingest_profiles(lines(spark, {**DOCUMENTS[0], "salary_expectations": [salary]})).collect()
+
+
+def test_role_names_are_text(spark):
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        ingest_profiles(lines(spark, {**DOCUMENTS[0], "desired_roles": [{"role": 5, "experience": "8+"}]})).collect()
