@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import AS_OF, DOCUMENTS, document
+from test_search import expected
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -24,26 +25,26 @@ def ids(frame):
 
 def test_decodes_salaries_and_defaults(spark):
     raw = document(
-        13, 2016, 2016, 0,
-        skills=["Rust"], summary="x", headline="y",
-        desired_roles=[{"role": "C/C++ Engineer", "experience": "2..4"}, {"role": "DevOps", "experience": "8+"}],
+        71, 2014, 2014, 2,
+        skills=["Perl"], summary="s", headline="h",
+        desired_roles=[{"role": "Ship/Boat Builder", "experience": "1..2"}, {"role": "Dyer", "experience": "6..8"}],
         salary_expectations=[
-            {"minimum": 40000, "maximum": 50000, "currency": "EUR", "city": "Berlin"},
-            {"minimum": None, "currency": "EUR", "city": "Amsterdam"},
-            [30000, "EUR", "Frankfurt"],
+            {"minimum": 18500, "maximum": 23000, "currency": "NOK", "city": "Bergen"},
+            {"minimum": None, "currency": "NOK", "city": "Molde"},
+            [21700, "NOK", "Hamar"],
         ],
     )
     del raw["desired_work_roles"], raw["desired_work_roles_experience"]
     row = ingest_profiles(lines(spark, raw)).first()
-    assert row["desired_work_roles"] == ["C/C++ Engineer", "DevOps"]
-    assert row["desired_work_roles_experience"] == ["2..4", "8+"]
+    assert row["desired_work_roles"] == ["Ship/Boat Builder", "Dyer"]
+    assert row["desired_work_roles_experience"] == ["1..2", "6..8"]
     assert [tuple(s) for s in row["salary_expectations"]] == [
-        (40000, "EUR", "Berlin"), (None, "EUR", "Amsterdam"), (30000, "EUR", "Frankfurt"),
+        (18500, "NOK", "Bergen"), (None, "NOK", "Molde"), (21700, "NOK", "Hamar"),
     ]
 
 
 def test_roles_are_zipped_to_the_shorter(spark):
-    raw = {**DOCUMENTS[0], "desired_work_roles": ["A", "B"], "desired_work_roles_experience": ["8+"]}
+    raw = {**DOCUMENTS[2], "desired_work_roles": ["A", "B"], "desired_work_roles_experience": ["8+"]}
     row = ingest_profiles(lines(spark, raw)).first()
     assert [tuple(r) for r in row["desired_roles"]] == [("A", "8+")]
     assert row["desired_work_roles"] == ["A", "B"]
@@ -77,20 +78,21 @@ def test_reads_lists_of_documents(spark, tmp_path):
 def test_index_delete_compact_reset(spark, tmp_path):
     table = StoredTable(spark, PROFILES, str(tmp_path / "profiles"))
     assert table.read().count() == 0
-    table.index(lines(spark, *DOCUMENTS[:5]), 0)
-    assert ids(table.read()) == [4, 5, 2, 1]
-    table.delete(spark.createDataFrame([(1,), (4,)], "id long"), 1)
-    assert ids(table.read()) == [5, 2]
+    table.index(lines(spark, *DOCUMENTS), 0)
+    everyone = expected({})
+    assert ids(table.read()) == everyone
+    table.delete(spark.createDataFrame([(31,), (34,)], "id long"), 1)
+    left = [i for i in everyone if i not in (31, 34)]
+    assert ids(table.read()) == left
     assert table.compact() == 1
-    assert ids(table.read()) == [5, 2]
-    table.index(lines(spark, {**DOCUMENTS[1], "accepted": False}), 2)
-    assert ids(table.read()) == [5]
-    table.index(lines(spark, {**DOCUMENTS[1], "accepted": False}), 2)
-    assert ids(table.read()) == [5]
+    assert ids(table.read()) == left
+    for batch in (2, 2):
+        table.index(lines(spark, {**DOCUMENTS[2], "accepted": False}), batch)
+        assert ids(table.read()) == [i for i in left if i != 33]
     table.reset(3)
     assert table.read().count() == 0
     table.index(lines(spark, DOCUMENTS[0]), 4)
-    assert ids(table.read()) == [1]
+    assert ids(table.read()) == [31]
 
 
 def test_late_change_loses_after_compaction(spark, tmp_path):
@@ -114,16 +116,16 @@ def test_reset_plain_table(spark, profiles, tmp_path):
 def test_scores(spark, tmp_path):
     table = StoredTable(spark, SCORES, str(tmp_path / "scores"))
     full = {
-        "request_id": "a", "person_id": "p", "company_id": "c", "position_id": "o",
-        "job_id": 1, "talent_id": 1, "score": 0.545,
+        "request_id": "r7", "person_id": "p3", "company_id": "c2", "position_id": "o9",
+        "job_id": 5, "talent_id": 12, "score": 0.8125,
     }
-    table.index(lines(spark, full, {"request_id": "b", "job_id": 1, "talent_id": 2, "score": 0.442}), 0)
+    table.index(lines(spark, full, {"request_id": "r8", "job_id": 5, "talent_id": 14, "score": 0.375}), 0)
     scores = table.read()
     assert total_scores(scores).first()["total"] == 2
-    assert total_scores(scores, job_id=1).first()["total"] == 2
-    assert [r["request_id"] for r in search_scores(scores, 1, 1).collect()] == ["a"]
-    table.delete(search_scores(scores, talent_id=1), 1)
-    assert total_scores(table.read(), talent_id=1).first()["total"] == 0
+    assert total_scores(scores, job_id=5).first()["total"] == 2
+    assert [r["request_id"] for r in search_scores(scores, 5, 12).collect()] == ["r7"]
+    table.delete(search_scores(scores, talent_id=12), 1)
+    assert total_scores(table.read(), talent_id=12).first()["total"] == 0
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -139,12 +141,12 @@ def test_streaming_ingest(spark, tmp_path):
         rows = lines(spark, *documents).withColumns({"_seq": F.lit(seq).cast("long"), "_op": F.lit(op)})
         rows.coalesce(1).write.mode("append").parquet(source)
 
-    publish(1, "upsert", *DOCUMENTS[:5])
+    publish(1, "upsert", *DOCUMENTS)
     stream("one")
     publish(3, "delete", DOCUMENTS[0])
     publish(2, "upsert", DOCUMENTS[0])
     stream("two")
-    assert ids(table.read()) == [4, 5, 2]
+    assert ids(table.read()) == [i for i in expected({}) if i != 31]
 
 
 def keys(frame):
