@@ -8,7 +8,7 @@
    dropped, and the rest are confirmed on the full sets of their texts.
 3. Components of confirmed links. In most buckets all classes are then in one component, and nothing is left to
    learn. In large buckets that are still open, shingles that one class alone has are counted; all classes are
-   compared with the one that has the fewest, and components are made anew.
+   compared in full with the one that has the fewest, and components are made anew.
 4. In buckets that are open even now, classes outside the component of the bucket's smallest class are compared with all
    classes of other components, in blocks of bounded size. Pairs that could reach the similarity without their own
    shingles and pass the sketch test are confirmed on the full sets.
@@ -182,27 +182,55 @@ def _own_shingles(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame
     return held.where("holders = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _central_links(
-    open_: DataFrame, classes: DataFrame, own: DataFrame, texts: DataFrame, width: int, similarity: int
-) -> DataFrame:
-    """Links of the classes of large open buckets to the one with the smallest share of own shingles.
+def _about_centres(
+    open_: DataFrame, classes: DataFrame, own: DataFrame, texts: DataFrame, width: int
+) -> tuple[DataFrame, DataFrame]:
+    """(key, centre) of large open buckets, and (class, centre, _mask, _inside, _centre_size) of their classes.
 
-    Among edited copies of a text that is the text itself, or the copy with the fewest edits.
+    The centre of a bucket is the class with the smallest share of own shingles: among edited copies of a text that is
+    the text itself, or the copy with the fewest edits. A mask says which of the centre's shingles a class has.
     """
     large = open_.where(F.col("members") > LARGE)
     sizes = probably_listed(classes.select("class", "_size"), "class", large, "class")
     share = F.coalesce("own", F.lit(0)) / F.col("_size")
     rows = written_once(large.join(sizes, "class").join(own, "class", "left").withColumn("_share", share), "large-open")
-    centre = F.min(F.struct("_share", "class", "root")).alias("centre")
-    pairs = rows.join(rows.groupBy("key").agg(centre), "key").where("root <> centre.root")
-    pairs = pairs.select(F.greatest("class", "centre.class").alias("u"), F.least("class", "centre.class").alias("v"))
-    found = _confirmed(_agreeing(pairs.distinct(), classes, similarity), texts, width, similarity)
-    return written_once(found, "central-links")
+    best = F.min(F.struct("_share", "class")).alias("best")
+    centres = written_once(rows.groupBy("key").agg(best).select("key", F.col("best.class").alias("centre")), "centres")
+    pairs = written_once(rows.select("key", "class").join(centres, "key").select("class", "centre").distinct(), "spokes")
+
+    def side(name: str) -> DataFrame:
+        own_texts = texts.select(F.col("class").alias(name), F.col("text").alias(f"{name}_text"))
+        return probably_listed(own_texts, name, pairs, name)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        last: tuple[str | None, np.ndarray] = (None, np.empty(0))
+        for batch in batches:
+            masks, inside, lengths = [], [], []
+            for text, central in zip(batch.column(2), batch.column(3), strict=True):
+                if (whole := central.as_py()) != last[0]:
+                    last = (whole, shingler.shingles(whole))
+                held = np.isin(last[1], shingler.shingles(text.as_py()), assume_unique=True)
+                masks.append(np.packbits(held).tobytes())
+                inside.append(int(held.sum()))
+                lengths.append(len(held))
+            more = [pa.array(masks, pa.binary()), pa.array(inside, pa.int64()), pa.array(lengths, pa.int64())]
+            names = ["class", "centre", "_mask", "_inside", "_centre_size"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names)
+
+    both = pairs.join(side("class"), "class").join(side("centre"), "centre")
+    schema = "class long, centre long, _mask binary, _inside long, _centre_size long"
+    masked = both.select("class", "centre", "class_text", "centre_text").mapInArrow(run, schema)
+    return centres, written_once(masked, "masks")
+
+
+def _across(
+    open_: DataFrame, classes: DataFrame, own: DataFrame, about: tuple[DataFrame, DataFrame] | None, similarity: int
+) -> DataFrame:
+    """Pairs of classes that share a bucket but no component, and whose sizes, shingles and sketches allow a link.
 
-def _across(open_: DataFrame, classes: DataFrame, own: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes that share a bucket but no component, and whose sizes, own shingles and sketches allow a
-    link.
+    In a large bucket two classes have in common: of its centre's shingles those in both masks, and of other
+    shingles no more than either has beside its own ones. That bounds their similarity closely.
 
     In a bucket, classes outside the component of its smallest class meet all its classes in blocks of about
     ``BLOCK`` by ``BLOCK``. A pair is reported in the first band that it shares.
@@ -210,11 +238,19 @@ def _across(open_: DataFrame, classes: DataFrame, own: DataFrame, similarity: in
     outside = open_.where("root <> main").groupBy("key").agg(F.count(F.lit(1)).alias("strays"))
     facts = classes.select("class", "_size", "_bands", "_print")
     facts = probably_listed(facts, "class", open_, "class").join(own, "class", "left").na.fill({"own": 0})
-    open_ = written_once(open_.join(outside, "key").join(facts, "class"), "open-classes")
+    open_ = open_.join(outside, "key").join(facts, "class")
+    if about is None:
+        none = {"_mask": F.lit(None).cast("binary"), "_rest": F.lit(None).cast("long"), "_centre_size": F.lit(None).cast("long")}
+        open_ = open_.withColumns(none)
+    else:
+        centres, masked = about
+        open_ = open_.join(centres, "key", "left").join(masked, ["class", "centre"], "left")
+        open_ = open_.withColumn("_rest", F.col("_size") - F.col("_inside") - F.col("own"))
+    open_ = written_once(open_, "open-classes")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     mine = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    facts_of = ["class", "root", "_size", "own", "_bands", "_print"]
+    facts_of = ["class", "root", "_size", "own", "_bands", "_print", "_mask", "_rest", "_centre_size"]
     strays = open_.where("root <> main").select(
         "key", F.lit(True).alias("stray"), mine("strays", 1).alias("b1"), every("members").alias("b2"), *facts_of
     )
@@ -230,9 +266,17 @@ def _across(open_: DataFrame, classes: DataFrame, own: DataFrame, similarity: in
         bands = [np.stack(x["_bands"]) for x in (left, right)]
         ids, roots_, sizes, owns = ([x[c].to_numpy() for x in (left, right)] for c in ("class", "root", "_size", "own"))
         key = np.int64(group["key"].iloc[0])
+        masks = rests = None
+        if group["_mask"].notna().all():
+            length = int(group["_centre_size"].iloc[0])
+            packed = [np.frombuffer(b"".join(x["_mask"]), dtype=np.uint8).reshape(len(x), -1) for x in (left, right)]
+            masks = [np.unpackbits(x, axis=1, count=length).astype(np.float32) for x in packed]
+            rests = [x["_rest"].to_numpy() for x in (left, right)]
         found = []
         for i in range(len(left)):
             common = np.minimum(sizes[0][i] - owns[0][i], sizes[1] - owns[1])
+            if masks is not None:
+                common = np.minimum(common, masks[1] @ masks[0][i] + np.minimum(rests[0][i], rests[1]))
             union = sizes[0][i] + sizes[1] - common
             may = (roots_[0][i] != roots_[1]) & (100 * common >= similarity * union)
             may[may] = (prints[0][i] == prints[1][may]).mean(1) >= MIN_AGREEMENT
@@ -289,11 +333,16 @@ def cluster(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -
     open_ = _open(buckets, roots)
     large = written_once(open_.where(F.col("members") > LARGE).select("class").distinct(), "large-buckets")
     own = written_once(_own_shingles(large, texts, width), "own-shingles")
+    about = None
     if not large.isEmpty():
-        links = links.unionAll(_central_links(open_, classes, own, texts, width, similarity))
+        about = _about_centres(open_, classes, own, texts, width)
+        spokes = about[1].join(probably_listed(classes.select("class", "_size"), "class", large, "class"), "class")
+        union = F.col("_size") + F.col("_centre_size") - F.col("_inside")
+        spokes = spokes.where(F.col("_inside") * 100 >= union * similarity)
+        links = links.unionAll(spokes.select(F.col("class").alias("u"), F.col("centre").alias("v")))
         roots = components(links)
         open_ = _open(buckets, roots)
-    more = _confirmed(_across(open_, classes, own, similarity), texts, width, similarity)
+    more = _confirmed(_across(open_, classes, own, about, similarity), texts, width, similarity)
     more = written_once(more, "cross-links")
     if not more.isEmpty():
         roots = components(links.unionAll(more))
