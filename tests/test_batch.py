@@ -78,3 +78,21 @@ def test_deep_pages_are_cut_in_two_steps(spark, profiles, monkeypatch):
     assert [r[2] for r in want] == expected({})[1:3] + expected({})[:3] + expected({"languages": ["Welsh"]})[2:]
     monkeypatch.setattr(batch, "GROUP_LIMIT", 0)
     assert sorted(map(tuple, pages(pairs, requests).collect())) == want
+
+
+def test_requests_for_another_table_find_nothing(spark, profiles):
+    requests = decode_requests(raw_requests(spark, [{}, {"index": "people"}, {"index": "no_such_table"}]))
+    found = match_saved_searches(requests, profiles, table="people").select("request_id").distinct().collect()
+    assert sorted(r[0] for r in found) == [0, 1]
+
+
+def test_windows_that_end_in_9999(spark, profiles):
+    from pyspark.sql import functions as F
+
+    endless = profiles.withColumn("batch_ends_at", F.lit("9999-12-31T00:00:00Z").cast(profiles.schema["batch_ends_at"].dataType))
+    many = [{"as_of": f"{y}-06-01T00:00:00Z"} for y in (2011, 2012, 2016, 5000, 9999)]
+    pairs = match_saved_searches(decode_requests(raw_requests(spark, many)), endless)
+    counts = {r["request_id"]: r["total"] for r in totals(pairs).collect()}
+    for i, params in enumerate(many):
+        want = all_hits(endless, SearchRequest.from_params(spark, params)).count()
+        assert counts.get(i, 0) == want, params
