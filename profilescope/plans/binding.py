@@ -149,7 +149,7 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
         "concat('https://images.example/', id, '.png') AS avatar_url",
         salaries,
         "coalesce(latest_position, '') AS latest_position",
-        listed("languages"),
+        "filter(coalesce(languages, cast(array() AS array<string>)), (tongue, i) -> (id + i + 1) % 3 <> 0) AS languages",
         "array(c_mktsegment) AS educations",
     )
 

@@ -59,7 +59,7 @@ profiles AS (
          'https://images.example/' || c_custkey || '.png' AS avatar_url,
          coalesce(cities, []) AS cities, coalesce(minimums, []) AS minimums,
          coalesce(latest_position, '') AS latest_position,
-         coalesce(tongues.languages, []) AS languages, [c_mktsegment] AS educations
+         list_filter(coalesce(tongues.languages, []), lambda tongue, i: (c_custkey + i) % 3 <> 0) AS languages, [c_mktsegment] AS educations
   FROM customer JOIN nation ON c_nationkey = n_nationkey
   LEFT JOIN tongues ON tongues.place = c_nationkey
   LEFT JOIN documents ON doc_id = c_custkey % (SELECT count(*) FROM documents)
