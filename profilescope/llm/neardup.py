@@ -380,3 +380,33 @@ def op7(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies (5-word shingles, 80 %), with its columns."""
     return cluster(docs).where("first").select(*docs.columns)
+
+
+ORACLE_OP7 = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words
+), sizes AS (
+  SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n FROM sets
+), grams AS (
+  SELECT sets.r, n, unnest(s) AS g FROM sets JOIN sizes ON sets.r = sizes.r
+), links AS (
+  SELECT a.r AS u, b.r AS v
+  FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(r, o) AS (
+  SELECT r, r FROM sizes UNION SELECT reach.r, v FROM reach JOIN edges ON u = reach.o
+), component AS (
+  SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN sizes ON sizes.r = reach.o GROUP BY reach.r
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN component ON component.r = sizes.r
+"""

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from profilescope.llm import decontamination, dialogues, language_model, neardup, packing, quality, secrets, sharding, topk, url_rules
+from profilescope.llm import (
+    decontamination, dialogues, language_model, neardup, packing, quality, secrets, sharding, topk, url_rules,
+)
 from profilescope.llm.common import table
 
 
@@ -28,8 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op4_gated_recurrent": _over(language_model.op4, "documents"),
-    "op5_randomness_battery": _over(secrets.op5, "documents"),
     "op6_no_random_access": topk.ORACLE_OP6,
+    "op7_fast_similarity_sketch": neardup.ORACLE_OP7,
     "op9_perspective_rotation": dialogues.ORACLE_OP9,
 }
