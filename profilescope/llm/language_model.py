@@ -125,7 +125,9 @@ class Vocabulary:
     def outputs(self, codes: np.ndarray) -> np.ndarray:
         """Codes as the network's tokens."""
         frequent = codes >= 0
-        return np.where(frequent, self.place[np.where(frequent, codes, 0)], self.rare_place[np.where(frequent, 0, -1 - codes)])
+        found = self.rare_place[np.where(frequent, 0, -1 - codes)]
+        found[frequent] = self.place[codes[frequent]]
+        return found
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:

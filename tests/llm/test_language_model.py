@@ -92,6 +92,15 @@ def test_base_scores_match_definition(spark, odd, odd_rows, none, monkeypatch, h
         assert held_out(odd).where("doc_id IS NULL AND held_out").count() == 0
 
 
+def test_without_training_documents():
+    nothing = np.zeros(language_model.RARE, dtype=np.int64)
+    known = language_model.Vocabulary([], np.array([], dtype=np.int64), 0, 0, nothing, nothing, 0)
+    words_, codes = known.encode("a b", known.codes())
+    assert len(words_) == 3 and (codes < 0).all()
+    model = GatedModel(known.shares)
+    assert np.isfinite(model.score([known.outputs(codes)])).all() and model.train([]) == 0
+
+
 def test_held_out_text_is_better_told_than_by_frequencies(spark):
     """Texts of two vocabularies: the state soon knows which one it reads."""
     rows = [(i, words(i, 80, base="left" if i % 2 else "right")) for i in range(400)]
