@@ -70,7 +70,7 @@ def search_block(
     by_id = np.argsort(ids, kind="stable")
     ids, vectors = ids[by_id], vectors[by_id]
     n, out = len(ids), []
-    may = np.ones((len(queries), n), dtype=bool)
+    may = ids != query_ids[:, None]
     if exact and n > 4 * k:
         lists = SortedLists(vectors)
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
@@ -78,15 +78,14 @@ def search_block(
         for share in DEPTHS:
             depth = max(1, int(share * n))
             low, high = lists.bounds(up[open_], down[open_], depth)
-            # One more than k, since the query's own row may be among them.
-            line = np.partition(low, n - k - 1, axis=1)[:, n - k - 1]
+            low[ids == query_ids[open_, None]] = -np.inf  # rows of the query's own id raise no bar for others
+            line = np.partition(low, n - k, axis=1)[:, n - k]
             may[open_] &= high >= line[:, None]
             open_ = open_[may[open_].sum(1) > 4 * k]
             if not len(open_):
                 break
     for q in range(len(queries)):
         left = np.flatnonzero(may[q])
-        left = left[ids[left] != query_ids[q]]
         if exact:
             scores = vectors[left] @ queries[q]
             if len(left) > 4 * k:  # the k best and all that tie with the last of them

@@ -25,6 +25,20 @@ def test_blocks_match_brute_force(seed, n, k, span):
         assert [(i, s) for p, i, s in got if p == q] == [(i, -s) for s, i in sorted(scores)[:k]]
 
 
+@pytest.mark.parametrize("copies", [1, 2, 9, 70])
+def test_repeated_rows_of_the_query_hide_no_neighbour(copies):
+    """Copies of the query's own row score highest in a block of more than 4k rows, and none of them counts."""
+    rng = np.random.default_rng(copies)
+    ids = np.concatenate([np.zeros(copies, dtype=np.int64), np.arange(1, 91)])
+    vectors = rng.integers(-30, 30, (len(ids), 5)).astype(float)
+    vectors[:copies] = 100
+    query = np.full((1, 5), 100.0)
+    for k in (1, 3, 6):
+        got = search_block(np.array([0]), query, ids, vectors, k)
+        scores = sorted((-int(v @ query[0]), int(i)) for i, v in zip(ids, vectors, strict=True) if i)
+        assert [(i, s) for _, i, s in got] == [(i, -s) for s, i in scores[:k]]
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [0.5, 0.5]), (50, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [-0.5, 0.1]), (3, None), (4, [None, 1.0]),
