@@ -154,9 +154,10 @@ def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _own_shingles(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(class, own): how many of its shingles no other of the classes has, where there are such.
+    """(class, own): how many of its shingles no other of the classes has.
 
-    No two of these classes can share more than the rest, which bounds their similarity.
+    No two of these classes can share more than the rest, which bounds their similarity. It says nothing about
+    other classes, which may hold such shingles too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,8 @@ def _own_shingles(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame
     wanted = probably_listed(texts, "class", classes, "class").join(classes, "class")
     rows = wanted.select("class", "text").mapInArrow(run, "shingle long, holders long, class long")
     held = rows.groupBy("shingle").agg(F.sum("holders").alias("holders"), F.max("class").alias("class"))
-    return held.where("holders = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    own = held.where("holders = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    return classes.join(own, "class", "left").na.fill({"own": 0})
 
 
 def _about_centres(
@@ -230,14 +232,15 @@ def _across(
     """Pairs of classes that share a bucket but no component, and whose sizes, shingles and sketches allow a link.
 
     In a large bucket two classes have in common: of its centre's shingles those in both masks, and of other
-    shingles no more than either has beside its own ones. That bounds their similarity closely.
+    shingles no more than either has beside its own ones. That bounds their similarity closely. Own shingles count
+    only between two classes of ``own``; in small buckets there are others, with an ``own`` of -1.
 
     In a bucket, classes outside the component of its smallest class meet all its classes in blocks of about
     ``BLOCK`` by ``BLOCK``. A pair is reported in the first band that it shares.
     """
     outside = open_.where("root <> main").groupBy("key").agg(F.count(F.lit(1)).alias("strays"))
     facts = classes.select("class", "_size", "_bands", "_print")
-    facts = probably_listed(facts, "class", open_, "class").join(own, "class", "left").na.fill({"own": 0})
+    facts = probably_listed(facts, "class", open_, "class").join(own, "class", "left").na.fill({"own": -1})
     open_ = open_.join(outside, "key").join(facts, "class")
     if about is None:
         none = {"_mask": F.lit(None).cast("binary"), "_rest": F.lit(None).cast("long"), "_centre_size": F.lit(None).cast("long")}
@@ -274,7 +277,8 @@ def _across(
             rests = [x["_rest"].to_numpy() for x in (left, right)]
         found = []
         for i in range(len(left)):
-            common = np.minimum(sizes[0][i] - owns[0][i], sizes[1] - owns[1])
+            counted = (owns[0][i] >= 0) & (owns[1] >= 0)
+            common = np.minimum(sizes[0][i] - counted * owns[0][i], sizes[1] - counted * owns[1])
             if masks is not None:
                 common = np.minimum(common, masks[1] @ masks[0][i] + np.minimum(rests[0][i], rests[1]))
             union = sizes[0][i] + sizes[1] - common

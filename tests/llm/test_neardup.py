@@ -6,6 +6,7 @@ from profilescope.llm import neardup
 from profilescope.llm.components import components
 from profilescope.llm.neardup import cluster, op7, without_near_duplicates
 from profilescope.llm.sketching import Shingler, Sketcher
+from pyspark.sql import functions as F
 
 from .conftest import COLUMNS, words
 
@@ -64,6 +65,29 @@ def test_components_match_brute_force(spark, family, monkeypatch, large, block):
     assert all(r["n_shingles"] == len(shingles(family[i][1], 2)) for i, r in got.items())
 
 
+def test_near_copy_outside_the_large_bucket(spark, monkeypatch):
+    """A class of a large open bucket meets its near copy only in a small one, whose centre is like neither."""
+    rng = random.Random(8)
+    text = words(21, 90)
+    texts = [words(22, 90), text, edited(rng, text, 3)] + [words(30 + i, 60) for i in range(12)]
+    real = neardup.sketched
+
+    def with_bands(docs, width):
+        """In the first band the second text meets the last twelve, in the next one the first three meet."""
+        i = F.col("_document.doc_id")
+        bands = F.transform(F.sequence(F.lit(1), F.lit(42)), lambda b: 1000 * (i + 1) + b)
+        first, second = F.when((i == 1) | (i > 2), F.lit(1)), F.when(i < 3, F.lit(2))
+        bands = F.concat(F.array(*[F.coalesce(f, bands[n]) for n, f in enumerate((first, second))]), F.slice(bands, 3, 40))
+        return real(docs, width).withColumn("_bands", bands.cast("array<bigint>"))
+
+    monkeypatch.setattr(neardup, "sketched", with_bands)
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in op7(docs).collect()}
+    want = brute(list(enumerate(texts)), 2)
+    assert want[2] == 1 and got == dict(enumerate(want))
+
+
 def test_odd_documents(odd, odd_rows, none):
     rows = cluster(odd, 5).collect()
     assert len(rows) == len(odd_rows)
