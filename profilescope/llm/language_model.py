@@ -4,9 +4,9 @@
 2. The ``OUTPUTS`` most frequent words are tokens of their own. Every other word belongs to one of ``RARE`` rare
    tokens, chosen by its first three bytes, and has an add-one share of it that also covers unseen words; so
    the model gives every word a probability, and those of all words add up to one.
-3. The network (see ``recurrent.py``) starts at the corpus frequencies and learns from a fixed share of the training
-   documents by local descent: in every round each worker passes over its part and the weights are averaged,
-   in pieces, by a grouped aggregation.
+3. The network (see ``recurrent.py``) starts at the corpus frequencies and learns from all training documents, each
+   once, by local descent: in every round each worker passes over its share of a part of the documents and the
+   weights are averaged, in pieces, by a grouped aggregation.
 4. All documents are scored whole, each state carried from window to window. A worker holds the counts of at
    most ``HEAD`` frequent words; those of all other words are joined from the vocabulary table.
 """
@@ -32,8 +32,8 @@ END = b"\n"
 OUTPUTS, RARE = 2048, 64
 #: Words whose counts every worker holds, at most: some 25 MB.
 HEAD = 200_000
-#: Rounds of training, and one of how many training documents is learned from in each.
-ROUNDS, SHARE = 2, 32
+#: Parts of the training documents; a round of training learns from one, and together they learn from all.
+PARTS = 8
 #: Tokens that a worker learns from at least in a round, and those that it lays out at once.
 LEAST_TOKENS, LAID_OUT = 200_000, 1_000_000
 #: Words that a task counts before it hands them on.
@@ -153,14 +153,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, times, tokens, distinct, rare_times, rare_words, int(least))
 
 
-def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> np.ndarray:
-    """The network's parameters after averaged local descent over 1 in ``share`` training documents a round."""
+def train(docs: DataFrame, known: Vocabulary, parts: int = PARTS) -> np.ndarray:
+    """The network's parameters after averaged local descent over all training documents, one of ``parts`` a round."""
     model = GatedModel(known.shares)
     parameters = model.parameters()
-    expected = known.tokens // share
+    expected = known.tokens // parts
     workers = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, expected // LEAST_TOKENS))
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share))
-    for number in range(rounds):
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    for number in range(parts):
         chosen = docs.where(~F.col("held_out") & (part == number)).select("text").repartition(workers)
         run = _learner(known, parameters)
         pieces = chosen.mapInArrow(run, "piece int, tokens long, weights binary")

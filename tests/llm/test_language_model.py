@@ -1,4 +1,5 @@
 import math
+import tempfile
 import zlib
 from collections import Counter
 
@@ -101,6 +102,26 @@ def test_without_training_documents():
     assert np.isfinite(model.score([known.outputs(codes)])).all() and model.train([]) == 0
 
 
+def test_every_training_document_is_learned_from_once(spark, monkeypatch, tmp_path):
+    seen = str(tmp_path)
+
+    def learner(known, parameters):
+        def run(batches):
+            for batch in batches:
+                with tempfile.NamedTemporaryFile("w", dir=seen, delete=False) as file:
+                    file.writelines(f"{text}\n" for text in batch.column(0).to_pylist())
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(language_model, "_learner", learner)
+    docs = spark.createDataFrame([(i if i % 9 else None, f"text {i // 2}") for i in range(300)], "doc_id long, text string")
+    rows = held_out(docs)
+    language_model.train(rows, language_model.vocabulary(language_model.count_words(rows)))
+    learned = sorted(line for file in tmp_path.iterdir() for line in file.read_text().splitlines())
+    assert learned == sorted(r["text"] for r in rows.where("NOT held_out").collect())
+
+
 def test_held_out_text_is_better_told_than_by_frequencies(spark):
     """Texts of two vocabularies: the state soon knows which one it reads."""
     rows = [(i, words(i, 80, base="left" if i % 2 else "right")) for i in range(400)]
