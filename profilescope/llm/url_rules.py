@@ -2,9 +2,10 @@
 
 A listed rule such as ``example.net/en/`` fits its host, all subdomains and paths that start with its path; the
 longest fitting rule decides. For other URLs Spark's FP-growth mines combinations of URL tokens that
-mostly belong to pages labelled bad. Rules below the least support or confidence are dropped. A rule
-matches a URL that has all its tokens: rules are indexed by token, equal token sets are looked up once, and a rule whose
-every token was found has matched.
+mostly belong to pages labelled bad. Rules below the least support or confidence are dropped. Tokens that occur in the
+same labelled pages are one item, for any of which a rule asks; no token of a page is left out. A rule
+matches a URL that has all its items: rules are indexed by item, equal token sets are looked up once, and a rule whose
+every item was found has matched.
 
 Everything is DataFrame and SQL expressions and Spark ML. Mined rules and listed rules are tables; Spark broadcasts them
 where their size allows it and splits hot tokens and hosts of a shuffle join otherwise.
@@ -23,8 +24,6 @@ from profilescope.llm.common import written_once
 #: The rules of the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 20, 0.6
-#: Tokens of one URL that mining combines, the rarest first: n tokens have 2^n combinations. Matching uses all.
-COMBINED = 12
 _BAD = "=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,42 +81,62 @@ def mine(
     min_support: float = MIN_SUPPORT,
     min_count: int = MIN_COUNT,
     min_confidence: float = MIN_CONFIDENCE,
-    combined: int = COMBINED,
 ) -> DataFrame:
     """(antecedent, confidence, support) of the token combinations that stand for bad pages.
 
     ``labelled`` has ``tokens`` and ``bad``. A combination needs ``min_support`` of the labelled pages and at
     least ``min_count`` of them. Pages without a label or without tokens don't count; without labelled pages there are no rules.
+    An antecedent is an array of items, and an item an array of tokens that occur in the same labelled pages: a URL has
+    the item if it has any of them. Left out are rules that a part of their antecedent makes superfluous, being
+    at least as confident: items that are bad without exception, or are in all pages, therefore stand alone.
     """
     rows = written_once(labelled.where("bad IS NOT NULL AND size(tokens) > 0").select("tokens", "bad"), "labelled-urls")
     total = rows.count()
-    schema = "antecedent array<string>, confidence double, support double"
+    schema = "antecedent array<array<string>>, confidence double, support double"
     if not total:
         return rows.sparkSession.createDataFrame([], schema)
     least = max(min_support, min(1.0, min_count / total))
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     numbered = written_once(numbered, "numbered-urls")
     exploded = numbered.select("_row", "bad", F.explode("tokens").alias("token"))
-    frequent = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total)
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, combined)
-    kept = exploded.join(frequent, "token").groupBy("_row", "bad").agg(F.transform(rarest, lambda x: x["token"]).alias("kept"))
-    rest = numbered.select("_row", "bad").join(kept.select("_row", "kept"), "_row", "left")
-    items = F.concat(F.coalesce("kept", F.array().cast("array<string>")), F.expr(f"if(bad, array('{_BAD}'), array())"))
-    model = FPGrowth(minSupport=least, minConfidence=min_confidence).fit(rest.select(items.alias("items")))
-    rules = model.associationRules.where(F.array_contains("consequent", _BAD) & (F.size("antecedent") > 0))
-    return written_once(rules.select("antecedent", "confidence", "support"), "mined-rules")
+    same = [F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(f"_rows{i}") for i in range(2)]
+    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), *same)
+    frequent = counts.where(F.col("n_bad") >= least * total)
+    items = frequent.groupBy("n", "n_bad", "_rows0", "_rows1").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    items = written_once(items.select("n", "n_bad", F.array_min("members").alias("token"), "members"), "url-items")
+    alone = (F.col("n_bad") == F.col("n")) | (F.col("n") == total)
+    kept = exploded.join(items.where(~alone).select("token"), "token").groupBy("_row").agg(F.collect_list("token").alias("kept"))
+    rest = numbered.select("_row", "bad").join(kept, "_row", "left")
+    basket = F.concat(F.coalesce("kept", F.array().cast("array<string>")), F.expr(f"if(bad, array('{_BAD}'), array())"))
+    model = FPGrowth(minSupport=least, minConfidence=min_confidence).fit(rest.select(basket.alias("items")))
+    mined = model.associationRules.where(F.array_contains("consequent", _BAD) & (F.size("antecedent") > 0))
+    confidence, support = F.col("n_bad") / F.col("n"), F.col("n_bad") / F.lit(total)
+    single = items.where(alone).select(F.array("token").alias("antecedent"), confidence.alias("confidence"), support.alias("support"))
+    rules = mined.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rules = written_once(rules.unionAll(single.where(F.col("confidence") >= min_confidence)), "mined-rules")
+    parts = rules.select("antecedent", "confidence", F.explode("antecedent").alias("_without"))
+    parts = parts.withColumn("_part", F.array_remove("antecedent", F.col("_without")))
+    part = rules.select(F.col("antecedent").alias("_part"), F.col("confidence").alias("_confidence"))
+    dominated = parts.join(part, "_part").where("_confidence >= confidence").select("antecedent")
+    best = rules.join(dominated, "antecedent", "left_anti")
+    named = best.select("antecedent", "confidence", "support", F.explode("antecedent").alias("token"))
+    named = named.join(items.select("token", "members"), "token").groupBy("antecedent", "confidence", "support")
+    named = named.agg(F.array_sort(F.collect_list("members")).alias("members"))
+    return written_once(named.select(F.col("members").alias("antecedent"), "confidence", "support"), "named-rules")
 
 
 def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(token_set, confidence) of every token set that a mined rule matches, with the best rule's confidence."""
     indexed = rules.select(
-        F.array_join(F.array_sort("antecedent"), " ").alias("_rule"),
+        F.col("antecedent").alias("_rule"),
         "confidence",
         F.size("antecedent").alias("_needed"),
-        F.explode("antecedent").alias("token"),
+        F.explode("antecedent").alias("_item"),
     )
+    items = indexed.select("_item").distinct().select("_item", F.explode("_item").alias("token"))
     sets = urls.select("token_set", "tokens").distinct().select("token_set", F.explode("tokens").alias("token"))
-    hits = sets.join(indexed, "token").groupBy("token_set", "_rule", "_needed").agg(
+    held = sets.join(items, "token").select("token_set", "_item").distinct()
+    hits = held.join(indexed, "_item").groupBy("token_set", "_rule", "_needed").agg(
         F.count(F.lit(1)).alias("_found"), F.max("confidence").alias("confidence")
     )
     return hits.where("_found = _needed").groupBy("token_set").agg(F.max("confidence").alias("confidence"))

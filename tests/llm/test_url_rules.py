@@ -1,4 +1,8 @@
-from profilescope.llm.url_rules import RULES, host_and_path, judge, op2, page_labels
+import itertools
+import random
+
+import pytest
+from profilescope.llm.url_rules import RULES, host_and_path, judge, mine, mined_verdicts, op2, page_labels
 
 URLS = [
     "http://a.net/x", "https://EXAMPLE.net/en/1", "http://example.net/en", "http://www.example.net/EN/", "http://net", "net/",
@@ -47,6 +51,41 @@ def test_mined_rules_block_what_was_labelled_bad(spark):
         assert (r["verdict"] == "block") == bad, r
 
 
+def test_frequent_token_of_urls_with_many_tokens(spark):
+    """The bad path is the most frequent token of its pages, and each has 14 rarer ones that are frequent too."""
+    keys = [[f"q{g}x{chr(97 + i)}" for i in range(14)] for g in range(10)]
+    urls = [("http://a.edu/slots?" + "&".join(f"{k}=1" for k in keys[i % 10]), True) for i in range(300)]
+    urls += [(f"http://a.edu/news/{i}", False) for i in range(300)]
+    pages = spark.createDataFrame([(1, "http://b.edu/slots"), (2, "http://b.edu/news/1")], "page_id long, url string")
+    got = judge(pages, spark.createDataFrame(urls, "url string, bad boolean")).collect()
+    assert {r["page_id"]: (r["verdict"], r["bad_confidence"]) for r in got} == {1: ("block", 1.0), 2: ("allow", None)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_confidences_match_brute_force(spark, seed):
+    """Every token set gets the confidence of the best of all combinations, whatever is left out on the way."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        has = {t for t in "abcdef" if rng.random() < 0.4} | {"every"}
+        has |= {f"{t}{t}" for t in has & {"a", "b"}}  # always with a, always with b
+        has |= {"wide"} if "c" in has or rng.random() < 0.3 else set()
+        rows.append((sorted(has), "d" in has and "e" in has or rng.random() < (0.8 if "wide" in has else 0.3)))
+    tokens = sorted({t for r in rows for t in r[0]})
+    best = {}
+    for n in range(1, len(tokens) + 1):
+        for some in itertools.combinations(tokens, n):
+            of = [bad for has, bad in rows if set(some) <= set(has)]
+            if sum(of) >= 6 and sum(of) / len(of) >= 0.6:
+                best[some] = sum(of) / len(of)
+    asked = [["a"], ["aa"], ["aa", "c"], ["every", "x"], ["x"], ["b", "d"], *[r[0] for r in rows[:40]]]
+    sets = spark.createDataFrame([(str(i), a) for i, a in enumerate(asked)], "token_set string, tokens array<string>")
+    rules = mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.001, 6, 0.6)
+    got = {r["token_set"]: r["confidence"] for r in mined_verdicts(sets, rules).collect()}
+    want = {str(i): max((c for some, c in best.items() if set(some) <= set(a)), default=None) for i, a in enumerate(asked)}
+    assert got == {i: pytest.approx(c) for i, c in want.items() if c is not None}
+
+
 def test_odd_pages_and_labels(spark):
     pages = spark.createDataFrame([(None, None), (1, "http://a.org/en/5"), (1, "http://a.org/en/5")], "page_id long, url string")
     labels = spark.createDataFrame(
