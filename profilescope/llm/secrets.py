@@ -2,7 +2,7 @@
 
 Known forms (assignments to password-like names, access keys, long hexadecimal runs) are found by pattern. The
 method adds strings that look random. A candidate is an unbroken run of 16 or more characters of base64 and its
-variants with a letter and a digit. Its encoding is the smallest alphabet it fits; on that alphabet three tests
+variants with a letter, or a part of a run between characters that are often separators. Its encoding is the smallest alphabet it fits; on that alphabet three tests
 ask whether it could be uniform random characters:
 
 * chi-squared of the characters' counts,
@@ -13,7 +13,8 @@ The three two-sided p-values are combined as three times the smallest. Random st
 very small ones. So in each class of lengths the strings with a p-value above 0.5 tell how many random ones
 there are, and the report takes the smallest threshold at which at most ``FALSE_SHARE`` of the strings above it are
 not among those (Storey's estimate, turned round). Short strings, on which the tests have little power, thereby need higher
-p-values, or are not reported at all. The counts are over all documents.
+p-values. The counts are over all documents. A class with too few random strings to tell has a fixed threshold.
+Of candidates within each other the longest that is above its threshold is reported.
 
 Everything is SQL expressions: spans of a text stay in its row, and only counts of 100 steps of p-values by length
 class are aggregated.
@@ -34,6 +35,8 @@ KINDS = ("assign", "access", "hex", "random")
 FALSE_SHARE = 0.1
 #: Lengths at which a class of candidates starts, and fewest random strings that it must seem to hold.
 LENGTHS, LEAST_RANDOM = (16, 20, 24, 32, 48, 64), 5
+#: Thresholds of the classes in which fewer seem to be random: the longer the string, the more the tests can tell.
+SPARSE_LEVELS = (0.1, 0.1, 0.05, 0.02, 0.02, 0.01)
 STEPS = 100
 MARK = "[SECRET]"
 
@@ -44,6 +47,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 
+#: Separators by which a run is cut into further candidates, each set of them in turn; base64 may hold most of them.
+SEPARATORS = ("[=]", "[=/]", "[=/_-]")
+
 _DIGITS, _LOWER, _UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
 #: Encodings from the smallest alphabet to the largest: a pattern for the whole string, and the alphabet.
 ENCODINGS = (
@@ -133,10 +139,24 @@ def _tests() -> str:
     return f"named_struct('start', t.start, 'end', t.end, 'n', t.n, 'p', least(1D, 3 * least({least})))"
 
 
+def _parts(separators: str) -> str:
+    """SQL for the spans of the parts of the run ``r`` between separators."""
+    start = "r.start + acc.at"
+    span = f"named_struct('start', {start}, 'kind', r.kind, 'end', {start} + length(p), 'token', p)"
+    merged = (
+        f"named_struct('at', acc.at + length(p) + 1,"
+        f" 'out', if(length(p) >= {LENGTHS[0]}, concat(acc.out, array({span})), acc.out))"
+    )
+    empty = f"named_struct('at', 0, 'out', cast(array() AS {_SPAN}))"
+    return f"aggregate(split(r.token, '{separators}', -1), {empty}, (acc, p) -> {merged}, acc -> acc.out)"
+
+
 def _candidates() -> str:
-    """SQL for the tested candidates among the runs in ``_long``."""
+    """SQL for the tested candidates among the runs in ``_long`` and their parts."""
+    every = ", ".join(_parts(x) for x in SEPARATORS)
+    parts = f"if(r.token RLIKE '{SEPARATORS[-1]}', array_distinct(concat(array(r), {every})), array(r))"
     prepared = (
-        f"transform(filter(_long, x -> x.token RLIKE '[0-9]' AND x.token RLIKE '[A-Za-z]'), x -> named_struct("
+        f"transform(filter(flatten(transform(_long, r -> {parts})), x -> x.token RLIKE '[A-Za-z]'), x -> named_struct("
         f"'start', x.start, 'end', x.end, 'token', x.token, 'n', length(x.token), 'e', {_encoding('x.token')}))"
     )
     return f"transform({prepared}, t -> {_tests()})"
@@ -166,7 +186,7 @@ def _length_class(n: str) -> str:
 
 
 def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> list[float]:
-    """The p-value above which candidates of each length class are reported; 2 reports none."""
+    """The p-value above which candidates of each length class are reported; the first, of what is too short, is 2."""
     step = f"least({STEPS - 1}, cast(floor(c.p * {STEPS}) AS int))"
     counts = (
         scanned.select(F.explode("_tested").alias("c"))
@@ -174,7 +194,7 @@ def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> list[flo
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()  # at most 600 rows
     )
-    found = [2.0] * (len(LENGTHS) + 1)
+    found = [2.0, *SPARSE_LEVELS]
     for number in range(1, len(found)):
         steps = [0] * STEPS
         for row in counts:
@@ -209,16 +229,18 @@ def find_secrets(
     keep = [c for c in (docs.columns if keep is None else keep) if c != "secrets"]
     scanned = written_once(scan(docs, keep), "scanned")
     level = F.array(*[F.lit(x) for x in thresholds(scanned, false_share)])
-    added = F.expr(
+    passed = F.expr(
         f"filter(_tested, c -> c.p >= element_at(_level, 1 + {_length_class('c.n')})"
         " AND NOT exists(_base, b -> b.start < c.end AND c.start < b.end))"
     )
+    added = F.expr("filter(_passed, c -> NOT exists(_passed, d -> d.start <= c.start AND c.end <= d.end AND d.n > c.n))")
     spans = F.expr(
         "array_sort(concat(transform(_base, b -> named_struct('start', b.start, 'kind', b.kind, 'end', b.end)),"
         " transform(_added, c -> named_struct('start', c.start, 'kind', 3, 'end', c.end))))"
     )
     return (
         scanned.withColumn("_level", level)
+        .withColumn("_passed", passed)
         .withColumn("_added", added)
         .withColumn("secrets", spans)
         .select("_document.*", "secrets")

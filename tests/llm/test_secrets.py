@@ -53,6 +53,25 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert len(hits - random_ids) <= 0.15 * len(hits)
 
 
+def test_few_random_strings_are_found_too(spark):
+    """Fewer than a class needs for its own estimate, without digits, and behind readable words."""
+    rng = random.Random(3)
+
+    def key(n, alphabet=string.ascii_letters + string.digits):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    def marked(before, secret, after=""):
+        return f"see {before}{secret}{after} .", (4 + len(before), 4 + len(before) + len(secret))
+
+    made = [marked("", key(80)), marked("", key(40, string.ascii_letters)), marked("customer_identification_number=", key(24))]
+    made += [marked("/articles/of/the/general/overview/", key(33), "/summary/of/contents")]
+    rows = [(i, text) for i, (text, _) in enumerate(made)]
+    rows += [(i, "the internationalization of getElementByIdentifier in /usr/share/documentation/of/packages") for i in (10, 11)]
+    got = {r["doc_id"]: r["secrets"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[(s["start"], s["end"]) for s in got[i]] for i in range(len(made))] == [[span] for _, span in made]
+    assert got[10] == got[11] == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long")
     for r in redact(docs).collect():
