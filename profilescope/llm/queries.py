@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilescope.llm import (
-    decontamination, dialogues, language_model, neardup, packing, quality, secrets, sharding, topk, url_rules,
-    vertical,
+    decontamination, dialogues, language_model, neardup, packing, quality, secrets, sharding, spelling, topk,
+    url_rules, vertical,
 )
 from profilescope.llm.common import table
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_perspective_rotation": _over(dialogues.op9, "conversations"),
     "op10_sum_of_squares": _over(packing.op10, "documents"),
     "op12_vertical_partitioning": _over(vertical.op12, "documents"),
+    "op13_finite_state_composition": _over(spelling.op13, "documents"),
 }
 
 ORACLE: dict[str, str] = {
