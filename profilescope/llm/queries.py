@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profilescope.llm import (
-    decontamination, dialogues, language_model, neardup, packing, quality, secrets, sharding, spelling, topk,
+    collocations, decontamination, dialogues, language_model, neardup, packing, quality, secrets, sharding, spelling, topk,
     url_rules, vertical,
 )
 from profilescope.llm.common import table
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_max_wand": _over(decontamination.op8, "documents", "benchmark"),
     "op9_perspective_rotation": _over(dialogues.op9, "conversations"),
     "op10_sum_of_squares": _over(packing.op10, "documents"),
+    "op11_setm_mining": _over(collocations.op11, "documents"),
     "op12_vertical_partitioning": _over(vertical.op12, "documents"),
     "op13_finite_state_composition": _over(spelling.op13, "documents"),
 }
@@ -36,5 +37,6 @@ ORACLE: dict[str, str] = {
     "op6_no_random_access": topk.ORACLE_OP6,
     "op7_fast_similarity_sketch": neardup.ORACLE_OP7,
     "op9_perspective_rotation": dialogues.ORACLE_OP9,
+    "op11_setm_mining": collocations.ORACLE_OP11,
     "op12_vertical_partitioning": vertical.ORACLE_OP12,
 }
