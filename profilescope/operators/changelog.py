@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from profilescope.operators.joins import is_small
+
 SEQUENCE = "_seq"
 OP = "_op"
 UPSERT, DELETE = "upsert", "delete"
@@ -33,18 +35,28 @@ def latest(
 
 
 def merge_snapshot(
-    snapshot: DataFrame, tail: DataFrame, key: str, sequence: Column | str = SEQUENCE, keep_deleted: bool = False
+    snapshot: DataFrame,
+    tail: DataFrame,
+    key: str,
+    sequence: Column | str = SEQUENCE,
+    keep_deleted: bool = False,
+    few: bool | None = None,
 ) -> DataFrame:
     """A snapshot (one row per key) brought up to date with the changes after it.
 
-    Rows of the snapshot whose key the tail does not name are passed on by an anti-join, for which the snapshot need not
-    move where the tail's keys can be broadcast. Only the rest meets the tail, so late changes with an
-    older sequence lose. With ``keep_deleted`` tombstones stay in the result, so that they go on hiding late changes.
+    Where the tail has few rows (``few``; counted, if not told), its keys are broadcast: rows of the snapshot that
+    it doesn't name are passed on where they are, and only the rest meets the tail. A longer tail and the snapshot are
+    dealt out by key once. Late changes with an older sequence lose either way. With ``keep_deleted`` tombstones stay
+    in the result, so that they go on hiding late changes.
     """
-    changed = tail.select(key).distinct()
-    touched = snapshot.join(changed, key, "left_semi").select(*tail.columns)
-    untouched = snapshot.join(changed, key, "left_anti").select(*tail.columns)
-    merged = untouched.unionAll(latest_changes(touched.unionAll(tail), key, sequence))
+    snapshot = snapshot.select(*tail.columns)
+    if is_small(tail.select(key)) if few is None else few:
+        changed = F.broadcast(tail.select(key).distinct())
+        touched = snapshot.join(changed, key, "left_semi").select(*tail.columns)
+        untouched = snapshot.join(changed, key, "left_anti").select(*tail.columns)
+        merged = untouched.unionAll(latest_changes(touched.unionAll(tail), key, sequence))
+    else:
+        merged = latest_changes(snapshot.unionAll(tail), key, sequence)
     return merged if keep_deleted else merged.where(~F.coalesce(F.col(OP) == DELETE, F.lit(False)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -417,6 +418,41 @@ def _(spark, folder):
     return stored.read().selectExpr(*SCORE)
 
 
+@query("concurrent_writers", LIVE)
+def _(spark, folder):
+    """Three writers with three batches each, a stream and compactions, all at once on one table."""
+    events = binding.table(spark, folder, "events")
+    changes = binding.score_changes(events)
+    home = scratch_path(spark, "writers")
+    stored = StoredTable(spark, SCORES, f"{home}/scores")
+    part = F.pmod(F.xxhash64(changelog.SEQUENCE), F.lit(10))
+
+    def writer(number: int) -> None:
+        for batch in range(3):
+            stored.write_changes(changes.where(part == 3 * number + batch), batch, writer=f"writer-{number}")
+
+    def stream() -> None:
+        raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+        start_ingest(binding.score_changes(raw).where(part == 9), stored, f"{home}/progress").awaitTermination()
+
+    with ThreadPoolExecutor(5) as pool:
+        for done in [*(pool.submit(writer, i) for i in range(3)), pool.submit(stream), pool.submit(stored.compact)]:
+            done.result()
+    return stored.read().selectExpr(*SCORE)
+
+
+@query("bucketed_compaction", LIVE)
+def _(spark, folder):
+    """Changes of few keys rewrite their buckets only; the rest of the snapshot stays as it was written."""
+    changes = binding.score_changes(binding.table(spark, folder, "events"))
+    few = F.col("request_id").startswith("7-")
+    stored = StoredTable(spark, SCORES, scratch_path(spark, "buckets"))
+    for number, chosen in enumerate((~few | (F.col(changelog.SEQUENCE) % 2 == 0), few & (F.col(changelog.SEQUENCE) % 2 == 1))):
+        stored.write_changes(changes.where(chosen), number)
+        stored.compact()
+    return stored.read().selectExpr(*SCORE)
+
+
 @query("streaming_ingest", LIVE)
 def _(spark, folder):
     schema = binding.table(spark, folder, "events").schema
