@@ -15,6 +15,7 @@ that follow (fields, clauses, verdict) all run on that partitioning.
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ from profilescope.operators.joins import hot_join, is_small, written_once
 from profilescope.operators.relevance import SCORE_DIGITS, boosts, norm
 from profilescope.schema import TEXT_FIELDS
 
+if TYPE_CHECKING:
+    from profilescope.sources.keyword_index import KeywordIndex
+
 PHRASE = "phrase"
 MODES = (SUBSTRING, WORD, PHRASE, EXACT)
 
@@ -144,9 +148,12 @@ def used_modes(requests: DataFrame) -> tuple[str, ...]:
     return tuple(r[0] for r in clause_tokens(requests).select(way).distinct().collect())
 
 
-def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, ...] | None = None) -> DataFrame:
+def judge_keywords(
+    requests: DataFrame, profiles: DataFrame, modes: tuple[str, ...] | None = None, index: KeywordIndex | None = None
+) -> DataFrame:
     """Every pair with a keyword hit: ``request_id, id, score, matched, barred``.
 
+    With a stored ``index`` of the profiles, their texts are not read, but the postings of the tokens asked for.
     ``matched`` holds if all ``must`` and no ``must_not`` clauses hit, and without a ``must`` some
     ``should``. ``barred`` holds if a ``must_not`` clause hits.
     """
@@ -158,7 +165,8 @@ def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, .
             "matched boolean, barred boolean"
         )
     fits = is_small(tokens)
-    found = written_once(postings(profiles, tokens, modes, fits), "postings")
+    found = postings(profiles, tokens, modes, fits) if index is None else index.postings(tokens, modes)
+    found = written_once(found, "postings")
     frequency = (
         found.groupBy("mode", "q", "field")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -166,7 +174,7 @@ def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, .
         .agg(F.map_from_entries(F.collect_list(F.struct("field", "df"))).alias("df"))  # six fields at most
     )
     weighed = tokens.join(frequency, ["mode", "q"])
-    total = profiles.agg(F.count(F.lit(1))).scalar()
+    total = profiles.agg(F.count(F.lit(1))).scalar() if index is None else F.lit(index.documents)
     pairs = (
         hot_join(found, weighed, ["mode", "q"], ["id"], fits)
         .withColumn("n", total)
@@ -195,6 +203,8 @@ def judge_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, .
     )
 
 
-def match_keywords(requests: DataFrame, profiles: DataFrame, modes: tuple[str, ...] | None = None) -> DataFrame:
+def match_keywords(
+    requests: DataFrame, profiles: DataFrame, modes: tuple[str, ...] | None = None, index: KeywordIndex | None = None
+) -> DataFrame:
     """Pairs that keywords with at least one positive clause select: ``request_id, id, score``."""
-    return judge_keywords(requests, profiles, modes).where("matched").select("request_id", "id", "score")
+    return judge_keywords(requests, profiles, modes, index).where("matched").select("request_id", "id", "score")

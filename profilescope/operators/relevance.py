@@ -11,6 +11,8 @@ nothing that grows with the table is broadcast. Frequencies are counted for matc
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, KeywordQuery
 from profilescope.operators.fulltext import content_test, folded_fields, matchable, pattern, value_test
 from profilescope.schema import TEXT_FIELDS, WORD_BOOST
 
+if TYPE_CHECKING:
+    from profilescope.sources.keyword_index import KeywordIndex
+
 STATS = "_corpus"
 SCORE_DIGITS = 9  # sums of doubles depend on their order; rounded scores rank the same on every run
 
@@ -50,6 +55,23 @@ def corpus_statistics(profiles: DataFrame, query: KeywordQuery) -> DataFrame:
     )
 
 
+def stored_statistics(index: KeywordIndex, query: KeywordQuery) -> DataFrame | None:
+    """The row of ``corpus_statistics`` from the stored document frequencies; None for terms that are not single tokens.
+
+    Of the stored table only rows of the query's tokens are read on.
+    """
+    tokens = scored_tokens(query)
+    if query.mode == SUBSTRING or (query.mode == WORD and any(text.SEPARATOR in t for t in tokens)):
+        return None
+    known = index.term_statistics(query.mode).where(F.col("token").isin(tokens))
+
+    def count(token: str, field: str) -> str:
+        return f"coalesce(sum(CASE WHEN token = {text.literal(token)} AND field = '{field}' THEN df END), 0L)"
+
+    per_token = ["array(" + ", ".join(count(t, f) for f in TEXT_FIELDS) + ")" for t in tokens]
+    return known.selectExpr(f"named_struct('n', {index.documents}L, 'df', array({', '.join(per_token)})) AS {STATS}")
+
+
 def term_statistics(profiles: DataFrame, mode: str = WORD) -> DataFrame:
     """Document frequency of every token of every field, as a table: ``field, token, df``.
 
@@ -105,8 +127,10 @@ def boosts(mode: str) -> str:
     return "array(" + ", ".join(f"{field_boost(f, mode)}D" for f in TEXT_FIELDS) + ")"
 
 
-def with_score(matches: DataFrame, profiles: DataFrame, query: KeywordQuery, name: str = "score") -> DataFrame:
-    """Add the relevance of each row of ``matches``; statistics come from all of ``profiles``."""
+def with_score(
+    matches: DataFrame, profiles: DataFrame, query: KeywordQuery, name: str = "score", statistics: DataFrame | None = None
+) -> DataFrame:
+    """Add the relevance of each row of ``matches``; statistics come from all of ``profiles``, if they aren't given."""
     tokens, columns = scored_tokens(query), matches.columns
     if not tokens:
         return matches.withColumn(name, F.lit(0.0))
@@ -134,7 +158,7 @@ def with_score(matches: DataFrame, profiles: DataFrame, query: KeywordQuery, nam
     )
     return (
         matches.selectExpr("*", f"{countable} AS _countable", f"{norms} AS _norm")
-        .withColumn(STATS, corpus_statistics(profiles, query).scalar())
+        .withColumn(STATS, (corpus_statistics(profiles, query) if statistics is None else statistics).scalar())
         .selectExpr("*", f"{_frequencies(query)} AS _freq", f"{weights} AS _weight")
         .selectExpr("*", f"array({', '.join(clauses)}) AS _clauses")
         .selectExpr(*columns, f"round({found} * {total}, {SCORE_DIGITS}) AS {name}")

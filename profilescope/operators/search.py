@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ from profilescope.functions import predicates as p
 from profilescope.functions.keywords import KeywordQuery, analyse_keywords
 from profilescope.operators.fulltext import keywords_predicate
 from profilescope.operators.highlight import HIGHLIGHT_TYPE, highlights
-from profilescope.operators.relevance import with_score
+from profilescope.operators.relevance import stored_statistics, with_score
 from profilescope.plans.requests import SearchRequest
 
+if TYPE_CHECKING:
+    from profilescope.sources.keyword_index import KeywordIndex
+
 HIT_FIELDS = [
     "id",
     "headline",
@@ -86,15 +90,22 @@ def _instant_type(profiles: DataFrame) -> str:
     return profiles.schema["batch_starts_at"].dataType.simpleString()
 
 
-def matches(profiles: DataFrame, request: SearchRequest) -> tuple[DataFrame, KeywordQuery | None]:
-    """All matching rows, scored if there are keywords, in no order."""
+def matches(
+    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None
+) -> tuple[DataFrame, KeywordQuery | None]:
+    """All matching rows, scored if there are keywords, in no order.
+
+    With the stored ``index`` of the profiles, the document frequencies of single tokens come from there, and texts are
+    read once.
+    """
     query = analyse_keywords(profiles.sparkSession, request.keywords, request.whole_words)
     condition = facets(request, _instant_type(profiles))
     if query is None:
         return profiles.where(condition), None
     if not request.keywords_should:
         condition = condition & F.expr(keywords_predicate(query, profiles.columns))
-    scored = with_score(profiles.where(condition), profiles, query)
+    statistics = None if index is None else stored_statistics(index, query)
+    scored = with_score(profiles.where(condition), profiles, query, statistics=statistics)
     if request.min_score is not None:
         scored = scored.where(F.col("score") >= request.min_score)
     return scored, query
@@ -111,22 +122,24 @@ def _project(found: DataFrame, query: KeywordQuery | None) -> DataFrame:
 LAST_PLACE = 2**31 - 1
 
 
-def ordered(profiles: DataFrame, request: SearchRequest) -> tuple[DataFrame, KeywordQuery | None]:
-    found, query = matches(profiles, request)
+def ordered(
+    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None
+) -> tuple[DataFrame, KeywordQuery | None]:
+    found, query = matches(profiles, request, index)
     order = business_order() if query is None else relevance_order()
     return found.orderBy(*order), query
 
 
-def search_profiles(profiles: DataFrame, request: SearchRequest) -> DataFrame:
+def search_profiles(profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None) -> DataFrame:
     """One page of hits; places from 2^31 - 1 on, which Spark cannot name, hold none."""
-    found, query = ordered(profiles, request)
+    found, query = ordered(profiles, request, index)
     start = min(request.offset, LAST_PLACE)
     return _project(found.offset(start).limit(min(request.per_page, LAST_PLACE - start)), query)
 
 
-def all_hits(profiles: DataFrame, request: SearchRequest) -> DataFrame:
+def all_hits(profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None) -> DataFrame:
     """Every hit in order, without paging."""
-    found, query = ordered(profiles, request)
+    found, query = ordered(profiles, request, index)
     return _project(found, query)
 
 

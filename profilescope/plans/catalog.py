@@ -15,6 +15,7 @@ from profilescope.functions import text
 from profilescope.functions import values as v
 from profilescope.operators import batch, changelog, scores
 from profilescope.operators.highlight import highlights
+from profilescope.operators.joins import written_once
 from profilescope.operators.postings import match_keywords
 from profilescope.operators.relevance import term_statistics
 from profilescope.operators.search import (
@@ -30,6 +31,7 @@ from profilescope.plans.requests import SearchRequest, decode_requests
 from profilescope.schema import TableSpec
 from profilescope.session import scratch_path
 from profilescope.sources.documents import PROFILES, SCORES, decode_scores, ingest_profiles, sync_roles
+from profilescope.sources.keyword_index import KeywordIndex
 from profilescope.sources.tables import StoredTable
 from profilescope.streaming.ingest import start_ingest
 
@@ -811,6 +813,63 @@ def _(spark, folder):
     return batch.totals(pairs)
 
 
+def indexed_profiles(spark: SparkSession, folder: str) -> KeywordIndex:
+    """The profiles as a stored table with its keyword index, both after late upserts and deletes.
+
+    First come profiles with other texts and profiles that don't belong, then the right ones and deletes, last
+    texts with an older sequence. The index is refreshed after each batch, so most of it is from deltas.
+    """
+    stored = StoredTable(spark, PROFILES, scratch_path(spark, "indexed"))
+    index = KeywordIndex(stored)
+    kinds = [F.col(f.name).cast(f.dataType) for f in PROFILES.schema.fields]
+    people = written_once(binding.profiles(spark, folder).select(*kinds), "profiles")
+    other = {
+        "headline": F.concat_ws(" ", F.lit("former automobile"), "headline"),
+        "summary": F.lower(F.reverse("summary")),
+        "skills": F.slice("skills", 1, 2),
+    }
+    even = F.col("id") % 2 == 0
+
+    def publish(batch: int, rows: DataFrame, sequence: int) -> None:
+        meta = {changelog.SEQUENCE: F.lit(sequence).cast("long"), changelog.OP: F.lit("upsert")}
+        stored.write_changes(rows.withColumns(meta), batch)
+
+    strangers = people.where("id % 5 = 1").withColumn("id", F.col("id") + 1_000_000_000)
+    publish(0, people.where(even).withColumns(other).unionAll(people.where(~even)).unionAll(strangers), 10)
+    index.refresh()
+    publish(1, people.where(even), 30)
+    stored.delete(strangers.select("id"), 2, F.lit(20))
+    stored.compact()
+    index.refresh()
+    publish(3, people.where("id % 3 = 0").withColumns(other).unionAll(strangers), 5)
+    index.refresh()
+    return index
+
+
+@query("stored_index_saved_searches", f"""{oracle.request_keywords()}
+SELECT request_id, id, round(score, 6) AS score FROM keyword_hits""")
+def _(spark, folder):
+    """Keywords of saved searches against stored postings: of the texts, only asked tokens' buckets are read."""
+    index = indexed_profiles(spark, folder)
+    pairs = match_keywords(saved_requests(spark, folder), index.read(), index=index)
+    return pairs.selectExpr("request_id", "id", "round(score, 6) AS score")
+
+
+@query("stored_term_statistics", f"""WITH {oracle.PROFILES}, {oracle.TEXTS}
+SELECT field, token, count(DISTINCT id) AS df
+FROM (SELECT id, field, unnest({oracle.word_tokens('content')}) AS token FROM fields) GROUP BY field, token""")
+def _(spark, folder):
+    """Signed document frequencies of all commits, summed on reading."""
+    return indexed_profiles(spark, folder).term_statistics()
+
+
+@query("stored_statistics_search", oracle.keyword_search("word", [("should", ["mentai"]), ("should", ["anvil"])]))
+def _(spark, folder):
+    index = indexed_profiles(spark, folder)
+    hits = all_hits(index.read(), request(spark, keywords="mentai anvil", features=[W]), index)
+    return hits.selectExpr("id", "headline", "round(score, 6) AS score")
+
+
 EXCLUDED = "(request_id, id) {} IN (SELECT (event_id % 100, user_id) FROM events WHERE event_type = 'view')"
 
 

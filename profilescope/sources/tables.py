@@ -171,13 +171,26 @@ class StoredTable:
         few = sum(c["rows"] for c in state.tail) <= BROADCAST_ROWS
         return merge_snapshot(base, tail, self.spec.key, order, keep_deleted=True, few=few)
 
-    def _merged(self, state: State) -> DataFrame:
-        """The current documents, with what their changes carry. Buckets without changes are passed on as they are."""
-        named = _named_buckets(state)
-        parts = [self._base(state, set(state.snapshot) - named), self._changed(state, named) if state.tail else None]
+    def _current(self, state: State, buckets: set[int]) -> DataFrame:
+        """The latest change of each key in some buckets, tombstones included. Buckets without changes after the
+        snapshot are passed on as they are."""
+        named = _named_buckets(state) & buckets
+        parts = [self._base(state, (set(state.snapshot) & buckets) - named)]
+        if named:
+            changed = self._changed(state, named)
+            inside = self._bucket(state.buckets).isin(sorted(named))
+            parts.append(changed if named == _named_buckets(state) else changed.where(inside))
         found = [p for p in parts if p is not None] or [self.spark.createDataFrame([], self.change_schema)]
-        merged = found[0] if len(found) == 1 else found[0].unionAll(found[1])
-        return merged.where(F.col(OP) == UPSERT)
+        return found[0] if len(found) == 1 else found[0].unionAll(found[1])
+
+    def _merged(self, state: State) -> DataFrame:
+        """The current documents, with what their changes carry."""
+        return self._current(state, set(range(state.buckets))).where(F.col(OP) == UPSERT)
+
+    def keys_of(self, folders: list[str]) -> DataFrame:
+        """The distinct keys that batches name."""
+        found = self.spark.read.schema(T.StructType(self._written)).parquet(*map(self._path, folders))
+        return found.select(self.spec.key).distinct()
 
     def read(self) -> DataFrame:
         """The current documents."""
