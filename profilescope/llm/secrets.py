@@ -23,7 +23,7 @@ class are aggregated.
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,8 @@ LENGTHS, LEAST_RANDOM = (16, 20, 24, 32, 48, 64), 5
 #: Thresholds of the classes in which fewer seem to be random: the longer the string, the more the tests can tell.
 SPARSE_LEVELS = (0.1, 0.1, 0.05, 0.02, 0.02, 0.01)
 STEPS = 100
+#: Spans that are gathered before they join the others of a text.
+GATHERED = 256
 MARK = "[SECRET]"
 
 # The patterns of the known forms, for Java's expressions.
@@ -68,6 +70,25 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _gathered(parts: str, merge: Callable[[str, str], tuple[str, str]]) -> str:
+    """SQL for the spans that go out while an array is read in order, from the place where each element starts.
+
+    ``merge`` takes the expressions of the state (with ``at``) and of the element, and gives those of the next place
+    and of an array of spans. Spans are gathered in runs, so that a long array isn't copied with each of them.
+    """
+    none = f"cast(array() AS {_SPAN})"
+    at, out = merge("acc", "p")
+    step = f"(acc, p) -> named_struct('at', {at}, 'out', concat(acc.out, {out}))"
+    inner = f"aggregate(slice(_a, 1 + {GATHERED} * i, {GATHERED}), named_struct('at', all.at, 'out', {none}), {step})"
+    outer = (
+        f"(all, i) -> element_at(transform(array({inner}), x -> named_struct('at', x.at, 'out',"
+        f" if(size(x.out) > 0, concat(all.out, array(x.out)), all.out))), 1)"
+    )
+    runs = f"sequence(0, cast((size(_a) - 1) div {GATHERED} AS int))"
+    whole = f"aggregate({runs}, named_struct('at', 0, 'out', cast(array() AS array<{_SPAN}>)), {outer}, x -> flatten(x.out))"
+    return f"element_at(transform(array({parts}), _a -> {whole}), 1)"
+
+
 def _found(kind: int, pattern: str, gate: str | None = None, least_group: int = 0) -> str:
     """SQL for the spans of leftmost matches in ``_text``, with starts and ends in code points.
 
@@ -77,18 +98,16 @@ def _found(kind: int, pattern: str, gate: str | None = None, least_group: int =
     quoted = _quoted(pattern)
     group = f"regexp_extract_all(_text, {quoted}, {2 if least_group else 0})"
     parts = f"arrays_zip(split(_text, {quoted}, -1), regexp_extract_all(_text, {quoted}, 0), {group})"
-    between, match, inner = ("p.`0`", "p.`1`", "p.`2`")
-    keep = f"{match} IS NOT NULL AND length({inner}) >= {least_group}"
-    start = f"acc.at + length({between})"
-    end = f"{start} + coalesce(length({match}), 0)"
-    span = f"named_struct('start', {start}, 'kind', {kind}, 'end', {end}, 'token', {match})"
-    merged = f"named_struct('at', {end}, 'out', if({keep}, concat(acc.out, array({span})), acc.out))"
-    empty = f"named_struct('at', 0, 'out', cast(array() AS {_SPAN}))"
-    return (
-        f"CASE WHEN _text RLIKE {_quoted(gate or pattern)}"
-        f" THEN aggregate({parts}, {empty}, (acc, p) -> {merged}, acc -> acc.out)"
-        f" ELSE cast(array() AS {_SPAN}) END"
-    )
+
+    def merge(acc: str, p: str) -> tuple[str, str]:
+        between, match, inner = (f"{p}.`{i}`" for i in range(3))
+        start = f"{acc}.at + length({between})"
+        end = f"{start} + coalesce(length({match}), 0)"
+        span = f"named_struct('start', {start}, 'kind', {kind}, 'end', {end}, 'token', {match})"
+        keep = f"{match} IS NOT NULL AND length({inner}) >= {least_group}"
+        return end, f"if({keep}, array({span}), cast(array() AS {_SPAN}))"
+
+    return f"CASE WHEN _text RLIKE {_quoted(gate or pattern)} THEN {_gathered(parts, merge)} ELSE cast(array() AS {_SPAN}) END"
 
 
 def _class_moments(alphabet: str) -> tuple[float, float]:
@@ -116,24 +135,25 @@ def p_value(z: str) -> str:
 def _tests() -> str:
     """SQL for a candidate ``t`` as (start, end, n, p): its span, length and combined p-value.
 
-    ``t`` has token, n, chars, and its encoding e. A run ends where two neighbours differ in class.
+    ``t`` has token, n, its encoding e, and for each character its place in the alphabet (codes) and its class. A run
+    ends where two neighbours differ in class. All sums are linear in the token's length.
     """
-    classes = f"translate(t.token, '{_DIGITS}{_LOWER}{_UPPER}+/_=-', '{'d' * 10}{'l' * 26}{'u' * 26}{'o' * 5}')"
     squares = (
         "aggregate(split(t.e.alphabet, ''), 0D, (a, c) -> a + if(c = '', 0D,"
-        " power(length(t.token) - length(replace(t.token, c, '')), 2)))"
+        " power(t.n - length(replace(t.token, c, '')), 2)))"
     )
     chi = f"({squares} * t.e.k / t.n - t.n - (t.e.k - 1)) / sqrt(2D * (t.e.k - 1) * (t.n - 1) / t.n)"
-    equal = (
-        f"aggregate(sequence(2, t.n), 0, (a, i) -> a +"
-        f" if(substring({classes}, i, 1) = substring({classes}, i - 1, 1), 1, 0))"
-    )
+
+    def neighbours(of: str, joined: str) -> str:
+        return f"zip_with(slice({of}, 1, t.n - 1), slice({of}, 2, t.n - 1), (x, y) -> {joined})"
+
+    equal = f"aggregate({neighbours('t.classes', 'if(x = y, 1, 0)')}, 0, (a, x) -> a + x)"
     runs = (
         f"({equal} - (t.n - 1) * t.e.s2)"
         " / sqrt((t.n - 1) * t.e.s2 * (1 - t.e.s2) + 2 * (t.n - 2) * (t.e.s3 - t.e.s2 * t.e.s2))"
     )
-    code = "instr(t.e.alphabet, substring(t.token, {}, 1)) - (t.e.k + 1) / 2D"
-    products = f"aggregate(sequence(2, t.n), 0D, (a, i) -> a + ({code.format('i')}) * ({code.format('i - 1')}))"
+    centred = "({} - (t.e.k + 1) / 2D)"
+    products = f"aggregate({neighbours('t.codes', f'{centred.format("x")} * {centred.format("y")}')}, 0D, (a, x) -> a + x)"
     serial = f"{products} * 12 / ((t.e.k * t.e.k - 1) * sqrt(t.n - 1D))"
     least = ", ".join(p_value(f"({z})") for z in (chi, runs, serial))
     return f"named_struct('start', t.start, 'end', t.end, 'n', t.n, 'p', least(1D, 3 * least({least})))"
@@ -141,25 +161,29 @@ def _tests() -> str:
 
 def _parts(separators: str) -> str:
     """SQL for the spans of the parts of the run ``r`` between separators."""
-    start = "r.start + acc.at"
-    span = f"named_struct('start', {start}, 'kind', r.kind, 'end', {start} + length(p), 'token', p)"
-    merged = (
-        f"named_struct('at', acc.at + length(p) + 1,"
-        f" 'out', if(length(p) >= {LENGTHS[0]}, concat(acc.out, array({span})), acc.out))"
-    )
-    empty = f"named_struct('at', 0, 'out', cast(array() AS {_SPAN}))"
-    return f"aggregate(split(r.token, '{separators}', -1), {empty}, (acc, p) -> {merged}, acc -> acc.out)"
+
+    def merge(acc: str, p: str) -> tuple[str, str]:
+        start = f"r.start + {acc}.at"
+        span = f"named_struct('start', {start}, 'kind', r.kind, 'end', {start} + length({p}), 'token', {p})"
+        return f"{acc}.at + length({p}) + 1", f"if(length({p}) >= {LENGTHS[0]}, array({span}), cast(array() AS {_SPAN}))"
+
+    return _gathered(f"split(r.token, '{separators}', -1)", merge)
 
 
 def _candidates() -> str:
     """SQL for the tested candidates among the runs in ``_long`` and their parts."""
     every = ", ".join(_parts(x) for x in SEPARATORS)
     parts = f"if(r.token RLIKE '{SEPARATORS[-1]}', array_distinct(concat(array(r), {every})), array(r))"
-    prepared = (
+    encoded = (
         f"transform(filter(flatten(transform(_long, r -> {parts})), x -> x.token RLIKE '[A-Za-z]'), x -> named_struct("
         f"'start', x.start, 'end', x.end, 'token', x.token, 'n', length(x.token), 'e', {_encoding('x.token')}))"
     )
-    return f"transform({prepared}, t -> {_tests()})"
+    classes = f"translate(x.token, '{_DIGITS}{_LOWER}{_UPPER}+/_=-', '{'d' * 10}{'l' * 26}{'u' * 26}{'o' * 5}')"
+    spelled = (
+        f"transform({encoded}, x -> named_struct('start', x.start, 'end', x.end, 'token', x.token, 'n', x.n, 'e', x.e,"
+        f" 'codes', transform(split(x.token, ''), c -> instr(x.e.alphabet, c)), 'classes', split({classes}, '')))"
+    )
+    return f"transform({spelled}, t -> {_tests()})"
 
 
 def scan(docs: DataFrame, keep: Sequence[str]) -> DataFrame:

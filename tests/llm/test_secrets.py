@@ -1,8 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import string
+import time
 
+import numpy as np
+from profilescope.llm import secrets
 from profilescope.llm.secrets import find_secrets, op5, redact
 
 from .conftest import words
@@ -72,6 +76,65 @@ def test_few_random_strings_are_found_too(spark):
     assert got[10] == got[11] == []
 
 
+def p_of(token):
+    """The combined p-value of a token by numpy, from the definition of the three statistics."""
+    digits, lower, upper = string.digits, string.ascii_lowercase, string.ascii_uppercase
+    smallest = [digits + "abcdef", digits + "ABCDEF", upper + "234567", digits + lower, digits + upper, digits + lower + upper]
+    alphabet = next((a for a in smallest if set(token) <= set(a)), digits + lower + upper + "+/_=-")
+    n, k = len(token), len(alphabet)
+    codes = np.array([alphabet.index(c) + 1 for c in token], dtype=float)
+    kind = lambda c: "d" if c in digits else "l" if c in lower else "u" if c in upper else "o"
+    shares = np.array([sum(kind(c) == x for c in alphabet) / k for x in "dluo"])
+    s2, s3 = (shares**2).sum(), (shares**3).sum()
+    counts = np.bincount(codes.astype(int), minlength=k + 1)[1:]
+    chi = ((counts**2).sum() * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    equal = sum(kind(a) == kind(b) for a, b in zip(token, token[1:], strict=False))
+    runs = (equal - (n - 1) * s2) / math.sqrt((n - 1) * s2 * (1 - s2) + 2 * (n - 2) * (s3 - s2 * s2))
+    centred = codes - (k + 1) / 2
+    serial = (centred[1:] * centred[:-1]).sum() * 12 / ((k * k - 1) * math.sqrt(n - 1))
+    return min(1.0, 3 * min(math.erfc(abs(z) / math.sqrt(2)) for z in (chi, runs, serial)))
+
+
+def test_statistics_match_numpy(spark):
+    rng = random.Random(12)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + "019", "aB3/_x=-+"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randrange(16, 90))) + "zZ"[: i % 3] for a in alphabets for i in range(12)]
+    tokens += ["a" * 20, "ab" * 30, "abcdefghijklmnopqrstuvwxyz", "Q" * 16 + "7"]
+    rows = list(enumerate(tokens))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = 0
+    for r in secrets.scan(docs, ["doc_id"]).collect():
+        token = tokens[r["_document"]["doc_id"]]
+        for c in r["_tested"]:
+            assert abs(c["p"] - p_of(token[c["start"] : c["end"]])) < 0.002, token
+            seen += 1
+    assert seen > len(tokens)
+
+
+def test_one_token_of_a_megabyte(spark):
+    rng = random.Random(5)
+    whole = "".join(rng.choices(string.ascii_letters + string.digits, k=1_000_000))
+    docs = spark.createDataFrame([(1, f"see {whole} end"), (2, f"data:{whole[:300_000]}")], "doc_id long, text string")
+    began = time.time()
+    got = {r["_document"]["doc_id"]: r["_tested"] for r in secrets.scan(docs, ["doc_id"]).collect()}
+    assert time.time() - began < 60
+    assert [(c["start"], c["end"]) for c in got[1]] == [(4, 1_000_004)] and abs(got[1][0]["p"] - p_of(whole)) < 0.002
+
+
+def test_many_spans_in_one_text(spark):
+    parts = [f"token={i:09d} {i:032x} AKIA{i:016d} wort" for i in range(4000)]
+    text = "\n".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = op5(docs).first()
+    assert [r["n_assign"], r["n_access"], r["n_hex"]] == [4000] * 3
+    spans = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base(text))
+    assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+    clean = redact(docs).first()["text"]
+    assert clean.count("[SECRET]") == 12_000 and clean.count("wort") == 4000
+    assert time.time() - began < 120
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long")
     for r in redact(docs).collect():
