@@ -1,7 +1,7 @@
 """Operator 12: a Jaccard join of shingle sets by vertical partitioning of the global shingle order.
 
 1. One pass gives each text's shingle set a digest; documents with equal sets are one class.
-2. The shingles of all classes meet once, sorted by shingle. What only one class holds (its own shingles) can add to no
+2. The shingles of all sets meet once, in ranges of their hashes. What only one set holds (its own shingles) can add to no
    overlap and goes; the rest gets a place in the global order: few holders first, frequent shingles last.
 3. Two sets of the similarity share one of their first n - ceil(similarity * n) + 1 shingles in that order. Classes whose
    own shingles fill these places have no partner. The others meet in a bucket for each shingle of these places.
@@ -22,7 +22,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +30,15 @@ from profilescope.llm.components import components
 from profilescope.llm.sketching import Shingler
 
 WIDTH, SIMILARITY = 5, 80  # words, per cent
-#: Shingles that a task lays side by side, and holders among them from which a shingle is spread over salts.
-BUFFERED, FREQUENT, SALTS = 1 << 20, 16, 32
-#: Classes whose shingles a task remembers having sent; forgetting them only costs a repetition.
+#: Shingles that a task lays side by side, holders among them from which a shingle goes past the buckets, and to how many
+#: partitions those of one task go.
+BUFFERED, FREQUENT, SPREAD = 1 << 20, 8, 64
+#: Shingles of a bucket.
+BUCKET = 1 << 22
+#: Sets that a task remembers having sent; forgetting them only costs a repetition.
 REMEMBERED = 200_000
-#: The last place in the global order, and holders from which a shingle's number of holders is not told.
-LAST, HELD = (1 << 31) - 1, 1 << 20
+#: The last place in the global order.
+LAST = (1 << 31) - 1
 FRAGMENTS = 16
 #: Sketches are 16 words of 64 bits.
 SKETCH = 16
@@ -72,34 +74,42 @@ def _sets(docs: DataFrame, width: int, carried: Sequence[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _postings(docs: DataFrame, width: int) -> DataFrame:
-    """(high, low, size, token, salt, marks): a row for each shingle of each class that a task meets.
+def _laid_out(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    """The shingles of all texts by buckets, which are ranges of shingle hashes, a row for each bucket of a lay.
 
-    Shingles with many holders in a task go to the partitions of several salts; a row without a class tells the
-    partition of salt 0 about them.
+    A lay is what a task holds at a time: the sets of some texts, repeats left out. ``at`` says to which of them
+    each shingle belongs. Shingles that many of a lay hold are in several sets for sure. They go past the buckets in a row of
+    the lay, with a bucket below 0, that also has the sets' sizes and digests; the buckets are only told (``marked``).
     """
+    limits = np.array([-(-i * 2**64 // buckets) for i in range(1, buckets)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sent, buffered, waiting = Shingler(width), set(), [], 0
-        names = ["high", "low", "size", "token", "salt", "marked"]
+        shingler, sent, buffered, waiting, made = Shingler(width), set(), [], 0, 0
+        kinds = [pa.int32(), pa.int64(), *(pa.list_(x) for x in (pa.int32(), *[pa.int64()] * 2, pa.int32(), *[pa.int64()] * 2))]
+        names = ["bucket", "lay", "at", "token", "marked", "size", "high", "low"]
 
         def laid() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate([s for s, _ in buffered]).view(np.int64)
-            sizes = np.array([len(s) for s, _ in buffered])
-            halves = np.repeat(_halves([d for _, d in buffered]), sizes, axis=0)
-            _, place, held = np.unique(tokens, return_inverse=True, return_counts=True)
-            hot = held[place] >= FREQUENT
-            salts = np.where(hot, 1 + (halves[:, 1] & (SALTS - 1)), 0).astype(np.int32)
-            marks = np.unique(tokens[hot])
-            columns = [halves[:, 0], halves[:, 1], np.repeat(sizes, sizes), tokens, salts]
-            for start in range(0, len(tokens), 1 << 16):
-                cut = [pa.array(x[start : start + (1 << 16)]) for x in columns]
-                yield pa.RecordBatch.from_arrays([*cut, pa.array(np.zeros(len(cut[0]), dtype=bool))], names)
-            none = pa.nulls(len(marks), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(marks), pa.array(np.zeros(len(marks), dtype=np.int32)), pa.array(np.ones(len(marks), dtype=bool))],
-                names,
-            )
+            sizes = np.array([len(s) for s, _ in buffered], dtype=np.int32)
+            halves = _halves([d for _, d in buffered])
+            token = np.concatenate([s for s, _ in buffered])
+            at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            known, place, held = np.unique(token, return_inverse=True, return_counts=True)
+            hot, marks = held[place] >= FREQUENT, known[held >= FREQUENT]
+            lay = row_numbers(1, made)[0]
+            rows = [(-1 - made % SPREAD, lay, at[hot], token[hot].view(np.int64), [], sizes, halves[:, 0], halves[:, 1])]
+            # Set by set within each bucket, which compresses well.
+            token, at = token[~hot], at[~hot]
+            bucket_of = np.searchsorted(limits, token, side="right")
+            order = np.argsort(bucket_of, kind="stable")
+            token, at, bucket_of = token[order], at[order], bucket_of[order]
+            marked = np.searchsorted(limits, marks, side="right")
+            for bucket in np.unique(np.concatenate([bucket_of, marked])).tolist():
+                begun, end = np.searchsorted(bucket_of, [bucket, bucket + 1])
+                told = marks[slice(*np.searchsorted(marked, [bucket, bucket + 1]))].view(np.int64)
+                rows.append((bucket, lay, at[begun:end], token[begun:end].view(np.int64), told, [], [], []))
+            for start in range(0, len(rows), 256):
+                columns = zip(*rows[start : start + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
             for found, digest in _digested(shingler, batch):
@@ -112,62 +122,78 @@ def _postings(docs: DataFrame, width: int) -> DataFrame:
                 waiting += len(found)
                 if waiting >= BUFFERED:
                     yield from laid()
+                    made += 1
                     buffered, waiting = [], 0
         if buffered:
             yield from laid()
 
-    return docs.select("text").mapInArrow(run, "high long, low long, size long, token long, salt int, marked boolean")
+    schema = (
+        "bucket int, lay long, at array<int>, token array<long>, marked array<long>, "
+        "size array<int>, high array<long>, low array<long>"
+    )
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column without nulls."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _ordered(postings: DataFrame) -> DataFrame:
-    """(high, low, size, token, place): the postings of shingles that several classes hold, with their place in the global
-    order (ties are broken by the shingle). Repeated postings may be left where a shingle is frequent."""
-    columns = ["high", "low", "size", "token"]
+def _ordered(laid: DataFrame) -> DataFrame:
+    """The shingles that several sets hold, with their ``place`` in the global order: the number of holders, or ``LAST`` where
+    a lay had many. Ties are broken by the shingle. Rows are of a lay again, some for each."""
+    kinds = [pa.int64(), *(pa.list_(x) for x in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+    names = ["lay", "at", "token", "place", "size", "high", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: pa.RecordBatch | None = None
-        long_token: int | None = None  # a token with so many holders that part of them is out already
-
-        def placed(rows: pa.RecordBatch) -> pa.RecordBatch:
-            token, marked = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("token", "marked"))
-            high, low = (pc.fill_null(rows.column(c), 0).to_numpy() for c in ("high", "low"))
-            fresh = np.ones(len(token), dtype=bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (marked[1:] != marked[:-1])
+        current, lays, ats, tokens, marks = -1, [], [], [], []
+
+        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        def placed() -> Iterator[pa.RecordBatch]:
+            lay = np.repeat(np.array(lays), [len(x) for x in ats])
+            at, token, marked = np.concatenate(ats), np.concatenate(tokens), np.unique(np.concatenate(marks))
+            if not len(token):
+                return
+            order = np.argsort(token, kind="stable")
+            lay, at, token = lay[order], at[order], token[order]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            runs = np.diff(np.concatenate([starts, [len(token)]]))
-            holders = np.add.reduceat(fresh & ~marked, starts)
-            hot = np.logical_or.reduceat(marked, starts) | (token[starts] == long_token if long_token is not None else False)
-            places = np.repeat(np.where(hot | (holders >= HELD), LAST, holders), runs).astype(np.int32)
-            keep = fresh & ~marked & (places > 1)
-            kept = rows.select(columns).filter(pa.array(keep))
-            return pa.RecordBatch.from_arrays([*kept.columns, pa.array(places[keep])], [*columns, "place"])
+            holders = np.diff(np.concatenate([starts, [len(token)]]))
+            place = np.where(np.isin(token[starts], marked, assume_unique=True), LAST, holders)
+            place = np.repeat(place, holders).astype(np.int32)
+            keep = np.flatnonzero(place > 1)
+            keep = keep[np.lexsort((at[keep], lay[keep]))]
+            lay, at, token, place = (x[keep] for x in (lay, at, token, place))
+            starts = np.flatnonzero(np.concatenate([[True], lay[1:] != lay[:-1]])) if len(lay) else []
+            rows = [
+                (lay[a], at[a:b], token[a:b], place[a:b], [], [], [])
+                for a, b in zip(starts, [*starts[1:], len(lay)], strict=True)
+            ]
+            for start in range(0, len(rows), 256):
+                yield rows_of(rows[start : start + 256])
 
         for batch in batches:
-            salted = pc.greater(batch.column("salt"), 0)
-            spread = batch.select(columns).filter(salted)
-            if len(spread):
-                last = pa.array(np.full(len(spread), LAST, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*spread.columns, last], [*columns, "place"])
-            rows = batch.select([*columns, "marked"]).filter(pc.invert(salted))
-            if carried is not None:
-                rows = pa.Table.from_batches([carried, rows]).combine_chunks().to_batches()[0] if len(rows) else carried
-            if not len(rows):
-                continue
-            token = rows.column("token").to_numpy()
-            end = int(np.searchsorted(token, token[-1]))
-            if end:
-                yield placed(rows.slice(0, end))
-                long_token = None
-            carried = rows.slice(end)
-            if len(carried) >= HELD:
-                long_token = int(token[-1])
-                yield placed(carried)
-                carried = None
-        if carried is not None and len(carried):
-            yield placed(carried)
-
-    met = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "high", "low")
-    return met.mapInArrow(run, "high long, low long, size long, token long, place int")
+            lists = {c: _lists(batch.column(c)) for c in ("at", "token", "marked", "size", "high", "low")}
+            numbers, buckets = batch.column("lay").to_pylist(), batch.column("bucket").to_pylist()
+            for i, (lay, bucket) in enumerate(zip(numbers, buckets, strict=True)):
+                if bucket < 0:
+                    last = np.full(len(lists["at"][i]), LAST, dtype=np.int32)
+                    yield rows_of([(lay, lists["at"][i], lists["token"][i], last, *(lists[c][i] for c in ("size", "high", "low")))])
+                    continue
+                if bucket != current and lays:
+                    yield from placed()
+                    lays, ats, tokens, marks = [], [], [], []
+                current = bucket
+                lays.append(lay), ats.append(lists["at"][i]), tokens.append(lists["token"][i]), marks.append(lists["marked"][i])
+        if lays:
+            yield from placed()
+
+    met = laid.repartition("bucket").sortWithinPartitions("bucket")
+    schema = "lay long, at array<int>, token array<long>, place array<int>, size array<int>, high array<long>, low array<long>"
+    return met.mapInArrow(run, schema)
 
 
 def _first(size: int, similarity: int) -> int:
@@ -182,7 +208,7 @@ def _parities(tokens: np.ndarray) -> np.ndarray:
 
 
 def _classes(ordered: DataFrame, similarity: int) -> DataFrame:
-    """(class, high, low, size, own, first, tokens, places, sketch) of the classes that may have a partner.
+    """(class, high, low, size, own, first, tokens, places, sketch) of the sets that may have a partner; repeats are left.
 
     ``tokens`` are the shingles that others hold too, in the global order, ``first`` says how many of them make buckets.
     """
@@ -191,48 +217,46 @@ def _classes(ordered: DataFrame, similarity: int) -> DataFrame:
         "tokens array<long>, places array<int>, sketch array<long>"
     )
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-        carried: list[pa.RecordBatch] = []
+        made, current, parts, facts = 0, None, [], None
 
-        def complete(rows: pa.Table) -> pa.RecordBatch | None:
+        def complete() -> pa.RecordBatch | None:
             nonlocal made
-            high, low, size, token, place = (rows.column(c).to_numpy() for c in ("high", "low", "size", "token", "place"))
-            starts = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+            at, token, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((token, place, at))
+            at, token, place = at[order], token[order], place[order]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
             found = []
-            for a, b in zip(starts, [*starts[1:], len(token)], strict=True):
-                shared, at = np.unique(token[a:b], return_index=True)  # a frequent shingle may be told twice
-                own = int(size[a]) - len(shared)
-                first = _first(int(size[a]), similarity) - own
+            for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+                size, high, low = (int(x[at[a]]) for x in facts)
+                own = size - (b - a)
+                first = _first(size, similarity) - own
                 if first > 0:
-                    at = np.sort(at)
-                    tokens = token[a:b][at]
-                    found.append((high[a], low[a], size[a], own, first, tokens, place[a:b][at], _parities(tokens)))
+                    found.append((high, low, size, own, first, token[a:b], place[a:b], _parities(token[a:b])))
             if not found:
                 return None
             numbers = row_numbers(len(found), made)
             made += len(found)
-            types = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), types, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *columns], names)
+            columns = [numbers, *zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            if not len(batch):
-                continue
-            high, low = batch.column("high").to_numpy(), batch.column("low").to_numpy()
-            end = int(np.flatnonzero((high != high[-1]) | (low != low[-1]))[-1]) + 1 if ((high != high[-1]) | (low != low[-1])).any() else 0
-            last = carried[-1] if carried else None
-            if end or (last is not None and (last["high"][-1].as_py(), last["low"][-1].as_py()) != (int(high[0]), int(low[0]))):
-                if (done := complete(pa.Table.from_batches([*carried, batch.slice(0, end)]))) is not None:
-                    yield done
-                carried = []
-            carried.append(batch.slice(end))
-        if carried and (done := complete(pa.Table.from_batches(carried))) is not None:
+            lists = {c: _lists(batch.column(c)) for c in ("at", "token", "place", "size", "high", "low")}
+            for i, lay in enumerate(batch.column("lay").to_pylist()):
+                if lay != current and parts:
+                    if (done := complete()) is not None:
+                        yield done
+                    parts, facts = [], None
+                current = lay
+                parts.append((lists["at"][i], lists["token"][i], lists["place"][i]))
+                if len(lists["size"][i]):
+                    facts = [lists[c][i] for c in ("size", "high", "low")]
+        if parts and (done := complete()) is not None:
             yield done
 
-    met = ordered.repartition("high", "low").sortWithinPartitions("high", "low", "place", "token")
-    return met.mapInArrow(run, schema)
+    return ordered.repartition("lay").sortWithinPartitions("lay").mapInArrow(run, schema)
 
 
 def _segments(classes: DataFrame, fragments: int) -> DataFrame:
@@ -345,19 +369,23 @@ def joined(
     names = [c for c in (docs.columns if carried is None else carried) if c not in ("n_shingles", "component_id")]
     sets = written_once(_sets(docs, width, names), "sets")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    classes = written_once(_classes(_ordered(_postings(texts, width)), similarity), "classes")
+    total = sets.agg(F.sum("_size")).first()[0] or 0
+    buckets = max(-(-total // BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    repeated = _classes(_ordered(_laid_out(texts, width, buckets)), similarity)
+    first = F.min_by(F.struct(*repeated.columns), "class").alias("x")
+    classes = written_once(repeated.groupBy("high", "low").agg(first).select("x.*"), "classes")
     facts = classes.select("class", "size", "own", "sketch")
 
     members = classes.select("class", "size", "own", F.explode(F.slice("tokens", 1, F.col("first"))).alias("token"))
     centre = F.min(F.struct((F.col("own") / F.col("size")).alias("share"), "class")).alias("_centre")
     shared = members.groupBy("token").agg(centre, F.count("*").alias("_members")).where("_members > 1")
-    buckets = members.select("token", "class").join(shared.select("token", F.col("_centre.class").alias("centre")), "token")
-    buckets = written_once(buckets, "buckets")
+    met = members.select("token", "class").join(shared.select("token", F.col("_centre.class").alias("centre")), "token")
+    met = written_once(met, "buckets")
     segments = written_once(_segments(classes, fragments), "segments")
 
-    links = written_once(_counted(_about_centres(buckets, facts, similarity), segments, facts, similarity), "links")
+    links = written_once(_counted(_about_centres(met, facts, similarity), segments, facts, similarity), "links")
     roots = components(links)
-    more = _across(buckets, facts, roots, similarity)
+    more = _across(met, facts, roots, similarity)
     more = written_once(_counted(more, segments, facts, similarity), "more-links")
     if not more.isEmpty():
         roots = components(links.unionAll(more))

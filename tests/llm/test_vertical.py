@@ -23,9 +23,9 @@ def family():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("buffered,frequent,held,block,fragments", [(1 << 20, 16, 1 << 20, 1024, 16), (3000, 4, 1 << 20, 5, 3), (500, 10**6, 6, 2, 1)])
-def test_components_match_brute_force(spark, family, monkeypatch, buffered, frequent, held, block, fragments):
-    for name, value in (("BUFFERED", buffered), ("FREQUENT", frequent), ("HELD", held), ("BLOCK", block), ("REMEMBERED", 9)):
+@pytest.mark.parametrize("buffered,frequent,bucket,block,fragments", [(1 << 20, 8, 1 << 22, 1024, 16), (3000, 4, 900, 5, 3), (500, 10**6, 9000, 2, 1)])
+def test_components_match_brute_force(spark, family, monkeypatch, buffered, frequent, bucket, block, fragments):
+    for name, value in (("BUFFERED", buffered), ("FREQUENT", frequent), ("BUCKET", bucket), ("BLOCK", block), ("REMEMBERED", 9)):
         monkeypatch.setattr(vertical, name, value)
     docs = spark.createDataFrame(family, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r for r in joined(docs, fragments=fragments).collect()}
@@ -53,7 +53,7 @@ def test_small_arrow_batches(spark, family):
 
 def test_fragments_sum_to_the_overlap(spark, family):
     docs = spark.createDataFrame(family, "doc_id long, text string").select("text")
-    classes = vertical._classes(vertical._ordered(vertical._postings(docs, 5)), 80).cache()
+    classes = vertical._classes(vertical._ordered(vertical._laid_out(docs, 5, 7)), 80).cache()
     whole = {r["class"]: set(r["tokens"]) for r in classes.collect()}
     cut = vertical._segments(classes, 4).collect()
     assert len({r["fragment"] for r in cut}) > 1
