@@ -41,7 +41,7 @@ INDEX_BYTES = 2 << 20
 BLOCK = 16
 #: Runs of neighbouring items for which every term's highest score is tabled, at most.
 RUNS = 64
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _EDGE = b".,;:!?\"'()[]{}<>#$%&*|~-_=+/\\"
 OUTPUT = "item_id long, first_word long, score double, question_overlap double, answer_overlap double"
 

@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 
 #: The tokenizer of the packing contract.
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Cached parts of a worker, some 200 bytes each; beyond it the cache starts anew.
-CACHED_PARTS = 600_000
+#: Cached parts of a worker, and as many pieces of parts, some 200 bytes each; beyond it the cache starts anew.
+CACHED_PARTS = 120_000
 
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(f"[!-~À-ÖØ-öø-ÿ]+")

@@ -28,8 +28,8 @@ CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 256
 OUTPUT = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Pieces handed to Spark at once.
-BATCH = 2048
+#: Pieces handed to Spark at once, and bytes of their ids.
+BATCH, BATCH_BYTES = 2048, 4 << 20
 
 
 @dataclass(frozen=True, slots=True)
@@ -150,31 +150,31 @@ def pack(
         encode = encoder(tokenizer).encode
         end = end_id.to_bytes(4, "little")
         packer = SquaresPacker(capacity, max_open)
-        made = 0
-        rows: list[tuple] = []
 
-        def put(windows: Iterator[list[Piece]]) -> None:
-            nonlocal made
-            for window in windows:
-                (number,) = row_numbers(1, made)
-                made += 1
-                offset = 0
-                for p in window:
-                    rows.append((p.doc_id, p.start, p.ids, p.doc_tokens, number, offset))
-                    offset += len(p)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                whole = Piece(doc_id.as_py(), 0, ids, len(ids) >> 2)
-                full = len(whole) // capacity * capacity
-                put([whole.cut(i, capacity)] for i in range(0, full, capacity))
-                if full < len(whole):
-                    put(packer.add(whole.cut(full, len(whole) - full)))
-                if len(rows) >= BATCH:
-                    yield _batch(rows)
-                    rows = []
-        put(packer.finish())
+        def windows() -> Iterator[list[Piece]]:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                    ids = encode(text.as_py()) + end
+                    whole = Piece(doc_id.as_py(), 0, ids, len(ids) >> 2)
+                    full = len(whole) // capacity * capacity
+                    for i in range(0, full, capacity):
+                        yield [whole.cut(i, capacity)]
+                    if full < len(whole):
+                        yield from packer.add(whole.cut(full, len(whole) - full))
+            yield from packer.finish()
+
+        rows: list[tuple] = []
+        held = 0
+        for made, window in enumerate(windows()):
+            (number,) = row_numbers(1, made)
+            offset = 0
+            for p in window:
+                rows.append((p.doc_id, p.start, p.ids, p.doc_tokens, number, offset))
+                offset += len(p)
+                held += len(p.ids)
+            if len(rows) >= BATCH or held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
         if rows:
             yield _batch(rows)
 

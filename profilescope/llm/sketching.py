@@ -15,7 +15,7 @@ import xxhash
 
 from profilescope.llm.common import words_of
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # The finaliser of splitmix64.
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
