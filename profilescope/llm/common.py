@@ -56,6 +56,15 @@ def row_numbers(count: int, start: int = 0) -> range:
     return range(first, first + count)
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """The needed columns, with all others in a struct ``_others`` so that no name of theirs can clash; and the columns
+    that bring back what ``docs`` has, in its order."""
+    others = [c for c in docs.columns if c not in needed]
+    aside = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("_others")] if others else []
+    back = [F.col(c) if c in needed else F.col(f"_others.`{c}`") for c in docs.columns]
+    return docs.select(*needed, *aside), back
+
+
 def probably_listed(rows: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
     """Rows whose ``column`` is among the listed ids, and a few others, without moving the rows.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilescope.llm.common import probably_listed, row_numbers, written_once
+from profilescope.llm.common import probably_listed, row_numbers, set_aside, written_once
 from profilescope.llm.components import components
 from profilescope.llm.sketching import Shingler, Sketcher
 
@@ -38,7 +38,7 @@ MIN_AGREEMENT = 0.69
 #: Classes of a bucket on either side of one comparison block.
 BLOCK = 256
 #: Members from which a bucket counts as large, and shingles that a task counts before it hands them on.
-LARGE, COUNTED = 64, 500_000
+LARGE, COUNTED = 64, 150_000
 SIMILARITY = 80  # per cent
 WIDTH = 5
 
@@ -383,7 +383,8 @@ def op7(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies (5-word shingles, 80 %), with its columns."""
-    return cluster(docs).where("first").select(*docs.columns)
+    bare, columns = set_aside(docs, "doc_id", "text")
+    return cluster(bare).where("first").select(*columns)
 
 
 ORACLE_OP7 = r"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilescope.llm.common import words_of
+from profilescope.llm.common import set_aside, words_of
 
 DIMENSIONS = 1 << 18
 GRADES = 3
@@ -34,7 +34,7 @@ SAMPLE = 8_000
 #: Share of probability that must lie on the selected grades.
 MIN_TAIL = 0.3
 #: Words whose places a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _EDGE = b".,;:!?\"'()[]{}<>#$%&*|~-_=+/\\"
 
 
@@ -223,5 +223,5 @@ def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier selects, with their columns."""
-    rated = rate_documents(docs.select(*docs.columns), labels)
-    return rated.where("selected").select(*docs.columns)
+    bare, columns = set_aside(docs, "doc_id", "text")
+    return rate_documents(bare, labels).where("selected").select(*columns)

@@ -28,7 +28,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilescope.llm.common import written_once
+from profilescope.llm.common import set_aside, written_once
 
 KINDS = ("assign", "access", "hex", "random")
 #: Most wrong strings among the reported ones of a length class, as estimated.
@@ -297,10 +297,11 @@ def op5(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, false_share: float = FALSE_SHARE, mark: str = MARK) -> DataFrame:
     """Documents in whose texts every secret is replaced by ``mark``; overlapping spans become one.
 
-    ``n_chars``, if there, is that of the new text where the text changed. Columns stay, but for one of the
-    name ``secrets``.
+    ``n_chars``, if there, is that of the new text where the text changed. All columns stay, of any name.
     """
-    found = find_secrets(docs, false_share)
+    counted = [c for c in ("n_chars",) if c in docs.columns]
+    bare, columns = set_aside(docs, "text", *counted)
+    found = find_secrets(bare, false_share)
     cut = (
         "aggregate(secrets, named_struct('at', 0, 'out', ''), (acc, s) -> CASE"
         " WHEN s.end <= acc.at THEN acc"
@@ -310,7 +311,7 @@ def redact(docs: DataFrame, false_share: float = FALSE_SHARE, mark: str = MARK)
     )
     hit = F.size("secrets") > 0
     clean = found.withColumn("text", F.when(hit, F.expr(cut)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    if counted:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return clean.drop("secrets")
+    return clean.select(*columns)

@@ -55,3 +55,38 @@ def test_planted_documents(spark, tmp_path):
     assert set(seen["packing"]) == set(seen["secrets"])
     run = corpus_pipeline.run(spark, folder)
     assert run.count() == docs.count() and run.columns == docs.columns
+
+
+#: Columns that the operators of the stages add, and others they use inside.
+NAMES = ["selected", "expected_grade", "first", "component_id", "n_shingles", "secrets", "spans", "_others", "_document", "_text", "key"]
+
+
+def test_stages_keep_every_column(spark, tmp_path):
+    """Whatever its name, and with empty, null and very long texts."""
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path)
+    long_text = words(70, 200_000) + " " + "x" * 300_000
+    rows = [(i, words(i, 40), "en", "s", 1) for i in range(30)] + [
+        (30, None, None, None, None), (31, "", "en", "s", 0), (32, long_text, "en", "s", 9), (None, "a b c", "en", "s", 5),
+    ]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for name in NAMES:
+        docs = docs.withColumn(name, F.concat(F.lit("my "), F.lit(name)))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, words(901, 30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        kept = out.collect()
+        assert len(kept) >= 30 and all(r[c] == f"my {c}" for r in kept for c in NAMES), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in rows}
+
+
+def test_empty_documents(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
