@@ -58,8 +58,10 @@ def array_lacks(column: str, value) -> Column | None:
 
 
 def instant_literal(value, like: str) -> Column:
-    """A point in time, typed as the (zoned or unzoned) column it is compared with."""
-    return F.lit(value).cast(like) if value is not None else F.current_timestamp().cast(like)
+    """A point in time, typed as the (zoned or unzoned) column it is compared with; null for text that is none."""
+    if value is None:
+        return F.current_timestamp().cast(like)
+    return (F.try_to_timestamp(F.lit(value)) if isinstance(value, str) else F.lit(value)).cast(like)
 
 
 def visible_at(as_of: Column) -> Column:

@@ -7,7 +7,7 @@ from profilescope.functions.keywords import EXACT, SUBSTRING, WORD, KeywordQuery
 from profilescope.operators.fulltext import matchable
 from profilescope.schema import TEXT_FIELDS
 
-# Fragments per field, fields with a whole-word highlight, encoded characters.
+# Default of fragments per field, fields with a whole-word highlight, encoded characters.
 FRAGMENTS = 5
 WORD_HIGHLIGHT_FIELDS = ["skills", "summary", "headline"]
 HTML_ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;", "/": "&#x2F;"}
@@ -48,19 +48,41 @@ def fragments_of(value: str, mode: str) -> str:
     return text.extract_all(value, SPACED_WORD if mode == SUBSTRING else TOKEN_WITH_GAP)
 
 
-def highlights(query: KeywordQuery) -> str:
-    """A map from field to fragments; fields without a hit are absent, no hit at all is null."""
-    tokens = [t for c in query.positive for t in c.tokens if matchable(query.mode, t)]
-    if not tokens:
-        return f"cast(null AS {HIGHLIGHT_TYPE})"
-    hit = _is_hit("piece", query.mode, list(dict.fromkeys(tokens)))
+def _holds(piece: str, mode: str, tokens: str) -> str:
+    """``_is_hit`` for tokens in an array column."""
+    if mode == EXACT:
+        return f"array_contains({tokens}, {piece})"
+    if mode == WORD:
+        words = f"flatten(transform({tokens}, t -> split(t, {text.literal(text.SEPARATOR)})))"
+        word = f"regexp_extract({piece}, {text.literal(text.WORD)}, 0)"
+        return f"array_contains({words}, {text.strip_js(text.lowercase(word))})"
+    low = text.lowercase(piece)
+    plain, bare = (f"exists({tokens}, t -> contains({x}, t))" for x in (low, text.squashed(low)))
+    return f"({plain} OR (rlike({low}, {text.literal(text.MARK)}) AND {bare}))"
+
 
-    labels = {field_label(f, query.mode): text.field_items(f) for f in highlighted_fields(query.mode)}
+def _mapped(mode: str, hit: str, most: int) -> str:
+    """A map from field to the first pieces for which ``hit`` holds of ``piece``; null without any."""
+    labels = {field_label(f, mode): text.field_items(f) for f in highlighted_fields(mode)}
     fields = ", ".join(f"named_struct('key', {text.literal(k)}, 'items', {v})" for k, v in labels.items())
-    pieces = f"flatten(transform(field.items, item -> {fragments_of('item', query.mode)}))"
-    shown = f"transform(slice(filter({pieces}, piece -> {hit}), 1, {FRAGMENTS}), p -> {html_encode('p')})"
+    pieces = f"flatten(transform(field.items, item -> {fragments_of('item', mode)}))"
+    shown = f"transform(slice(filter({pieces}, piece -> {hit}), 1, {most}), p -> {html_encode('p')})"
     entries = f"transform(array({fields}), field -> named_struct('key', field.key, 'value', {shown}))"
     found = f"filter({entries}, e -> size(e.value) > 0)"
     # Bound as a lambda variable, so that the entries are built once.
     mapped = "CASE WHEN size(found) > 0 THEN map_from_entries(found) END"
     return f"transform(array({found}), found -> {mapped})[0]"
+
+
+def highlights(query: KeywordQuery, fragments: int = FRAGMENTS) -> str:
+    """A map from field to its first ``fragments`` fragments; fields without a hit are absent, no hit at all is null."""
+    tokens = [t for c in query.positive for t in c.tokens if matchable(query.mode, t)]
+    if not tokens:
+        return f"cast(null AS {HIGHLIGHT_TYPE})"
+    return _mapped(query.mode, _is_hit("piece", query.mode, list(dict.fromkeys(tokens))), fragments)
+
+
+def row_highlights(mode: str, tokens: str, fragments: int = FRAGMENTS) -> str:
+    """``highlights`` where each row has its own mode and array of tokens, as columns."""
+    ways = " ".join(f"WHEN '{m}' THEN {_mapped(m, _holds('piece', m, tokens), fragments)}" for m in (SUBSTRING, WORD, EXACT))
+    return f"CASE WHEN size({tokens}) > 0 THEN CASE {mode} {ways} END END"

@@ -23,6 +23,8 @@ from profilescope.plans.requests import SearchRequest
 if TYPE_CHECKING:
     from profilescope.sources.keyword_index import KeywordIndex
 
+#: The name of the table that searches are about, if none is told.
+DEFAULT_TABLE = "profiles"
 HIT_FIELDS = [
     "id",
     "headline",
@@ -37,12 +39,14 @@ HIT_FIELDS = [
 
 
 def visibility(request: SearchRequest, like: str) -> Column:
-    """Accepted and inside the batch window, or of exactly one batch; presented ids always pass."""
-    if request.epoch is not None:
-        rule = p.in_batch(p.instant_literal(request.epoch, like))
-    else:
-        rule = p.visible_at(p.instant_literal(request.as_of, like))
-    return p.any_of([rule, p.scalar_in("id", request.presented)])
+    """Accepted and inside the batch window, or of exactly one batch; presented ids pass as well.
+
+    An instant that can't be read shows nothing.
+    """
+    instant = p.instant_literal(request.as_of if request.epoch is None else request.epoch, like)
+    rule = p.visible_at(instant) if request.epoch is None else p.in_batch(instant)
+    shown = p.any_of([rule, p.scalar_in("id", request.presented)])
+    return p.all_of([shown, instant.isNotNull()])
 
 
 def facets(request: SearchRequest, instant_type: str) -> Column:
@@ -91,15 +95,19 @@ def _instant_type(profiles: DataFrame) -> str:
 
 
 def matches(
-    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None
+    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None, table: str = DEFAULT_TABLE
 ) -> tuple[DataFrame, KeywordQuery | None]:
     """All matching rows, scored if there are keywords, in no order.
 
+    ``table`` is the name of the profiles' table; a request that names another one finds nothing in it.
+
     With the stored ``index`` of the profiles, the document frequencies of single tokens come from there, and texts are
     read once.
     """
     query = analyse_keywords(profiles.sparkSession, request.keywords, request.whole_words)
     condition = facets(request, _instant_type(profiles))
+    if (request.index or table) != table:
+        condition = F.lit(False)
     if query is None:
         return profiles.where(condition), None
     if not request.keywords_should:
@@ -111,10 +119,10 @@ def matches(
     return scored, query
 
 
-def _project(found: DataFrame, query: KeywordQuery | None) -> DataFrame:
+def _project(found: DataFrame, query: KeywordQuery | None, fragments: int) -> DataFrame:
     """Only the public fields, with highlights (null without keywords)."""
     fields = [f if f != "roles_experiences" else roles_experiences().alias(f) for f in HIT_FIELDS]
-    highlight = F.lit(None).cast(HIGHLIGHT_TYPE) if query is None else F.expr(highlights(query))
+    highlight = F.lit(None).cast(HIGHLIGHT_TYPE) if query is None else F.expr(highlights(query, fragments))
     score = [F.col("score")] if query is not None else []
     return found.select(*fields, highlight.alias("highlight"), *score)
 
@@ -123,56 +131,60 @@ LAST_PLACE = 2**31 - 1
 
 
 def ordered(
-    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None
+    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None, table: str = DEFAULT_TABLE
 ) -> tuple[DataFrame, KeywordQuery | None]:
-    found, query = matches(profiles, request, index)
+    found, query = matches(profiles, request, index, table)
     order = business_order() if query is None else relevance_order()
     return found.orderBy(*order), query
 
 
-def search_profiles(profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None) -> DataFrame:
+def search_profiles(
+    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None, table: str = DEFAULT_TABLE
+) -> DataFrame:
     """One page of hits; places from 2^31 - 1 on, which Spark cannot name, hold none."""
-    found, query = ordered(profiles, request, index)
+    found, query = ordered(profiles, request, index, table)
     start = min(request.offset, LAST_PLACE)
-    return _project(found.offset(start).limit(min(request.per_page, LAST_PLACE - start)), query)
+    return _project(found.offset(start).limit(min(request.per_page, LAST_PLACE - start)), query, request.fragments)
 
 
-def all_hits(profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None) -> DataFrame:
+def all_hits(
+    profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None, table: str = DEFAULT_TABLE
+) -> DataFrame:
     """Every hit in order, without paging."""
-    found, query = ordered(profiles, request, index)
-    return _project(found, query)
+    found, query = ordered(profiles, request, index, table)
+    return _project(found, query, request.fragments)
 
 
-def total_hits(profiles: DataFrame, request: SearchRequest) -> DataFrame:
-    found, query = matches(profiles, request)
+def total_hits(profiles: DataFrame, request: SearchRequest, table: str = DEFAULT_TABLE) -> DataFrame:
+    found, query = matches(profiles, request, table=table)
     if query is not None and request.min_score is None:
         found = found.drop("score")  # lets the optimizer leave the scoring out of the count
     return found.agg(F.count(F.lit(1)).alias("total"))
 
 
-def explain_search(profiles: DataFrame, request: SearchRequest) -> str:
+def explain_search(profiles: DataFrame, request: SearchRequest, table: str = DEFAULT_TABLE) -> str:
     """The formatted plan of a search, for debugging."""
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
-        search_profiles(profiles, request).explain("formatted")
+        search_profiles(profiles, request, table=table).explain("formatted")
     return text.getvalue()
 
 
-def search_results(profiles: DataFrame, request: SearchRequest) -> DataFrame:
+def search_results(profiles: DataFrame, request: SearchRequest, table: str = DEFAULT_TABLE) -> DataFrame:
     """One row ``{total, talents: [{talent, highlight}], raw_es_query}`` for a page.
 
     Only the page, at most ``per_page`` rows, is gathered; the total is a scalar subquery.
     """
-    page = search_profiles(profiles, request)
+    page = search_profiles(profiles, request, table=table)
     hit = F.struct(F.struct(*HIT_FIELDS).alias("talent"), "highlight").alias("hit")
     placed = page.select(F.monotonically_increasing_id().alias("place"), hit)
     talents = F.expr(
         "transform(array_sort(collect_list(struct(place, hit)), "
         "(a, b) -> cast(sign(a.place - b.place) AS int)), x -> x.hit)"
     )
-    raw_query = F.lit(explain_search(profiles, request) if request.debug else None).cast("string")
+    raw_query = F.lit(explain_search(profiles, request, table) if request.debug else None).cast("string")
     return placed.agg(talents.alias("talents")).select(
-        total_hits(profiles, request).scalar().alias("total"), "talents", raw_query.alias("raw_es_query")
+        total_hits(profiles, request, table).scalar().alias("total"), "talents", raw_query.alias("raw_es_query")
     )
 
 
@@ -184,3 +196,9 @@ def select_table(spark: SparkSession, default: str, requested: str | None, empty
     """The requested table or the default one; a missing table is an empty result."""
     name = requested or default
     return spark.table(name) if spark.catalog.tableExists(name) else empty
+
+
+def search_tables(spark: SparkSession, request: SearchRequest, empty: DataFrame, default: str = DEFAULT_TABLE) -> DataFrame:
+    """A page of hits from the table that the request names, or from the default one; none from a missing table."""
+    name = request.index or default
+    return search_profiles(select_table(spark, default, request.index, empty), request, table=name)

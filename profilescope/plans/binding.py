@@ -212,11 +212,14 @@ REQUEST_PARAMS = {
 
 
 def raw_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """One saved search per supplier, as raw parameters; its keywords come from a part's name."""
-    parts = table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("name"))
+    """One saved search per supplier, as raw parameters; its keywords are the last name of its share of all parts."""
+    suppliers = table(spark, folder, "supplier")
+    shares = suppliers.agg(F.count(F.lit(1)))
+    slot = (F.col("p_partkey") % shares.scalar()).alias("slot")
+    names = table(spark, folder, "part").groupBy(slot).agg(F.max("p_name").alias("name"))
     sources = (
-        table(spark, folder, "supplier")
-        .join(parts, F.col("s_suppkey") == F.col("p_partkey"))
+        suppliers.withColumn("slot", F.col("s_suppkey") % shares.scalar())
+        .join(names, "slot")
         .selectExpr(
             "s_suppkey AS k", "s_nationkey AS n", "name", "split(name, ' ')[0] AS adjective", "split(name, ' ')[1] AS noun"
         )

@@ -753,6 +753,21 @@ def _(spark, folder):
     return highlighted(spark, folder, '"red widget" MACHINERY', False)
 
 
+SEARCHED = [("should", ["mentai"]), ("should", ["widget"])]
+
+
+@query("search_highlights", f"""WITH fragments AS ({duck_fragments(
+    GAP, f"list_has_any({oracle.word_tokens('piece')}, ['mentai', 'widget']) AND field IN ('skills', 'summary', 'headline')"
+)}), hits AS ({oracle.keyword_search("word", SEARCHED)})
+SELECT id, headline, score, field || '.keyword' AS field, fragments FROM hits LEFT JOIN fragments USING (id)""")
+def _(spark, folder):
+    """Every hit of a search with its own highlights."""
+    asked = request(spark, keywords="mentai widget", features=[W])
+    hits = all_hits(binding.profiles(spark, folder), asked)
+    rows = hits.selectExpr("id", "headline", "round(score, 6) AS score", "explode_outer(highlight) AS (field, found)")
+    return rows.selectExpr("id", "headline", "score", "field", "array_join(found, '|') AS fragments")
+
+
 # --- saved searches -----------------------------------------------------------------------------------------
 
 def saved_requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -870,7 +885,7 @@ def _(spark, folder):
     return hits.selectExpr("id", "headline", "round(score, 6) AS score")
 
 
-EXCLUDED = "(request_id, id) {} IN (SELECT (event_id % 100, user_id) FROM events WHERE event_type = 'view')"
+EXCLUDED = "(request_id, id) {} IN (SELECT (event_id % (SELECT count(*) FROM supplier), user_id) FROM events WHERE event_type = 'view')"
 
 
 @query("batch_exclusions", f"""WITH {oracle.PROFILES}, {oracle.REQUESTS}, {oracle.PAIRS}
@@ -878,8 +893,8 @@ SELECT 'only' AS kind, request_id, id FROM pairs WHERE {EXCLUDED.format('')}
 UNION ALL SELECT 'without', request_id, id FROM pairs WHERE {EXCLUDED.format('NOT')}""")
 def _(spark, folder):
     pairs = batch.match_facets(saved_requests(spark, folder), binding.profiles(spark, folder)).select("request_id", "id")
-    viewed = binding.table(spark, folder, "events").where("event_type = 'view'").selectExpr(
-        "event_id % 100 AS request_id", "user_id AS id"
-    )
+    everyone = binding.table(spark, folder, "supplier").agg(F.count(F.lit(1))).scalar()
+    viewed = binding.table(spark, folder, "events").where("event_type = 'view'")
+    viewed = viewed.select((F.col("event_id") % everyone).alias("request_id"), F.col("user_id").alias("id"))
     only, without = batch.only_pairs(pairs, viewed), batch.without_pairs(pairs, viewed)
     return only.selectExpr("'only' AS kind", "*").union(without.selectExpr("'without' AS kind", "*"))

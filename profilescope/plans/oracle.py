@@ -205,7 +205,8 @@ requests AS (
          CASE WHEN s_suppkey % 8 IN (4, 5) THEN [2 * s_suppkey + 1, 3 * s_suppkey] ELSE [] END AS presented,
          s_suppkey % 3 AS skip, CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 10 END AS size,
          s_suppkey % 7 IN (2, 4) AND s_suppkey % 3 = 0 AS optional
-  FROM supplier JOIN part ON s_suppkey = p_partkey)"""
+  FROM supplier JOIN (SELECT p_partkey % (SELECT count(*) FROM supplier) AS slot, max(p_name) AS p_name FROM part GROUP BY ALL)
+    ON s_suppkey % (SELECT count(*) FROM supplier) = slot)"""
 
 PAIRS = """
 pairs AS (

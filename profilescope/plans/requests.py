@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from profilescope.functions import keywords as kw
 from profilescope.functions import values as v
+from profilescope.operators.highlight import FRAGMENTS
 
 NO_FULLTEXT_SEARCH = "no_fulltext_search"
 KEYWORDS_SHOULD = "keywords_should"
@@ -43,7 +44,8 @@ def decode_requests(raw: DataFrame, params: str = "params", once: bool = True) -
     """Typed requests from a ``map<string,string>`` column of raw parameters.
 
     List parameters are JSON lists, scalars plain text. All other columns (``request_id``) stay. The
-    work is SQL expressions only: one narrow pass without Python.
+    work is SQL expressions only: one narrow pass without Python. ``unreadable`` marks requests whose instant is given but
+    can't be read.
     """
 
     def p(name: str) -> str:
@@ -60,6 +62,8 @@ def decode_requests(raw: DataFrame, params: str = "params", once: bool = True) -
         "index": p("index"),
         "as_of": v.instant(p("as_of")),
         "epoch": v.instant(p("epoch")),
+        "unreadable": f"CASE WHEN {p('epoch')} IS NOT NULL THEN {v.instant(p('epoch'))} IS NULL"
+        f" ELSE {p('as_of')} IS NOT NULL AND {v.instant(p('as_of'))} IS NULL END",
         "keywords": p("keywords"),
         "has_keywords": kw.has_keywords(p("keywords")),
         "mode": kw.keyword_mode(p("keywords"), v.feature(features, NO_FULLTEXT_SEARCH)),
@@ -81,7 +85,10 @@ def decode_requests(raw: DataFrame, params: str = "params", once: bool = True) -
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """One search. Absent values restrict nothing; ``as_of`` defaults to the current time."""
+    """One search. Absent values restrict nothing; ``as_of`` defaults to the current time.
+
+    An instant that is given but can't be read finds nothing.
+    """
 
     index: str | None = None
     as_of: Any = None
@@ -105,6 +112,7 @@ class SearchRequest:
     per_page: int = v.DEFAULT_PER_PAGE
     debug: bool = False
     min_score: float | None = None
+    fragments: int = FRAGMENTS
 
     @classmethod
     def from_params(cls, spark: SparkSession, params: Mapping[str, Any], **overrides: Any) -> SearchRequest:

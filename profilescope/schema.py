@@ -81,7 +81,8 @@ class TableSpec:
     """What a table type must state to be ingested, searched, deleted from and reset.
 
     ``decode`` turns raw JSON text rows into typed rows, ``predicate`` turns a request into a
-    filter Column, ``order`` lists the sort of a result. New table types are plain instances.
+    filter Column, ``order`` lists the sort of a result. A type whose results need more than a filter and a sort (scores,
+    pages) gives ``find``, from the table and the request to the result. New table types are plain instances.
     """
 
     name: str
@@ -90,11 +91,14 @@ class TableSpec:
     decode: Callable[[DataFrame], DataFrame]
     predicate: Callable[..., Column] = lambda *_: F.lit(True)
     order: tuple[Column, ...] = field(default_factory=tuple)
+    find: Callable[..., DataFrame] | None = None
 
     def empty(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], self.schema)
 
     def search(self, table: DataFrame, *request: object) -> DataFrame:
+        if self.find is not None:
+            return self.find(table, *request)
         hits = table.where(self.predicate(*request))
         return hits.orderBy(*self.order) if self.order else hits
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profilescope.operators.scores import search_scores
+from profilescope.operators.search import DEFAULT_TABLE, search_profiles
 from profilescope.schema import PROFILE_SCHEMA, ROLE, SALARY, SCORE_SCHEMA, STRINGS, TableSpec
 
 DEFAULTED = ("desired_work_roles", "desired_work_roles_experience", "desired_roles")
@@ -189,5 +191,5 @@ def decode_scores(lines: DataFrame, column: str = "value") -> DataFrame:
     return parsed.select(*others, *[decoded(f) for f in SCORE_SCHEMA.fields])
 
 
-PROFILES = TableSpec("profiles", PROFILE_SCHEMA, "id", ingest_profiles)
-SCORES = TableSpec("scores", SCORE_SCHEMA, "request_id", decode_scores)
+PROFILES = TableSpec(DEFAULT_TABLE, PROFILE_SCHEMA, "id", ingest_profiles, find=search_profiles)
+SCORES = TableSpec("scores", SCORE_SCHEMA, "request_id", decode_scores, find=search_scores)

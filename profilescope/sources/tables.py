@@ -196,6 +196,10 @@ class StoredTable:
         """The current documents."""
         return self._merged(self.state()).select(*self.spec.schema.fieldNames())
 
+    def search(self, *request: object) -> DataFrame:
+        """What a request finds in the current documents, as the table's type says."""
+        return self.spec.search(self.read(), *request)
+
     def vacuum(self, abandoned: float = ABANDONED) -> int:
         """Remove folders that nothing visible needs any more; returns their number.
 

@@ -4,7 +4,7 @@ from conftest import AS_OF, year
 from test_search import FACETS, KEYWORDS, expected
 
 from profilescope.operators import batch
-from profilescope.operators.batch import match_saved_searches, only_pairs, pages, totals, without_pairs
+from profilescope.operators.batch import match_saved_searches, only_pairs, pages, totals, with_highlights, without_pairs
 from profilescope.operators.postings import match_keywords
 from profilescope.operators.search import all_hits, search_profiles
 from profilescope.plans.requests import SearchRequest, _as_text, decode_requests
@@ -30,6 +30,10 @@ MIXED = [params for params, _ in FACETS] + [
     {"presented_talents": [32, 35], "languages": ["Welsh"]},
     {"as_of": "2025-01-01"}, {"as_of": "2024-05-06T07:08:09Z"}, {"as_of": "2012-05-06T07:08:09Z"},
     {"as_of": "2013-12-31"}, {"as_of": "2011-01-01", "presented_talents": [32]},
+    {"as_of": "soon"}, {"epoch": "soon"}, {"epoch": "soon", "as_of": "2017-01-01", "presented_talents": [31]},
+    {"as_of": "13/2017", "keywords": "perl"}, {"as_of": "soon", "epoch": year(2012)}, {"as_of": "", "keywords": "NOT patient"},
+    {"index": "no_such_table"}, {"index": "profiles", "keywords": "perl"}, {"index": "", "languages": ["Welsh"]},
+    {"index": "no_such_table", "keywords": "perl"}, {"keywords": "script solid lua+ \"maps\""}, {"keywords": "the and"},
 ]
 
 
@@ -56,6 +60,32 @@ def test_batch_equals_single_searches(spark, profiles):
         assert placed.get(i, []) == [r["id"] for r in rows][start : start + size], params
 
 
+def test_pages_with_highlights_equal_single_searches(spark, profiles):
+    requests = decode_requests(raw_requests(spark, MIXED)).cache()
+    page = pages(match_saved_searches(requests, profiles), requests)
+    got = {}
+    for r in with_highlights(page, requests, profiles, fragments=2).collect():
+        got.setdefault(r["request_id"], {})[r["id"]] = r["highlight"]
+    shown = 0
+    for i, params in enumerate(MIXED):
+        request = SearchRequest.from_params(spark, {"as_of": AS_OF, **params}, fragments=2)
+        want = {r["id"]: r["highlight"] for r in search_profiles(profiles, request).collect()}
+        assert got.get(i, {}) == want, params
+        shown += sum(h is not None for h in want.values())
+    assert shown > 20
+
+
+def test_minimum_score_in_both_forms(spark, profiles):
+    asked = [p for p in MIXED if "keywords" in p][:12] + [{}]
+    requests = decode_requests(raw_requests(spark, asked)).cache()
+    got = {}
+    for r in match_saved_searches(requests, profiles, min_score=0.9).collect():
+        got.setdefault(r["request_id"], set()).add(r["id"])
+    for i, params in enumerate(asked):
+        request = SearchRequest.from_params(spark, {"as_of": AS_OF, **params}, min_score=0.9)
+        assert got.get(i, set()) == {r["id"] for r in all_hits(profiles, request).collect()}, params
+
+
 def test_pair_tables(spark, profiles):
     pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "request_id long, id long")
     other = spark.createDataFrame([(1, 2), (9, 9)], "request_id long, id long")
