@@ -33,7 +33,7 @@ from profilescope.session import scratch_path
 from profilescope.sources.documents import PROFILES, SCORES, decode_scores, ingest_profiles, sync_roles
 from profilescope.sources.keyword_index import KeywordIndex
 from profilescope.sources.tables import StoredTable
-from profilescope.streaming.ingest import start_ingest
+from profilescope.streaming.ingest import read_files, start_document_ingest, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -455,6 +455,29 @@ def _(spark, folder):
     return stored.read().selectExpr(*SCORE)
 
 
+@query("streaming_documents", """WITH parts AS (
+  SELECT o_orderkey % 16 AS part, count_if(o_orderkey % 16 IN (3, 7, 12) AND o_orderkey % 211 = 7) AS bad, count(*) AS documents FROM orders GROUP BY ALL)
+SELECT 'kept' AS side, CAST(o_orderkey AS VARCHAR) AS request_id, o_custkey AS n FROM orders JOIN parts ON part = o_orderkey % 16
+WHERE bad = 0 UNION ALL SELECT 'rejected', CAST(part AS VARCHAR), documents FROM parts WHERE bad > 0""")
+def _(spark, folder):
+    """Raw JSON files of orders through a stream; every file with a bad document goes to quarantine."""
+    orders = binding.table(spark, folder, "orders").selectExpr(
+        "o_orderkey % 16 AS part",
+        "to_json(named_struct('request_id', cast(o_orderkey AS string), 'job_id', o_orderkey % 10, 'talent_id', o_custkey, "
+        "'score', CASE WHEN o_orderkey % 16 NOT IN (3, 7, 12) OR o_orderkey % 211 <> 7 THEN o_orderkey % 8 / 8 END)) AS value",
+    )
+    home = scratch_path(spark, "documents")
+    orders.repartition(16, "part").write.partitionBy("part").text(f"{home}/in")
+    stored = StoredTable(spark, SCORES, f"{home}/scores")
+    files = read_files(stored, f"{home}/in", maxFilesPerTrigger="6")
+    start_document_ingest(files, stored, f"{home}/quarantine", f"{home}/progress").awaitTermination()
+    kept = stored.read().selectExpr("'kept' AS side", "request_id", "talent_id AS n")
+    rejected = spark.read.schema("file string, documents long, place int, reason string").parquet(f"{home}/quarantine")
+    part = F.regexp_extract("file", "part=([0-9]+)", 1)
+    rejected = rejected.select(F.lit("rejected").alias("side"), part.alias("request_id"), F.col("documents").alias("n"))
+    return kept.unionAll(rejected)
+
+
 @query("streaming_ingest", LIVE)
 def _(spark, folder):
     schema = binding.table(spark, folder, "events").schema

@@ -82,7 +82,8 @@ class TableSpec:
 
     ``decode`` turns raw JSON text rows into typed rows, ``predicate`` turns a request into a
     filter Column, ``order`` lists the sort of a result. A type whose results need more than a filter and a sort (scores,
-    pages) gives ``find``, from the table and the request to the result. New table types are plain instances.
+    pages) gives ``find``, from the table and the request to the result. ``inspect`` decodes like ``decode``, but tells a
+    ``_reason`` beside bad rows instead of failing. New table types are plain instances.
     """
 
     name: str
@@ -92,6 +93,7 @@ class TableSpec:
     predicate: Callable[..., Column] = lambda *_: F.lit(True)
     order: tuple[Column, ...] = field(default_factory=tuple)
     find: Callable[..., DataFrame] | None = None
+    inspect: Callable[[DataFrame], DataFrame] | None = None
 
     def empty(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], self.schema)

@@ -1,7 +1,8 @@
 """JSON documents in, typed rows out.
 
-A batch is accepted whole or not at all: any missing or wrongly typed field fails the job, and Spark's
-output commit then publishes nothing.
+Decoding accepts a batch whole or not at all: any missing or wrongly typed field fails the job, and Spark's
+output commit then publishes nothing. Inspecting reads the same documents under the same rules, but tells the reason beside
+each row instead (``_reason``, null for a good document).
 """
 
 from __future__ import annotations
@@ -46,11 +47,54 @@ def split_lists(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("value") != "").select(F.explode(elements).alias("value"))
 
 
+REASON = "_reason"
+
+
+def split_files(files: DataFrame) -> DataFrame:
+    """One row per document of whole files (``value``), with its ``place`` in the file; other columns stay.
+
+    A file has a JSON document or list on each line, or, if its first line is none, is one as a whole. What is no JSON is a
+    document that inspection rejects.
+    """
+    split = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
+    by_line = F.try_parse_json(F.get(split, F.lit(0))).isNotNull()
+    lines = F.when(by_line | (F.size(split) == 0), split).otherwise(F.array("value"))
+    elements = F.transform(
+        lines,
+        lambda line: F.coalesce(
+            F.transform(F.try_variant_get(F.try_parse_json(line), "$", "array<variant>"), lambda d: F.to_json(d)), F.array(line)
+        ),
+    )
+    others = [c for c in files.columns if c != "value"]
+    return files.select(*others, F.posexplode(F.flatten(elements)).alias("place", "value"))
+
+
 def _checked(value: Column, valid: Column, name: str) -> Column:
     """The value, or a failure of the job that names the field."""
-    return F.when(F.coalesce(valid, F.lit(False)), value).otherwise(
-        F.raise_error(F.lit(f"bad or missing field: {name}")).cast("void")
-    )
+    return F.when(F.coalesce(valid, F.lit(False)), value).otherwise(F.raise_error(F.lit(_fault(name))).cast("void"))
+
+
+def _fault(name: str) -> str:
+    return f"bad or missing field: {name}"
+
+
+def _rows(lines: DataFrame, column: str, raw: T.StructType, fields: list[T.StructField], decoded, strict: bool) -> DataFrame:
+    """The typed fields that ``decoded`` gives as (value, valid), beside the other columns of the lines.
+
+    Strictly, what is not valid fails the job; else it is null, and the first of them makes the row's reason.
+    """
+    others = [c for c in lines.columns if c != column]
+    reader, mode = (F.parse_json, "FAILFAST") if strict else (F.try_parse_json, "PERMISSIVE")
+    parsed = lines.select(*others, F.from_json(column, raw, {"mode": mode}).alias("_d"), reader(column).alias("_json"))
+    if strict:
+        typed = [_checked(*decoded(f), f.name).cast(f.dataType).alias(f.name) for f in fields]
+        return parsed.select(*others, *typed)
+    found = [(f, value, F.coalesce(valid, F.lit(False))) for f in fields for value, valid in [decoded(f)]]
+    typed = [F.when(valid, value).cast(f.dataType).alias(f.name) for f, value, valid in found]
+    object_ = F.schema_of_variant("_json").startswith("OBJECT")
+    faults = [F.when(~valid, F.lit(_fault(f.name))) for f, _, valid in found]
+    reason = F.coalesce(F.when(~F.coalesce(object_, F.lit(False)), F.lit("no JSON object")), *faults)
+    return parsed.select(*others, *typed, reason.alias(REASON))
 
 
 def _json_types(allowed: list[str], path: str) -> Column:
@@ -106,29 +150,23 @@ def _salary_ok(s: Column) -> Column:
     return s.isNotNull()
 
 
-def decode_profiles(lines: DataFrame, column: str = "value") -> DataFrame:
+def decode_profiles(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
     """Profiles from one JSON document per row. Other columns (a change sequence) are kept."""
-    others = [c for c in lines.columns if c != column]
-    parsed = lines.select(
-        *others,
-        F.from_json(column, RAW_PROFILE, {"mode": "FAILFAST"}).alias("_d"),
-        F.parse_json(column).alias("_json"),
-    )
 
-    def decoded(field: T.StructField) -> Column:
+    def decoded(field: T.StructField) -> tuple[Column, Column]:
         raw = F.col(f"_d.{field.name}")
         if field.name in DEFAULTED:
             present = F.expr(f"variant_get(_json, '$.{field.name}', 'variant')").isNotNull()
             empty = F.array().cast(field.dataType)
-            strict = _type_check(field)
+            typed = _type_check(field)
             if field.name == "desired_roles":
                 given = F.expr("variant_get(_json, '$.desired_roles', 'array<variant>')")
-                strict = ~F.exists(given, lambda r: (_kind(r, "$.role") != "STRING") | (_kind(r, "$.experience") != "STRING"))
-            return F.when(~present, empty).otherwise(_checked(raw, strict & raw.isNotNull(), field.name))
+                typed = ~F.exists(given, lambda r: (_kind(r, "$.role") != "STRING") | (_kind(r, "$.experience") != "STRING"))
+            return F.when(present, raw).otherwise(empty), ~present | (typed & raw.isNotNull())
         valid = raw.isNotNull()
-        strict = _type_check(field)
-        if strict is not None:
-            valid = valid & strict
+        typed = _type_check(field)
+        if typed is not None:
+            valid = valid & typed
         value = raw
         if field.name == "id":
             valid = valid & raw.between(0, UNSIGNED)
@@ -138,11 +176,9 @@ def decode_profiles(lines: DataFrame, column: str = "value") -> DataFrame:
         if field.name == "salary_expectations":
             value = F.transform(raw, decode_salary)
             valid = valid & ~F.exists(value, lambda s: ~_salary_ok(s))
-        return _checked(value, valid, field.name)
+        return value, valid
 
-    return parsed.select(
-        *others, *[decoded(f).cast(f.dataType).alias(f.name) for f in PROFILE_SCHEMA.fields]
-    )
+    return _rows(lines, column, RAW_PROFILE, PROFILE_SCHEMA.fields, decoded, strict)
 
 
 def sync_roles(profiles: DataFrame) -> DataFrame:
@@ -167,16 +203,14 @@ def ingest_profiles(lines: DataFrame) -> DataFrame:
     return sync_roles(decode_profiles(lines))
 
 
-def decode_scores(lines: DataFrame, column: str = "value") -> DataFrame:
+def inspect_profiles(lines: DataFrame) -> DataFrame:
+    return sync_roles(decode_profiles(lines, strict=False))
+
+
+def decode_scores(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
     """Scores from one JSON document per row; the three foreign ids may be absent."""
-    others = [c for c in lines.columns if c != column]
-    parsed = lines.select(
-        *others,
-        F.from_json(column, SCORE_SCHEMA, {"mode": "FAILFAST"}).alias("_d"),
-        F.parse_json(column).alias("_json"),
-    )
 
-    def decoded(field: T.StructField) -> Column:
+    def decoded(field: T.StructField) -> tuple[Column, Column]:
         raw = F.col(f"_d.{field.name}")
         if field.name in OPTIONAL_SCORE_FIELDS:
             valid = raw.isNull() | _json_types(["STRING"], field.name)
@@ -186,10 +220,14 @@ def decode_scores(lines: DataFrame, column: str = "value") -> DataFrame:
             valid = raw.between(0, UNSIGNED)
         else:
             valid = raw.isNotNull()
-        return _checked(raw, valid, field.name).cast(field.dataType).alias(field.name)
+        return raw, valid
+
+    return _rows(lines, column, SCORE_SCHEMA, SCORE_SCHEMA.fields, decoded, strict)
+
 
-    return parsed.select(*others, *[decoded(f) for f in SCORE_SCHEMA.fields])
+def inspect_scores(lines: DataFrame) -> DataFrame:
+    return decode_scores(lines, strict=False)
 
 
-PROFILES = TableSpec(DEFAULT_TABLE, PROFILE_SCHEMA, "id", ingest_profiles, find=search_profiles)
-SCORES = TableSpec("scores", SCORE_SCHEMA, "request_id", decode_scores, find=search_scores)
+PROFILES = TableSpec(DEFAULT_TABLE, PROFILE_SCHEMA, "id", ingest_profiles, find=search_profiles, inspect=inspect_profiles)
+SCORES = TableSpec("scores", SCORE_SCHEMA, "request_id", decode_scores, find=search_scores, inspect=inspect_scores)

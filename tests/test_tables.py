@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from profilescope.operators.scores import search_scores, total_scores
 from profilescope.operators.search import search_profiles
 from profilescope.plans.requests import SearchRequest
-from profilescope.sources.documents import PROFILES, SCORES, ingest_profiles, read_documents
+from profilescope.sources.documents import PROFILES, SCORES, ingest_profiles, inspect_profiles, read_documents
 from profilescope.sources.tables import StoredTable, reset_table
-from profilescope.streaming.ingest import start_ingest
+from profilescope.streaming.ingest import read_files, start_document_ingest, start_ingest
 
 
 def lines(spark, *documents):
@@ -247,6 +247,70 @@ def test_bad_salaries_reject_the_batch(spark, salary):
         ingest_profiles(lines(spark, {**DOCUMENTS[0], "salary_expectations": [salary]})).collect()
 
 
+BAD = [
+    {"headline": None}, {"headline": 5}, {"id": "13"}, {"id": -1}, {"accepted": "yes"}, {"skills": ["a", None]}, {"skills": [1]},
+    {"weight": 1.5}, {"batch_ends_at": "soon"}, {"contacted_company_ids": [-4]}, {"contacted_company_ids": [1, "x"]},
+    {"desired_roles": [{"role": "x"}]}, {"desired_roles": [{"role": 5, "experience": "8+"}]}, {"salary_expectations": [7]},
+    {"salary_expectations": [[1, 2, 3]]}, {"salary_expectations": [{"minimum": "abc", "currency": "EUR", "city": "Bonn"}]},
+]
+
+
+def test_inspection_tells_what_decoding_raises(spark):
+    good = inspect_profiles(lines(spark, *DOCUMENTS))
+    assert {r["_reason"] for r in good.collect()} == {None}
+    assert sorted(map(str, good.drop("_reason").collect())) == sorted(map(str, ingest_profiles(lines(spark, *DOCUMENTS)).collect()))
+    texts = [json.dumps({**DOCUMENTS[0], **bad}) for bad in BAD] + ["", "nonsense", "[1]", "null", "{", "{}"]
+    rows = inspect_profiles(spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)).collect()
+    assert [r["_reason"] for r in rows[: len(BAD)]] == [f"bad or missing field: {next(iter(bad))}" for bad in BAD]
+    assert all(r["_reason"] for r in rows) and len(rows) == len(texts)
+
+
+def test_streamed_files_are_taken_whole_or_rejected(spark, tmp_path):
+    source, table = tmp_path / "in", StoredTable(spark, PROFILES, str(tmp_path / "profiles"))
+    source.mkdir()
+    one, two, three, four = (json.dumps(d) for d in DOCUMENTS[:4])
+    bad = json.dumps({**DOCUMENTS[4], "weight": "heavy"})
+    (source / "lines.json").write_text(f"{one}\n\n{two}\n")
+    (source / "list.json").write_text(json.dumps(DOCUMENTS[2:3], indent=2))
+    (source / "mixed.json").write_text(f"{four}\n{bad}\n{three}")
+    (source / "empty.json").write_text("")
+    (source / "broken.json").write_text("[{")
+    quarantine = str(tmp_path / "quarantine")
+
+    def stream(checkpoint="progress"):
+        query = start_document_ingest(read_files(table, str(source)), table, quarantine, str(tmp_path / checkpoint))
+        assert query.awaitTermination(120)
+
+    def rejected():
+        rows = spark.read.parquet(quarantine).collect()
+        return sorted((r["file"].split("/")[-1], r["documents"], r["place"], r["reason"]) for r in rows)
+
+    stream()
+    assert sorted(r["id"] for r in table.read().collect()) == [31, 32, 33]
+    want = [("broken.json", 1, 0, "no JSON object"), ("mixed.json", 3, 1, "bad or missing field: weight")]
+    assert rejected() == want
+    stream()  # nothing new
+    (source / "later.json").write_text(json.dumps({**DOCUMENTS[0], "headline": "Later"}))
+    stream()
+    assert {r["id"]: r["headline"] for r in table.read().collect()}[31] == "Later" and rejected() == want
+
+
+def test_tables_search_by_their_type(spark, tmp_path):
+    table = StoredTable(spark, PROFILES, str(tmp_path / "profiles"))
+    table.index(lines(spark, *DOCUMENTS), 0)
+    request = SearchRequest(as_of=AS_OF, languages=("Welsh",))
+    assert [r["id"] for r in table.search(request).collect()] == ids_of(table.read(), request)
+    assert [r["id"] for r in PROFILES.search(table.read(), SearchRequest(as_of=AS_OF)).collect()] == expected({})
+    assert table.search(SearchRequest(index="no_such_table")).count() == 0
+    stored = StoredTable(spark, SCORES, str(tmp_path / "scores"))
+    stored.write_changes(scores(spark, ("b", 1, 0), ("a", 2, 0)), 0)
+    assert [r["request_id"] for r in stored.search(1, None).collect()] == ["a", "b"] and stored.search(2).count() == 0
+
+
+def ids_of(frame, request):
+    return [r["id"] for r in search_profiles(frame, request).collect()]
+
+
 def test_role_names_are_text(spark):
     with pytest.raises((PySparkException, Py4JJavaError)):
         ingest_profiles(lines(spark, {**DOCUMENTS[0], "desired_roles": [{"role": 5, "experience": "8+"}]})).collect()
