@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from profilescope.functions import predicates as p
 from profilescope.functions.keywords import KeywordQuery, analyse_keywords
+from profilescope.operators.deep_pages import SHALLOW, Key, key_page
 from profilescope.operators.fulltext import keywords_predicate
 from profilescope.operators.highlight import HIGHLIGHT_TYPE, highlights
+from profilescope.operators.joins import written_once
 from profilescope.operators.relevance import stored_statistics, with_score
 from profilescope.plans.requests import SearchRequest
 
@@ -81,13 +83,16 @@ def roles_experiences() -> Column:
     )
 
 
+BUSINESS_KEYS = [*(Key(c, descending=True) for c in ("batch_starts_at", "weight", "added_to_batch_at")), Key("id")]
+RELEVANCE_KEYS = [Key("score", descending=True), Key("id")]
+
+
 def business_order() -> list[Column]:
-    newest_first = ["batch_starts_at", "weight", "added_to_batch_at"]
-    return [F.col(c).desc_nulls_last() for c in newest_first] + [F.col("id").asc()]
+    return [k.column() for k in BUSINESS_KEYS]
 
 
 def relevance_order() -> list[Column]:
-    return [F.col("score").desc_nulls_last(), F.col("id").asc()]
+    return [k.column() for k in RELEVANCE_KEYS]
 
 
 def _instant_type(profiles: DataFrame) -> str:
@@ -141,12 +146,26 @@ def ordered(
 def search_profiles(
     profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None, table: str = DEFAULT_TABLE
 ) -> DataFrame:
-    """One page of hits; places from 2^31 - 1 on, which Spark cannot name, hold none."""
+    """One page of hits; places from 2^31 - 1 on, which Spark cannot name, hold none.
+
+    A page far down is found by its keys (see ``deep_pages.py``); the hits' keys are then written once.
+    """
     found, query = ordered(profiles, request, index, table)
     start = min(request.offset, LAST_PLACE)
+    if start + min(request.per_page, LAST_PLACE - start) > SHALLOW and start:
+        return _deep_page(profiles, request, index, table)
     return _project(found.offset(start).limit(min(request.per_page, LAST_PLACE - start)), query, request.fragments)
 
 
+def _deep_page(profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None, table: str) -> DataFrame:
+    found, query = matches(profiles, request, index, table)
+    keys = BUSINESS_KEYS if query is None else RELEVANCE_KEYS
+    known = written_once(found.select(*(k.name for k in keys)), "keys")
+    start = min(request.offset, LAST_PLACE)
+    page = key_page(known, keys, start, min(request.per_page, LAST_PLACE - start)).select("id")
+    return _project(found.join(page, "id", "left_semi").orderBy(*(k.column() for k in keys)), query, request.fragments)
+
+
 def all_hits(
     profiles: DataFrame, request: SearchRequest, index: KeywordIndex | None = None, table: str = DEFAULT_TABLE
 ) -> DataFrame:

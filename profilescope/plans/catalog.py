@@ -14,6 +14,7 @@ from profilescope.functions import predicates as p
 from profilescope.functions import text
 from profilescope.functions import values as v
 from profilescope.operators import batch, changelog, scores
+from profilescope.operators.deep_pages import Key, key_page
 from profilescope.operators.highlight import highlights
 from profilescope.operators.joins import written_once
 from profilescope.operators.postings import match_keywords
@@ -721,6 +722,16 @@ def _(spark, folder):
     return page.selectExpr("id", "headline", "round(score, 6) AS score")
 
 
+@query("deep_page", """SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 200
+OFFSET (SELECT count(*) * 4 // 5 FROM lineitem)""")
+def _(spark, folder):
+    """A page behind four fifths of all line items."""
+    items = binding.table(spark, folder, "lineitem")
+    keys = [Key("l_extendedprice", descending=True), *map(Key, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))]
+    return key_page(items, keys, items.count() * 4 // 5, 200)
+
+
 @query("term_statistics", f"""WITH {oracle.PROFILES}, {oracle.TEXTS}
 SELECT field, token, count(DISTINCT id) AS df
 FROM (SELECT id, field, unnest({oracle.word_tokens('content')}) AS token FROM fields) GROUP BY field, token""")
