@@ -1,7 +1,8 @@
 """Facet predicates of one request as Columns.
 
 Scalar facets become ``IN`` lists that reach the Parquet scan; array and nested facets run inside the
-scan stage. An empty list means no predicate. No predicate is ever null, so all may be negated.
+scan stage. An empty list means no predicate. A predicate over a null field may be null, which a filter
+takes for false; predicates that are negated here are made false first.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import pytest
 
 from profilescope.functions import predicates, text
 from profilescope.functions import values as v
+from profilescope.functions.calendar import instant_cells, window_cells
 from profilescope.functions.keywords import analyse_keywords
 from profilescope.operators.fulltext import content_test, matchable
 
@@ -52,6 +53,25 @@ def test_role_filters(spark):
     assert [None if r is None else tuple(r) for r in got] == [role_filter(c) for c in cases]
 
 
+def test_calendar_cells(spark):
+    """An instant shares exactly one cell with a window if its month is one of the window's, else none."""
+    rng = random.Random(17)
+    moment = lambda: f"{rng.choice([1, 9, 10, 999, 1000, 1899, 1900, 1995, 1999, 2000, 2026, 9999, rng.randrange(1, 9999)]):04d}"
+    day = lambda: f"{moment()}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}T{rng.randrange(24):02d}:30:00"
+    rows_ = [(*sorted((day(), day())), day()) for _ in range(600)]
+    rows_ += [("0001-01-01T00:00:00", "9999-12-31T23:00:00", day()) for _ in range(20)] + [(x, x, x) for _, x, _ in rows_[:20]]
+    frame = spark.createDataFrame(rows_, "a string, b string, t string").coalesce(2)
+    typed = frame.selectExpr("a", "b", "t", *(f"cast({c} AS timestamp_ntz) AS {c}_" for c in "abt"))
+    met = typed.selectExpr("a", "b", "t", f"{window_cells('a_', 'b_')} AS cells", f"{instant_cells('t_')} AS own")
+    inside = 0
+    for r in met.collect():
+        shared = set(r["cells"]) & set(r["own"])
+        assert len(shared) == (r["a"][:7] <= r["t"][:7] <= r["b"][:7]), r
+        assert len(set(r["cells"])) == len(r["cells"]) <= 94
+        inside += len(shared)
+    assert 100 < inside < 600
+
+
 def test_parameters(spark):
     lists = evaluate(spark, ['["Weaver","Dyer"]', '[""]', "plain", None, '{"a":1}'], v.string_list("x"))
     assert lists == [["Weaver", "Dyer"], [""], [], [], []]
