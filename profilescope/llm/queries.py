@@ -39,4 +39,5 @@ ORACLE: dict[str, str] = {
     "op9_perspective_rotation": dialogues.ORACLE_OP9,
     "op11_setm_mining": collocations.ORACLE_OP11,
     "op12_vertical_partitioning": vertical.ORACLE_OP12,
+    "op13_finite_state_composition": spelling.ORACLE_OP13,
 }

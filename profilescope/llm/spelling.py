@@ -209,3 +209,47 @@ def op13(docs: DataFrame) -> DataFrame:
     """The contract. Null and empty texts and texts without letters have no words; a null doc_id is written as an empty
     one in the checksum; repeated rows count again; an empty table gives no rows; other columns are not read."""
     return variants(vocabulary(docs, misread=97))
+
+
+#: The checksum is CRC-32 (reflected polynomial 0xEDB88320) by a table; letters of two UTF-8 bytes start with 195.
+ORACLE_OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(concat(doc_id, ':', run), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))::BIGINT[]),
+    lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]))) AS h
+  FROM counted, crc
+), spelled AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM summed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (
+  SELECT word, n, unnest(range(length(word))) AS i FROM words
+), cuts AS (
+  SELECT word, n, i, word[: i] || word[i + 2 :] AS rest FROM places
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cuts.word, w.word, w.n FROM cuts JOIN words w ON w.word = rest
+  UNION SELECT w.word, cuts.word, cuts.n FROM cuts JOIN words w ON w.word = rest
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+    CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain(word, root) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.root WHERE form IS NOT NULL
+)
+SELECT f.word, f.form, chain.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain ON chain.word = f.word JOIN forms last ON last.word = chain.root WHERE last.form IS NULL
+"""
