@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -66,3 +67,36 @@ def test_odd_documents_and_labels(spark, odd, odd_rows, none):
     assert len({r["tail_probability"] for r in rate_documents(odd, nothing).collect()}) == 1
     assert rate_documents(none, labels).count() == 0
     assert keep_good(odd, labels).columns == odd.columns
+
+
+def objective(weights, thresholds, rows, grades, penalty):
+    """The mean negative log-likelihood of the grades with its penalty, row by row from the definition."""
+    total = 0.0
+    for places, grade in zip(rows, grades, strict=True):
+        score = sum(weights[p] for p in places)
+        below = [0.0, *(1 / (1 + math.exp(score - t)) for t in thresholds), 1.0]
+        total -= math.log(max(below[grade + 1] - below[grade], 1e-12))
+    return total / len(grades) + penalty * sum(abs(w) for w in weights.values())
+
+
+def test_fit_is_the_penalised_likelihoods_minimum():
+    """No small step in any direction from the fitted weights and thresholds makes the objective smaller."""
+    rng = random.Random(8)
+    rows = [sorted(rng.sample(range(5), rng.randrange(1, 4))) for _ in range(60)]
+    grades = [min(2, max(0, round(1 + 0.8 * (3 in r) - 0.9 * (1 in r) + rng.gauss(0, 0.7)))) for r in rows]
+    model = fit([np.array(r) for r in rows], np.array(grades), steps=6000)
+    weights, cuts = {p: float(model.weights[p]) for p in range(5)}, [float(t) for t in model.thresholds]
+    penalty = 1.6 / len(rows)
+    least = objective(weights, cuts, rows, grades, penalty)
+    assert cuts == sorted(cuts) and weights[3] > 0 > weights[1]
+    for size in (0.3, 0.03, 0.01):
+        for _ in range(60):
+            moved = {p: w + rng.choice([-1, 0, 0, 1]) * size for p, w in weights.items()}
+            shifted = [t + rng.choice([-1, 0, 1]) * size for t in cuts]
+            if shifted == sorted(shifted):
+                assert objective(moved, shifted, rows, grades, penalty) > least - 2e-4
+    scores = np.array([sum(weights[p] for p in r) for r in rows])
+    expected, tail = model.expected_and_tail(scores)
+    for score, e, t in zip(scores, expected, tail, strict=True):
+        chances = np.diff([0, *(1 / (1 + math.exp(score - c)) for c in cuts), 1])
+        assert abs(e - chances @ np.arange(3)) < 1e-6 and abs(t - chances[2]) < 1e-6
