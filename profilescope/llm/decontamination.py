@@ -22,6 +22,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ INDEX_BYTES = 2 << 20
 BLOCK = 16
 #: Runs of neighbouring items for which every term's highest score is tabled, at most.
 RUNS = 64
+#: Scores of terms by run that are summed at once.
+BOUNDED = 1 << 20
 CACHED_WORDS = 300_000
 _EDGE = b".,;:!?\"'()[]{}<>#$%&*|~-_=+/\\"
 OUTPUT = "item_id long, first_word long, score double, question_overlap double, answer_overlap double"
@@ -94,6 +97,23 @@ class Postings:
         self.highest = max(self.block_max)
 
 
+class TextTerms:
+    """The term numbers of a text, and for each place the last one before with the same term (-1 if none)."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.numbers = numbers
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        small = self.numbers.max(initial=0) < 1 << 16  # sorted by radix
+        order = np.argsort(self.numbers.astype(np.uint16) if small else self.numbers, kind="stable")
+        sorted_ = self.numbers[order]
+        again = np.flatnonzero(sorted_[1:] == sorted_[:-1])
+        found = np.full(len(order), -1, dtype=np.int64)
+        found[order[again + 1]] = order[again]
+        return found
+
+
 class ClassIndex:
     """The items of one length class."""
 
@@ -116,17 +136,33 @@ class ClassIndex:
             self.ceiling[term] = found.highest
         self.raw.clear()
 
-    def passages(self, terms: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
-        """Start and end of the passages whose terms could together reach ``least``."""
+    def passages(self, text: TextTerms, least: float) -> Iterator[tuple[int, int]]:
+        """Start and end of the passages whose distinct terms could together reach ``least`` in some run of items.
+
+        Terms' highest scores are summed for all passages at once, at first with repeats, then without, then by runs.
+        """
+        terms, width = text.numbers, 2 * self.length
         total = np.concatenate([[0.0], self.ceiling[terms].cumsum()])
         starts = np.arange(0, max(1, len(terms) - self.length), self.length)
-        ends = np.minimum(starts + 2 * self.length, len(terms))
-        for i in np.flatnonzero(total[ends] - total[starts] >= least - 1e-9):
-            yield int(starts[i]), int(ends[i])
-
-    def may_hold(self, terms: np.ndarray, least: float) -> bool:
-        """Whether the distinct terms' highest scores within any run of items add up to ``least``."""
-        return bool(self.runs[terms].sum(0).max(initial=0) >= least - 1e-5)
+        ends = np.minimum(starts + width, len(terms))
+        may = np.flatnonzero(total[ends] - total[starts] >= least - 1e-9)
+        unknown = len(self.ceiling) - 1
+        at_once = max(1, BOUNDED // (width * self.runs.shape[1]))
+        for first in range(0, len(may), at_once):
+            some = may[first : first + at_once]
+            at = starts[some, None] + np.arange(width)
+            inside = np.minimum(at, len(terms) - 1)
+            fresh = (at < len(terms)) & (text.before[inside] < starts[some, None])
+            distinct = np.where(fresh, terms[inside], unknown)
+            good = self.ceiling[distinct].sum(1) >= least - 1e-9
+            if good.any():
+                good[good] = self.may_hold(distinct[good], least)
+            for i in some[good]:
+                yield int(starts[i]), int(ends[i])
+
+    def may_hold(self, terms: np.ndarray, least: float) -> np.ndarray:
+        """Whether the distinct terms' highest scores within any run of items add up to ``least``, for each row of terms."""
+        return self.runs[terms].sum(-2).max(-1, initial=0) >= least - 1e-5
 
     def retrieve(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """Every item with a score of at least ``least`` for the distinct terms: block-max WAND."""
@@ -222,11 +258,10 @@ class ItemIndex:
         numbers = numbers[kept := numbers >= 0]
         best: dict[int, tuple] = {}
         spelled: list[bytes] | None = None
+        found = TextTerms(numbers)
         for by_class in self.classes.values():
-            for start, end in by_class.passages(numbers, least):
+            for start, end in by_class.passages(found, least):
                 known = np.unique(numbers[start:end])
-                if not by_class.may_hold(known, least):
-                    continue
                 for i, score in by_class.retrieve(known.tolist(), least):
                     if spelled is None:
                         spelled = [words[j].strip(_EDGE) for j in np.flatnonzero(kept)]

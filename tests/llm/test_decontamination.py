@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from profilescope.llm import decontamination
 from profilescope.llm.decontamination import (
-    ClassIndex, find_leaks, overlap, question_and_answer, terms_of, without_leaks,
+    ClassIndex, TextTerms, find_leaks, overlap, question_and_answer, terms_of, without_leaks,
 )
 
 from .conftest import words
@@ -36,12 +37,35 @@ def test_wand_finds_what_full_scoring_finds(seed, items, least):
     want = {i: s for i, s in totals.items() if s >= least - 1e-9 and any(t in terms for t in full[i])}
     got = dict(index.retrieve(terms, least))
     assert got.keys() == want.keys()
-    import numpy as np
-
     if want:
         assert index.may_hold(np.array(terms), least)
 
 
+@settings(deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 90), st.floats(0.05, 1.5), st.integers(1, 4096))
+def test_bounds_leave_out_no_passage(seed, size, least, bounded):
+    """Whatever is summed at once, every passage that holds an item's score is among those that the bounds leave."""
+    rng = random.Random(seed)
+    index, full = ClassIndex(4, 20), {}
+    for term in range(20):
+        for item in rng.sample(range(100), rng.randrange(30)):
+            score = rng.randrange(1, 30) / 64
+            index.raw[term].append((item, score))
+            full.setdefault(item, {})[term] = score
+    index.close(100)
+    numbers = np.array([rng.randrange(21) for _ in range(size)], dtype=np.int64)
+    before, decontamination.BOUNDED = decontamination.BOUNDED, bounded
+    try:
+        left = list(index.passages(TextTerms(numbers), least))
+    finally:
+        decontamination.BOUNDED = before
+    assert left == sorted(set(left))
+    for start in range(0, max(1, size - 4), 4):
+        held = set(numbers[start : start + 8].tolist())
+        if any(sum(s for t, s in x.items() if t in held) >= least for x in full.values()):
+            assert (start, min(start + 8, size)) in left
+
+
 def test_leaks_match_brute_force(spark, monkeypatch):
     rng, rows, want = random.Random(8), [], set()
     for i in range(60):
