@@ -90,3 +90,50 @@ def test_words_with_marks_are_the_same_from_their_first_letter(spark):
     old = text.PUNCTUATED_WORD.replace(f"(?<!{text.NOT_WHITESPACE})", "", 1)
     row = spark.sql(f"SELECT {text.extract_all(text.literal(value), text.PUNCTUATED_WORD)} AS a, {text.extract_all(text.literal(value), old)} AS b").first()
     assert row["a"] == row["b"] and "plain" not in row["a"] and old != text.PUNCTUATED_WORD
+
+
+def test_profiles_move_neither_texts_nor_line_items_for_small_tables(spark, tmp_path):
+    """Texts are joined last, and suppliers meet the line items before their nations, whose join looks large to the planner."""
+    import contextlib
+    import io
+
+    from profilescope.plans import binding
+
+    rows = {
+        "documents": spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang"),
+        "nation": spark.range(25).selectExpr("id AS n_nationkey", "concat('NATION_', id) AS n_name"),
+        "supplier": spark.range(300).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey"),
+        "part": spark.range(20).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "'PROMO' AS p_type", "'B' AS p_brand"),
+        "customer": spark.range(60).selectExpr(
+            "id AS c_custkey", "1.0D AS c_acctbal", "'AUTO' AS c_mktsegment", "id % 25 AS c_nationkey"
+        ),
+        "orders": spark.range(120).selectExpr(
+            "id AS o_orderkey", "id % 60 AS o_custkey", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus",
+            "timestamp '1995-01-01' AS o_orderdate", "10.5D AS o_totalprice",
+        ),
+        "lineitem": spark.range(360).selectExpr(
+            "id % 120 AS l_orderkey", "id % 20 AS l_partkey", "id % 300 AS l_suppkey", "1 AS l_linenumber", "'A' AS l_returnflag"
+        ),
+    }
+    for name, table in rows.items():
+        table.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    def exchanges(frame):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            frame.explain("formatted")
+        return [part for part in out.getvalue().split("\n\n") if ") Exchange" in part.split("\n")[0] and "Input" in part]
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    try:
+        spark.conf.set(threshold, "-1")
+        moved = exchanges(binding.profiles(spark, str(tmp_path)))
+        assert sum("summary#" in part for part in moved) == 1, moved
+        spark.conf.set(threshold, "20000")
+        assert not any("l_suppkey" in part for part in exchanges(binding.profiles(spark, str(tmp_path))))
+    finally:
+        spark.conf.set(threshold, before)
+    person = binding.profiles(spark, str(tmp_path)).where("id = 7").first()
+    assert person["summary"] == "text 7" and person["desired_work_roles_experience"] == ["4..6"]
+    assert person["work_locations"] == sorted({f"NATION_{i % 300 % 25}" for i in range(360) if i % 120 % 60 == 7})
