@@ -19,6 +19,9 @@ from profilescope.llm.packing import pack
 from profilescope.llm.quality import keep_good
 from profilescope.llm.secrets import redact
 
+#: Parts that a worker caches for packing: workers outlive their stage, and this memory then lies beside that of the next.
+CACHED_PARTS = 120_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return keep_good(docs, table(spark, folder, "labels"))
@@ -38,7 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row per piece of a sequence; the little-endian token ids are spelled in hexadecimal digits."""
-    return pack(docs).withColumn("ids", F.hex("ids"))
+    return pack(docs, cached_parts=CACHED_PARTS).withColumn("ids", F.hex("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

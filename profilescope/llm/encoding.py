@@ -74,6 +74,6 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @cache
-def encoder(name: str = DEFAULT_TOKENIZER) -> PartEncoder:
-    """The encoder of this process for a file of ``public_tokenizers`` or for a path."""
-    return PartEncoder(name if "/" in name else str(public_tokenizers.path(name)))
+def encoder(name: str = DEFAULT_TOKENIZER, limit: int = CACHED_PARTS) -> PartEncoder:
+    """The encoder of this process for a file of ``public_tokenizers`` or for a path, with at most ``limit`` cached parts."""
+    return PartEncoder(name if "/" in name else str(public_tokenizers.path(name)), limit)

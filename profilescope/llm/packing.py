@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilescope.llm.common import row_numbers
-from profilescope.llm.encoding import DEFAULT_TOKENIZER, encoder
+from profilescope.llm.encoding import CACHED_PARTS, DEFAULT_TOKENIZER, encoder
 
 CAPACITY = 4096
 END_ID = 2
@@ -135,11 +135,13 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     max_open: int = MAX_OPEN,
+    cached_parts: int = CACHED_PARTS,
 ) -> DataFrame:
     """Documents (``doc_id``, ``text``) as pieces of sequences of at most ``capacity`` tokens.
 
     A document is its ids and then ``end_id``. Returns one row per piece: doc_id, start (ids of its document
     before it), ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset (in its sequence).
+    ``cached_parts`` trades a worker's memory for time and changes no row.
 
     Nulls: a null or empty text is the end id alone; a null doc_id stays null, its pieces are packed. Repeated
     rows and ids are packed each. An empty table gives no rows. Other columns are not read. A text of any
@@ -147,7 +149,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cached_parts).encode
         end = end_id.to_bytes(4, "little")
         packer = SquaresPacker(capacity, max_open)
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from profilescope.llm.encoding import PartEncoder
+from profilescope.llm.encoding import PartEncoder, encoder
 from profilescope.llm.packing import Piece, SquaresPacker, op10, pack
 from tokenizers import Tokenizer
 
@@ -22,6 +22,17 @@ def test_parts_encode_as_the_whole_text(text):
     assert list(struct.unpack(f"<{len(want)}I", PARTS.encode(text))) == want
 
 
+def test_an_encoder_caches_no_more_than_it_is_told():
+    text = " ".join(f"part{i}." for i in range(500))
+    few, many = encoder(limit=40), encoder()
+    assert few.encode(text) == many.encode(text) and len(few) <= 40 and len(few.pieces) <= 40 and len(many) >= 500
+
+
+def test_the_size_of_the_cache_changes_no_piece(odd):
+    few, many = (sorted(map(str, pack(odd, capacity=64, cached_parts=n).collect())) for n in (3, 1000))
+    assert few == many
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(1, 15), max_size=60))
 def test_levels_keep_the_sum_of_squares_smallest(sizes):
