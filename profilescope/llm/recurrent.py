@@ -21,7 +21,11 @@ _LARGEST_WEIGHT, _LARGEST_BIAS = 2.0, 25.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    x = np.multiply(x, np.float32(0.5))
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 class GatedModel:
@@ -57,15 +61,24 @@ class GatedModel:
             at += a.size
         return self
 
-    def step(self, state: np.ndarray, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def step(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self._after(state, self.table[ids])
+
+    def _after(self, state: np.ndarray, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """The state after tokens whose rows of the table are ``x``."""
         h = HIDDEN
-        x, u = self.table[ids], state @ self.recurrent
+        u = state @ self.recurrent
         gates = _sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
         z, r = gates[:, :h], gates[:, h:]
-        new = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
+        new = r * u[:, 2 * h :]
+        new += x[:, 2 * h :]
+        np.tanh(new, out=new)
         if keep is not None:
-            keep.append((state, z, r, new, u[:, 2 * h :]))
-        return new + z * (state - new)
+            keep.append((gates, new, u))
+        after = state - new
+        after *= z
+        after += new
+        return after
 
     def log_probabilities(self, states: np.ndarray, ids: np.ndarray, gradient: dict | None = None) -> np.ndarray:
         """Natural logarithm of each id's probability in its state; with ``gradient``, the gradients of their
@@ -81,22 +94,27 @@ class GatedModel:
             gradient["class_out"], gradient["class_bias"] = states.T @ energy, energy.sum(0)
             d_states = energy @ self.class_out.T
             d_out, d_bias = np.zeros_like(self.token_out), np.zeros_like(self.token_bias)
+        # Ids of a class stand together: a matrix product per class, all else for all of them at once.
         order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
-            some, inside = states[at], ids[at] - c * CLASS
-            energy = np.exp(some @ self.token_out[c] + self.token_bias[c])
-            total = energy.sum(1)
-            here = np.arange(len(at))
-            result[at] += np.log(energy[here, inside] / total)
-            if gradient is not None:
-                energy /= total[:, None]
-                energy[here, inside] -= 1
-                d_out[c], d_bias[c] = some.T @ energy, energy.sum(0)
-                d_states[at] += energy @ self.token_out[c].T
+        ends = np.searchsorted(classes[order], np.arange(self.classes + 1)).tolist()
+        runs = [(c, ends[c], ends[c + 1]) for c in range(self.classes) if ends[c] < ends[c + 1]]
+        some, inside = states[order], ids[order] % CLASS
+        energy = np.empty((len(ids), CLASS), np.result_type(states, self.token_out))
+        for c, i, j in runs:
+            np.matmul(some[i:j], self.token_out[c], out=energy[i:j])
+        energy += self.token_bias[classes[order]]
+        np.exp(energy, out=energy)
+        total = energy.sum(1)
+        result[order] += np.log(energy[rows, inside] / total)
+        if gradient is not None:
+            energy /= total[:, None]
+            energy[rows, inside] -= 1
+            back = np.empty_like(some)
+            for c, i, j in runs:
+                np.matmul(some[i:j].T, energy[i:j], out=d_out[c])
+                np.add.reduce(energy[i:j], axis=0, out=d_bias[c])
+                np.matmul(energy[i:j], self.token_out[c].T, out=back[i:j])
+            d_states[order] += back
         if gradient is not None:
             gradient["token_out"], gradient["token_bias"] = d_out, d_bias * self.real
             gradient["states"] = d_states
@@ -110,27 +128,39 @@ class GatedModel:
         h, (length, streams) = HIDDEN, window.shape
         kept: list = []
         before = np.empty((length, streams, h), np.float32)
+        marked, inputs = starts.any(1).tolist(), self.table[window]
         for t in range(length):
-            state = np.where(starts[t][:, None], np.float32(0), state)
+            if marked[t]:
+                state = np.where(starts[t][:, None], np.float32(0), state)
             before[t] = state
-            state = self.step(state, window[t], kept)
+            state = self._after(state, inputs[t], kept)
         gradient: dict = {}
         self.log_probabilities(before.reshape(-1, h), window.ravel(), gradient)
         d_seen = gradient.pop("states").reshape(length, streams, h)
         d_state = np.zeros((streams, h), np.float32)
         d_table = np.empty((length, streams, 3 * h), np.float32)
+        d_above = np.empty_like(d_table)
         d_recurrent = np.zeros_like(self.recurrent)
+        new = np.stack([k[1] for k in kept])
+        rest, slope, gap = 1 - np.stack([k[0] for k in kept]), 1 - new * new, before - new
+        carried = [k[2][:, 2 * h :] for k in kept]
         for t in range(length - 1, -1, -1):
-            old, z, r, new, u = kept[t]
-            d_new = d_state * (1 - z) * (1 - new * new)
-            d_z = d_state * (old - new) * z * (1 - z)
-            d_r = d_new * u * r * (1 - r)
-            d_table[t] = d_gates = np.concatenate([d_z, d_r, d_new], 1)
-            d_u = np.concatenate([d_z, d_r, d_new * r], 1)
-            d_recurrent += old.T @ d_u
-            d_state = d_state * z + d_u @ self.recurrent.T + d_seen[t]
-            d_state[starts[t]] = 0
-            del d_gates
+            gates, d_gates, d_u = kept[t][0], d_table[t], d_above[t]
+            d_new = np.multiply(d_state, rest[t, :, :h], out=d_gates[:, 2 * h :])
+            d_new *= slope[t]
+            # Of both gates at once: what each scales, times the slope of its sigmoid.
+            np.multiply(d_state, gap[t], out=d_u[:, :h])
+            np.multiply(d_new, carried[t], out=d_u[:, h : 2 * h])
+            d_u[:, : 2 * h] *= gates
+            d_u[:, : 2 * h] *= rest[t]
+            d_gates[:, : 2 * h] = d_u[:, : 2 * h]
+            np.multiply(d_new, gates[:, h:], out=d_u[:, 2 * h :])
+            d_recurrent += before[t].T @ d_u
+            d_state = d_state * gates[:, :h]
+            d_state += d_u @ self.recurrent.T
+            d_state += d_seen[t]
+            if marked[t]:
+                d_state[starts[t]] = 0
         gradient["recurrent"] = d_recurrent
         ids = window.ravel()
         order = np.argsort(ids, kind="stable")
@@ -144,15 +174,26 @@ class GatedModel:
     def _update(self, name: str, g: np.ndarray, rows: np.ndarray | None) -> None:
         """AdaGrad on a whole parameter or on some of its rows."""
         value = getattr(self, name)
-        squares = self.squares.setdefault(name, np.full(value.shape, 1e-3, np.float32))
-        at = slice(None) if rows is None else rows
+        if name not in self.squares:
+            self.squares[name] = np.full(value.shape, 1e-3, np.float32)
+        squares = self.squares[name]
         np.clip(g, -1, 1, out=g)
-        squares[at] += g * g
+        if rows is None:
+            squares += g * g
+            now, seen = value, squares
+        else:
+            seen = squares[rows] + g * g
+            squares[rows] = seen
+            now = value[rows]
+        g *= np.float32(RATE)
+        g /= np.sqrt(seen)
         if name.endswith("bias"):
-            changed = value[at] - RATE * g / np.sqrt(squares[at])
-            value[at] = np.where(value[at] > -_LARGEST_BIAS, np.clip(changed, -_LARGEST_BIAS + 1, _LARGEST_BIAS), value[at])
+            changed = now - g
+            now = np.where(now > -_LARGEST_BIAS, np.clip(changed, -_LARGEST_BIAS + 1, _LARGEST_BIAS), now)
         else:
-            value[at] = np.clip(value[at] - RATE * g / np.sqrt(squares[at]), -_LARGEST_WEIGHT, _LARGEST_WEIGHT)
+            changed = np.subtract(now, g, out=g)
+            now = np.clip(changed, -_LARGEST_WEIGHT, _LARGEST_WEIGHT, out=changed)
+        value[slice(None) if rows is None else rows] = now
 
     def train(self, documents: Sequence[np.ndarray], streams: int = STREAMS) -> int:
         """One pass over documents laid end to end in ``streams`` rows; returns the number of tokens."""
@@ -186,13 +227,14 @@ class GatedModel:
                 for j in range(live):
                     part = documents[some[j]][t : t + WINDOW]
                     block[: len(part), j] = part
+                inputs = self.table[block]
                 states, ids, owner = [], [], []
                 for s in range(min(WINDOW, int(lengths[0]) - t)):
                     n = int(np.searchsorted(-lengths, -(t + s), side="left"))
                     states.append(state[:n])
                     ids.append(block[s, :n])
                     owner.append(np.arange(n))
-                    state = self.step(state[:n], block[s, :n])
+                    state = self._after(state[:n], inputs[s, :n])
                 found = self.log_probabilities(np.concatenate(states), np.concatenate(ids))
                 scores[:live] += np.bincount(np.concatenate(owner), weights=found, minlength=live)
             result[some] = scores

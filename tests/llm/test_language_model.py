@@ -128,3 +128,11 @@ def test_held_out_text_is_better_told_than_by_frequencies(spark):
     scored = score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out")
     total = scored.selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert total["s"] > total["b"]
+
+
+def test_training_makes_its_sums_of_squares_once(monkeypatch):
+    made, full = [], np.full
+    model = GatedModel(np.full(200, 1 / 200))
+    monkeypatch.setattr(np, "full", lambda *a, **k: made.append(a) or full(*a, **k))
+    model.train([np.arange(300) % 200 for _ in range(40)])
+    assert len(made) == len(model.NAMES)
