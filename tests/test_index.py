@@ -16,6 +16,7 @@ from profilescope.operators.postings import clause_tokens, used_modes
 from profilescope.operators.relevance import term_statistics
 from profilescope.operators.search import all_hits
 from profilescope.plans.requests import SearchRequest, decode_requests
+from profilescope.schema import ARRAY_TEXT_FIELDS, TEXT_FIELDS
 from profilescope.sources import keyword_index
 from profilescope.sources.documents import PROFILES
 from profilescope.sources.keyword_index import KeywordIndex, document_postings
@@ -176,3 +177,18 @@ def test_documents_with_nothing_to_index(spark, tmp_path):
     same_as_anew(index)
     assert json.loads(json.dumps(index.manifest()))["documents"] == 1
     assert {r["mode"] for r in index._whole(index.manifest()).collect()} <= {EXACT, SUBSTRING, WORD}
+
+
+def test_words_of_a_text_are_counted_in_their_row(spark):
+    """A posting moves once, and no word of a text is a row of its own that is aggregated."""
+    words = "Maps, maps of the maps and js " * 3
+    rows = spark.sql(f"SELECT id, '{words}' AS summary, array('Perl', 'Perl', '') AS skills FROM range(2)")
+    others = {f: F.array().cast("array<string>") if f in ARRAY_TEXT_FIELDS else F.lit(None).cast("string") for f in TEXT_FIELDS}
+    made = document_postings(rows.withColumns({f: c for f, c in others.items() if f not in ("summary", "skills")}))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    found = {(r["mode"], r["token"], r["field"]): (r["freq"], len(r["places"])) for r in made.where("id = 1").collect()}
+    assert found[SUBSTRING, "maps", "summary"] == (6, 0) and found[SUBSTRING, "maps,", "summary"] == (3, 0)
+    assert found[WORD, "maps", "summary"] == (9, 9)
+    assert found[EXACT, "Perl", "skills"] == (2, 0) and found[EXACT, "", "skills"] == (1, 0)
+    assert made.count() == made.select("mode", "token", "id", "field").distinct().count()
