@@ -51,3 +51,19 @@ def test_searches_page_deep(spark, profiles, monkeypatch, keywords):
     whole = [r["id"] for r in all_hits(profiles, request).collect()]
     page = search_profiles(profiles, request)
     assert [r["id"] for r in page.collect()] == whole[1:3] and page.columns == all_hits(profiles, request).columns
+
+
+def test_the_input_is_read_three_times(spark, monkeypatch):
+    for name, value in (("SHALLOW", 10), ("SAMPLE", 100), ("RANGES", 4)):
+        monkeypatch.setattr(deep_pages, name, value)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    numbers = spark.range(0, 4000, 1, 2).selectExpr("id * 7919 % 4000 AS a", "id").mapInArrow(count, "a long, id long")
+    page = key_page(numbers, [Key("a", descending=True), Key("id")], 3000, 5)
+    assert [r["a"] for r in page.collect()] == [999, 998, 997, 996, 995]
+    assert read.value <= 3 * 4000
