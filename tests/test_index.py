@@ -192,3 +192,18 @@ def test_words_of_a_text_are_counted_in_their_row(spark):
     assert found[WORD, "maps", "summary"] == (9, 9)
     assert found[EXACT, "Perl", "skills"] == (2, 0) and found[EXACT, "", "skills"] == (1, 0)
     assert made.count() == made.select("mode", "token", "id", "field").distinct().count()
+
+
+def test_profiles_move_and_their_postings_do_not(spark, tmp_path):
+    """Postings are many times as large as the profiles of which they are made, and so are grams and words."""
+    table, index = stored(spark, tmp_path)
+    publish(spark, table, 0, DOCUMENTS, 1)
+    made = document_postings(table.read(), 16, 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and made.rdd.getNumPartitions() == 3
+    grams = keyword_index._dictionary(made, 16)._jdf.queryExecution().executedPlan().toString()
+    assert grams.index("Generate") < grams.index("Exchange")
+    assert told(made, *POSTED) == told(document_postings(table.read()), *POSTED)
+    index.refresh()
+    files = [f.name for kind in ("postings", "dictionary") for f in tmp_path.glob(f"**/index/parts/*/{kind}/*/*.parquet")]
+    assert files and all(".zstd." in name for name in files)
